@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.functions.text import WHITE, WORD, extension, first_visible, split_lines
+from indexloom.session import spread
 
 # How a definition looks on a single line (searched for anywhere in it).
 CLASS_LINE = rf"class[{WHITE}]+({WORD}+)(?:[{WHITE}]*\([{WHITE}]*.*?[{WHITE}]*\))?[{WHITE}]*:"
@@ -124,7 +125,7 @@ def python_chunks(files: DataFrame) -> DataFrame:
     Chunks of a file keep its order of definitions through `start_line`; a block left open runs to the
     last line. Decorator lines are reported but are not part of the content.
     """
-    lines = files.select("path", split_lines(F.col("content")).alias("lines"))
+    lines = spread(files.select("path", "content")).select("path", split_lines(F.col("content")).alias("lines"))
     found = lines.select("path", "lines", definitions(line_facts(F.col("lines")), F.col("path")).alias("found"))
 
     def chunk(d: Column) -> Column:

@@ -214,6 +214,12 @@ def search(
     return hits.select("id", "score").orderBy(F.desc("score"), F.asc("id")).limit(limit)
 
 
+def with_scores(corpus: DataFrame, vector: list[float]) -> DataFrame:
+    """`corpus` with the `score` of every row against one query vector, for filters without a ranking."""
+    query = F.array(*[F.lit(float(x)) for x in vector])
+    return corpus.withColumn("score", F.round(cosine(F.col("vector"), query), SCORE_DECIMALS))
+
+
 def search_best(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """The best entry per query at the fixed threshold 0; a query with none has no row."""
     return search_batch(corpus, queries, limit=1, threshold=0.0).select("query_id", "id", "score")

@@ -220,16 +220,16 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_sql(source: str, key: str, text: str, name: str, dim: int = 64) -> str:
-    """CTEs `<name>_w (key, at, w)` and `<name> (key, vector)` for texts embedded by feature hashing."""
+    """CTEs `<name>_w (key, slot, w)` and `<name> (key, vector)` for texts embedded by feature hashing."""
     return rf"""{name}_t AS (
         SELECT {key} AS key, unnest(regexp_split_to_array(lower({text}), '[ \t\n\r\f\v]+')) AS token FROM {source}),
     {name}_c AS (
-        SELECT key, CAST(CAST(('0x' || substr(md5(token), 1, 8)) AS UBIGINT) % {dim} AS INTEGER) AS at,
+        SELECT key, CAST(CAST(('0x' || substr(md5(token), 1, 8)) AS UBIGINT) % {dim} AS INTEGER) AS slot,
                sum(CASE WHEN token = '' THEN 0 WHEN substr(md5(token), 32, 1) < '8' THEN 1 ELSE -1 END) AS w
         FROM {name}_t GROUP BY 1, 2),
     {name}_n AS (SELECT key, sqrt(CAST(sum(w * w) AS DOUBLE)) AS norm FROM {name}_c GROUP BY 1),
     {name}_w AS (
-        SELECT n.key, r.at, CAST(CAST(coalesce(CAST(c.w AS DOUBLE) / nullif(n.norm, 0), 0) AS FLOAT) AS DOUBLE) AS w
-        FROM {name}_n n JOIN (SELECT CAST(unnest(range({dim})) AS INTEGER) AS at) r ON true
-        LEFT JOIN {name}_c c ON c.key = n.key AND c.at = r.at),
-    {name} AS (SELECT key, list(w ORDER BY at) AS vector FROM {name}_w GROUP BY key)"""
+        SELECT n.key, r.slot, CAST(CAST(coalesce(CAST(c.w AS DOUBLE) / nullif(n.norm, 0), 0) AS FLOAT) AS DOUBLE) AS w
+        FROM {name}_n n JOIN (SELECT CAST(unnest(range({dim})) AS INTEGER) AS slot) r ON true
+        LEFT JOIN {name}_c c ON c.key = n.key AND c.slot = r.slot),
+    {name} AS (SELECT key, list(w ORDER BY slot) AS vector FROM {name}_w GROUP BY key)"""

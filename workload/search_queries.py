@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from indexloom.functions.text import percent
 from indexloom.operators.embed import hashed_vectors
-from indexloom.operators.search import search, search_batch, search_best, search_chunks
+from indexloom.operators.search import search, search_batch, search_best, search_chunks, with_scores
 from indexloom.plans.ask import report
 from indexloom.session import written
 from workload.inputs import CHUNK_ROWS_SQL, ENTRIES_SQL, chunk_rows, entries, hashed_sql, table
@@ -58,10 +58,11 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "search_threshold",
-    ONE_SQL + " SELECT id, round(score, 6) AS score FROM scored WHERE score >= 0.25 ORDER BY score DESC, id LIMIT 1000000",
+    ONE_SQL + " SELECT id, round(score, 6) AS score FROM scored WHERE score >= 0.25",
 )
 def search_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(search(_corpus(spark, sf_dir), _vector(spark, sf_dir), limit=1_000_000, threshold=0.25))
+    scored = with_scores(_corpus(spark, sf_dir), _vector(spark, sf_dir))
+    return _rounded(scored.filter(F.col("score") >= 0.25).select("id", "score"))
 
 
 @query(
@@ -159,7 +160,7 @@ def chunk_search_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "embed_hash",
-    f"WITH {hashed_sql('documents', 'doc_id', 'text', 'h')} SELECT key AS doc_id, at AS slot, round(w, 6) AS weight FROM h_w",
+    f"WITH {hashed_sql('documents', 'doc_id', 'text', 'h')} SELECT key AS doc_id, slot, round(w, 6) AS weight FROM h_w",
 )
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")

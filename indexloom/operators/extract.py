@@ -15,20 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexloom.functions.text import WHITE, WORD, extension, first_visible, split_lines
+from indexloom.functions.text import WHITE, WORD, extension, lstrip_ws, split_lines, strip_ws
 from indexloom.session import spread
 
 # How a definition looks on a single line (searched for anywhere in it).
 CLASS_LINE = rf"class[{WHITE}]+({WORD}+)(?:[{WHITE}]*\([{WHITE}]*.*?[{WHITE}]*\))?[{WHITE}]*:"
 FUNCTION_LINE = rf"def[{WHITE}]+({WORD}+)[{WHITE}]*\(.*?\)[{WHITE}]*(?:->.*?)?[{WHITE}]*:"
 
-_DEF = "struct<line:int,indent:int,type:string,name:string,parent:string,deco:int,end:int>"
-_CLASS = "struct<indent:int,id:string>"
+_DEF = "struct<line:int,indent:int,is_class:boolean,name:string,parent:string,deco:int>"
 _START = f"""named_struct(
     'deco_from', -1, 'deco_to', -2,
-    'classes', cast(array() as array<{_CLASS}>),
-    'open', cast(array() as array<{_DEF}>),
-    'closed', cast(array() as array<{_DEF}>))"""
+    'classes', cast(array() as array<struct<indent:int,id:string>>),
+    'open', cast(array() as array<struct<indent:int,nth:int>>),
+    'ends', cast(array() as array<struct<nth:int,end:int>>),
+    'defs', cast(array() as array<{_DEF}>))"""
 
 
 def _captured(line: Column, keyword: str, pattern: str) -> Column:
@@ -37,20 +37,21 @@ def _captured(line: Column, keyword: str, pattern: str) -> Column:
 
 
 def line_facts(lines: Column) -> Column:
-    """One struct per line: number (0-based), indentation, decorator mark, class and function name."""
+    """One struct per line that is not blank: number (0-based), indentation, decorator mark, and the names
+    of a class and of a function defined on it."""
     placed = F.transform(
         lines,
-        lambda text, i: F.struct(i.alias("line"), text.alias("text"), first_visible(text).alias("at")),
+        lambda text, i: F.struct(i.alias("line"), text.alias("text"), lstrip_ws(text).alias("bare")),
     )
-    visible = F.filter(placed, lambda x: x["at"] > 0)
+    visible = F.filter(placed, lambda x: x["bare"] != "")
     return F.transform(
         visible,
         lambda x: F.struct(
             x["line"].alias("line"),
-            (x["at"] - 1).alias("indent"),
-            (F.substr(x["text"], x["at"], F.lit(1)) == "@").alias("deco"),
-            _captured(x["text"], "class", CLASS_LINE).alias("cls"),
-            _captured(x["text"], "def", FUNCTION_LINE).alias("fn"),
+            (F.length(x["text"]) - F.length(x["bare"])).alias("indent"),
+            F.startswith(x["bare"], F.lit("@")).alias("deco"),
+            _captured(x["bare"], "class", CLASS_LINE).alias("cls"),
+            _captured(x["bare"], "def", FUNCTION_LINE).alias("fn"),
         ),
     )
 
@@ -60,32 +61,26 @@ def chunk_id(path: Column, kind: Column, name: Column, line: Column) -> Column:
     return F.concat_ws(":", path, kind, name, line.cast("string"))
 
 
-def _definition(s: Column, x: Column, kind: Column, name: Column, parent: Column) -> Column:
+def _definition(s: Column, x: Column, is_class: bool, name: Column, parent: Column) -> Column:
     deco = F.when(s["deco_to"] == x["line"] - 1, x["line"] - s["deco_from"]).otherwise(0)
     return F.struct(
         x["line"].alias("line"),
         x["indent"].alias("indent"),
-        kind.alias("type"),
+        F.lit(is_class).alias("is_class"),
         name.alias("name"),
         parent.alias("parent"),
         deco.alias("deco"),
-        F.lit(None).cast("int").alias("end"),
     )
 
 
-def _state(s: Column, **changed: Column) -> Column:
-    names = ("deco_from", "deco_to", "classes", "open", "closed")
-    return F.struct(*[changed.get(n, s[n]).alias(n) for n in names])
-
-
 def definitions(facts: Column, path: Column) -> Column:
-    """Definitions of a file with parent, decorator count and end line.
+    """Definitions of a file in order, with parent, number of decorators and last line (NULL: the file's).
 
-    `open` holds definitions whose block still runs, by growing indentation; `classes` those that a
-    later definition may belong to. A line that is neither a definition nor a decorator and is
-    indented deeper than the innermost open block changes nothing, which is most lines of a file.
+    `defs` collects them, `open` says which still run, by growing indentation, `ends` where the others
+    ended, and `classes` which classes a later definition may belong to. A line that is neither a
+    definition nor a decorator and is indented deeper than the innermost open block changes nothing,
+    which is most lines of a file.
     """
-    no_defs = F.expr(f"cast(array() as array<{_DEF}>)")
 
     def step(s: Column, x: Column) -> Column:
         is_class, is_function = x["cls"] != "", x["fn"] != ""
@@ -96,27 +91,53 @@ def definitions(facts: Column, path: Column) -> Column:
         outer = F.filter(s["classes"], lambda c: c["indent"] < x["indent"])
         parent = F.try_element_at(outer, F.lit(-1))["id"]
         own_id = chunk_id(path, F.lit("class"), x["cls"], x["line"])
-        kind = F.when(parent.isNotNull(), "method").otherwise("function")
-        found = F.concat(
-            F.when(is_class, F.array(_definition(s, x, F.lit("class"), x["cls"], parent))).otherwise(no_defs),
-            F.when(is_function, F.array(_definition(s, x, kind, x["fn"], parent))).otherwise(no_defs),
+        as_class = _definition(s, x, True, x["cls"], parent)
+        as_function = _definition(s, x, False, x["fn"], parent)
+        nth = F.size(s["defs"])
+
+        def runs(n: Column) -> Column:
+            return F.struct(x["indent"].alias("indent"), n.alias("nth"))
+
+        def added(to: Column, c: Column, f: Column, both: Column) -> Column:
+            """`to` with the class, the function or both of the line put at its end."""
+            return (
+                F.when(is_class & is_function, F.concat(to, both))
+                .when(is_class, F.concat(to, F.array(c)))
+                .when(is_function, F.concat(to, F.array(f)))
+                .otherwise(to)
+            )
+
+        running = F.filter(s["open"], lambda d: d["indent"] < x["indent"])
+        ended = F.transform(
+            F.filter(s["open"], lambda d: d["indent"] >= x["indent"]),
+            lambda d: F.struct(d["nth"].alias("nth"), (x["line"] - 1).alias("end")),
         )
-        ending = F.filter(s["open"], lambda d: d["indent"] >= x["indent"])
-        grown = F.when(s["deco_to"] == x["line"] - 1, s["deco_from"]).otherwise(x["line"])
-        changed = _state(
-            s,
-            deco_from=F.when(x["deco"], grown).otherwise(s["deco_from"]),
-            deco_to=F.when(x["deco"], x["line"]).otherwise(s["deco_to"]),
-            classes=F.when(
-                is_class,
-                F.concat(outer, F.array(F.struct(x["indent"].alias("indent"), own_id.alias("id")))),
-            ).otherwise(s["classes"]),
-            open=F.concat(F.filter(s["open"], lambda d: d["indent"] < x["indent"]), found),
-            closed=F.concat(s["closed"], F.transform(ending, lambda d: d.withField("end", x["line"] - 1))),
+        first_deco = F.when(s["deco_to"] == x["line"] - 1, s["deco_from"]).otherwise(x["line"])
+        changed = F.struct(
+            F.when(x["deco"], first_deco).otherwise(s["deco_from"]).alias("deco_from"),
+            F.when(x["deco"], x["line"]).otherwise(s["deco_to"]).alias("deco_to"),
+            F.when(is_class, F.concat(outer, F.array(F.struct(x["indent"].alias("indent"), own_id.alias("id")))))
+            .otherwise(s["classes"])
+            .alias("classes"),
+            added(
+                F.when(nothing_ends, s["open"]).otherwise(running),
+                runs(nth),
+                runs(nth),
+                F.array(runs(nth), runs(nth + 1)),
+            ).alias("open"),
+            F.when(nothing_ends, s["ends"]).otherwise(F.concat(s["ends"], ended)).alias("ends"),
+            added(s["defs"], as_class, as_function, F.array(as_class, as_function)).alias("defs"),
         )
         return F.when(quiet, s).otherwise(changed)
 
-    return F.aggregate(facts, F.expr(_START), step, lambda s: F.concat(s["closed"], s["open"]))
+    def joined(s: Column) -> Column:
+        still_open = F.transform(
+            s["open"], lambda d: F.struct(d["nth"].alias("nth"), F.lit(None).cast("int").alias("end"))
+        )
+        ends = F.sort_array(F.concat(s["ends"], still_open))  # by nth: one entry per definition
+        return F.zip_with(s["defs"], ends, lambda d, e: F.struct(d.alias("d"), e["end"].alias("end")))
+
+    return F.aggregate(facts, F.expr(_START), step, joined)
 
 
 def python_chunks(files: DataFrame) -> DataFrame:
@@ -128,11 +149,13 @@ def python_chunks(files: DataFrame) -> DataFrame:
     lines = spread(files.select("path", "content")).select("path", split_lines(F.col("content")).alias("lines"))
     found = lines.select("path", "lines", definitions(line_facts(F.col("lines")), F.col("path")).alias("found"))
 
-    def chunk(d: Column) -> Column:
-        end = F.coalesce(d["end"], F.size("lines") - 1)
+    def chunk(found: Column) -> Column:
+        d = found["d"]
+        end = F.coalesce(found["end"], F.size("lines") - 1)
+        kind = F.when(d["is_class"], "class").when(d["parent"].isNotNull(), "method").otherwise("function")
         return F.struct(
-            chunk_id(F.col("path"), d["type"], d["name"], d["line"]).alias("id"),
-            d["type"].alias("type"),
+            chunk_id(F.col("path"), kind, d["name"], d["line"]).alias("id"),
+            kind.alias("type"),
             d["name"].alias("name"),
             (d["line"] + 1).alias("start_line"),
             F.lit(0).alias("start_col"),
@@ -142,7 +165,7 @@ def python_chunks(files: DataFrame) -> DataFrame:
             F.array_join(F.slice("lines", d["line"] + 1, end - d["line"] + 1), "\n").alias("content"),
             F.transform(
                 F.slice("lines", d["line"] - d["deco"] + 1, d["deco"]),
-                lambda text: F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", ""),
+                strip_ws,
             ).alias("decorators"),
         )
 

@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.errors import HierarchyCycle
-from indexloom.operators.skew import hot_keys, lookup_join, salt_many, salt_one
+from indexloom.operators.skew import hot_keys, join_salted, lookup_join, salted
 from indexloom.session import written
 
 PAGE_SIZE = 1000  # children in one list
 NODE = ("id", "type", "name", "path", "start_line", "end_line", "parent_id")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _internal_levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes that have children, with `n_children`, and their depths.
 
@@ -30,31 +37,21 @@ def _internal_levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.count("*").alias("n_children"))
     )
     inner = written(edges.join(fan_out, F.col("id") == F.col("of")).drop("of"), "internal-nodes")
-    hot = written(hot_keys(inner, "parent_id"), "hot-parents")
-    known = salt_one(inner.select(F.col("id").alias("up_id")), "up_id", hot).withColumnRenamed("_salt", "up_salt")
-    salted = salt_many(inner, "parent_id", "id", hot)
-    match = (F.col("parent_id") == F.col("up_id")) & (F.col("_salt") == F.col("up_salt"))
-    pending = written(
-        salted.join(known, match, "left").withColumn("rooted", F.col("up_id").isNull()).drop("up_id", "up_salt"),
-        "pending-nodes",
-    )
-    top = pending.filter("rooted").select("id", "n_children", F.lit(0).alias("depth"))
-    levels, frontier, depth = [top], top, 0
-    below_top = pending.filter(~F.col("rooted"))
-    while True:
-        depth += 1
-        above = salt_one(frontier.select(F.col("id").alias("up_id")), "up_id", hot).withColumnRenamed(
-            "_salt", "up_salt"
-        )
+    hot = hot_keys(inner, "parent_id")
+    pending = salted(inner, "parent_id", "id", hot)
+    # the parent of an inner node, if there is one, is an inner node as well
+    known = inner.select(F.col("id").alias("up_id"))
+    top = join_salted(pending, known, "parent_id", "up_id", hot, "left").filter(F.col("up_id").isNull())
+    frontier = written(top.select("id", "n_children", F.lit(0).alias("depth")), "depth-0")
+    levels = []
+    while not frontier.isEmpty():
+        levels.append(frontier)
+        above = frontier.select(F.col("id").alias("up_id"))
+        below = join_salted(pending, above, "parent_id", "up_id", hot)
         frontier = written(
-            below_top.join(above, match).select("id", "n_children", F.lit(depth).alias("depth")), f"depth-{depth}"
+            below.select("id", "n_children", F.lit(len(levels)).alias("depth")), f"depth-{len(levels)}"
         )
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    found = levels[0]
-    for part in levels[1:]:
-        found = found.unionByName(part)
+    found = _union(levels or [frontier])
     reached, expected = found.count(), inner.count()
     if reached != expected:
         raise HierarchyCycle(f"{expected - reached} nodes with children are not below any root")
@@ -106,46 +103,41 @@ def ancestors(nodes: DataFrame, chunk_id: str) -> DataFrame:
 
 
 def _sort_key() -> Column:
-    return F.struct(F.col("path"), F.col("start_line"), F.col("id"))
+    """Siblings stand in the order of their files and lines; as text it sorts fast and stays small."""
+    return F.format_string("%s\x01%010d\x01%s", "path", "start_line", "id")
 
 
 def _subtrees(nodes: DataFrame, top: DataFrame, root_id: str | None = None) -> DataFrame:
-    """`top` (with `level` and `sort_path`) and everything below it."""
-    slim = nodes.select(*NODE)
-    hot = written(hot_keys(slim, "parent_id"), "hot-parents")
-    pending = salt_many(slim.filter(F.col("parent_id").isNotNull()), "parent_id", "id", hot)
-    match = (F.col("parent_id") == F.col("up_id")) & (F.col("_salt") == F.col("up_salt"))
-    frontier = written(top.select(*NODE, "level", "sort_path"), "tree-top")
-    levels, depth = [frontier], 0
-    while True:
-        depth += 1
-        above = salt_one(frontier.select(F.col("id").alias("up_id"), "level", "sort_path"), "up_id", hot)
-        below = pending.join(above.withColumnRenamed("_salt", "up_salt"), match)
+    """`top` and everything below it, with `level` and `sort_path`.
+
+    The walk carries ids and sort paths only; the other columns are joined once at the end.
+    """
+    slim = nodes.filter(F.col("parent_id").isNotNull()).select("id", "parent_id", _sort_key().alias("own"))
+    hot = hot_keys(slim, "parent_id")
+    pending = written(salted(slim, "parent_id", "id", hot), "tree-edges")
+    frontier = written(
+        top.select("id", F.lit(0).alias("level"), F.array(_sort_key()).alias("sort_path")), "tree-0"
+    )
+    levels = []
+    while not frontier.isEmpty():
+        levels.append(frontier)
+        above = frontier.select(F.col("id").alias("up_id"), F.col("sort_path").alias("up_path"))
+        below = join_salted(pending, above, "parent_id", "up_id", hot)
         frontier = written(
             below.select(
-                *NODE,
-                (F.col("level") + 1).alias("level"),
-                F.concat("sort_path", F.array(_sort_key())).alias("sort_path"),
+                "id", F.lit(len(levels)).alias("level"), F.concat("up_path", F.array("own")).alias("sort_path")
             ),
-            f"tree-{depth}",
+            f"tree-{len(levels)}",
         )
-        if frontier.isEmpty():
-            break
         # a parent is unique, so the only way back is through the root the walk began at
         if root_id is not None and not frontier.filter(F.col("id") == root_id).isEmpty():
             raise HierarchyCycle(f"{root_id!r} is its own descendant")
-        levels.append(frontier)
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return out
+    return _union(levels or [frontier]).join(nodes.select(*NODE), "id")
 
 
 def descendants(nodes: DataFrame, chunk_id: str) -> DataFrame:
     """Everything below a chunk, depth-first in pre-order, with `level` from 1."""
-    top = nodes.filter(F.col("id") == chunk_id).select(
-        *NODE, F.lit(0).alias("level"), F.array(_sort_key()).alias("sort_path")
-    )
+    top = nodes.filter(F.col("id") == chunk_id)
     return _subtrees(nodes, top, chunk_id).filter(F.col("level") > 0).orderBy("sort_path")
 
 
@@ -161,7 +153,6 @@ def tree(nodes: DataFrame, root_id: str | None = None, orphans_as_roots: bool =
         top = nodes.filter(F.col("parent_id").isNull()).select(*NODE)
         if orphans_as_roots:
             top = top.unionByName(orphans(nodes).select(*NODE))
-    top = top.select("*", F.lit(0).alias("level"), F.array(_sort_key()).alias("sort_path"))
     label = F.format_string("%s:%s (lines %d-%d)", "type", "name", "start_line", "end_line")
     return _subtrees(nodes, top, root_id).withColumn("label", label).orderBy("sort_path")
 

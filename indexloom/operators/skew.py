@@ -5,38 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-HOT_SHARE = 1000  # a key is hot when it owns more than 1/1000 of the rows
-
-
-def hot_keys(many: DataFrame, key: str) -> DataFrame:
-    """Keys owning more than 1/HOT_SHARE of the rows with a key: never more than HOT_SHARE rows, so
-    the result may be broadcast whatever the size of the input. Counting combines before it shuffles."""
-    counts = many.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
-    total = many.agg(F.count(key).alias("_n"))
-    return counts.filter(F.col("_n") * HOT_SHARE > total.scalar()).select("_hot")
+from indexloom.session import written
 
-
-def salt_many(many: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
-    """Add `_salt`: 0 for ordinary keys, one of SALTS values (by `spread`) for rows of a hot key."""
+SALTS = 64
+HOT_SHARE = 1000  # a hot key owns more than 1/1000 of the rows ...
+HOT_ROWS = 1_000_000  # ... and more rows than one task should be given
+
+
+def hot_keys(many: DataFrame, key: str) -> DataFrame | None:
+    """Keys too large for one task, or None.
+
+    By the share a key must exceed there are fewer than HOT_SHARE of them, so the result may be broadcast
+    whatever the size of the input. Counting combines before it shuffles. Inputs that cannot hold such a
+    key are not looked through.
+    """
+    keys = many.filter(F.col(key).isNotNull()).select(F.col(key).alias("_hot"))
+    total = keys.count()
+    if total <= HOT_ROWS:
+        return None
+    counts = keys.groupBy("_hot").agg(F.count("*").alias("_n"))
+    hot = written(counts.filter(F.col("_n") > max(HOT_ROWS, total // HOT_SHARE)).select("_hot"), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def salted(many: DataFrame, key: str, spread_by: str, hot: DataFrame | None) -> DataFrame:
+    """Add `_salt`: 0 for ordinary keys, one of SALTS values (by `spread_by`) for rows of a hot key."""
+    if hot is None:
+        return many
     flagged = many.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
     return flagged.withColumn("_salt", salt).drop("_hot")
 
 
-def salt_one(one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Repeat the row of a hot key once per salt; the other rows stay single."""
-    flagged = one.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+def join_salted(
+    many: DataFrame, one: DataFrame, many_key: str, one_key: str, hot: DataFrame | None, how: str = "inner"
+) -> DataFrame:
+    """Join salted `many` to `one`, whose rows of a hot key are repeated once per salt and others not."""
+    on = F.col(many_key) == F.col(one_key)
+    if hot is None:
+        return many.join(one, on, how)
+    flagged = one.join(F.broadcast(hot), F.col(one_key) == F.col("_hot"), "left")
     salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return flagged.withColumn("_salt", F.explode(salts)).drop("_hot")
+    copies = flagged.withColumn("_salt_one", F.explode(salts)).drop("_hot")
+    return many.join(copies, on & (F.col("_salt") == F.col("_salt_one")), how).drop("_salt_one")
 
 
 def lookup_join(
-    many: DataFrame, one: DataFrame, many_key: str, one_key: str, spread: str, how: str = "inner"
+    many: DataFrame, one: DataFrame, many_key: str, one_key: str, spread_by: str, how: str = "inner"
 ) -> DataFrame:
     """`many` joined to `one` (unique in `one_key`; columns must not clash) with hot keys salted."""
     hot = hot_keys(many, many_key)
-    left = salt_many(many, many_key, spread, hot)
-    right = salt_one(one, one_key, hot).withColumnRenamed("_salt", "_salt_one")
-    joined = left.join(right, (F.col(many_key) == F.col(one_key)) & (F.col("_salt") == F.col("_salt_one")), how)
-    return joined.drop("_salt", "_salt_one")
+    return join_salted(salted(many, many_key, spread_by, hot), one, many_key, one_key, hot, how).drop("_salt")

@@ -162,7 +162,7 @@ _DOWN_SQL = f"""WITH RECURSIVE {NODES_SQL}, down AS (
 
 
 def _with_trail(df: DataFrame) -> DataFrame:
-    return df.withColumn("trail", F.array_join(F.transform("sort_path", lambda s: s["id"]), ">")).drop("sort_path")
+    return df.withColumn("trail", F.array_join(F.transform("sort_path", lambda s: F.substring_index(s, "\x01", -1)), ">")).drop("sort_path")
 
 
 @query(

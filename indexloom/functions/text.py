@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ WHITE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-RARE_BREAK = r"[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+RARE_BREAKS = ("\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 ANY_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
@@ -54,10 +57,11 @@ def is_blank(text: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines at every kind of line break; a final break does not open one more line.
 
-    Most texts only have `\\n`, and splitting at one character is far cheaper than by a pattern. The last
-    step names `whole` three times without a condition, so that it is computed once.
+    Most texts only have `\\n`; looking for the others byte-wise and splitting at one character is far
+    cheaper than splitting by a pattern. The last step names `whole` three times without a condition, so that it is computed once.
     """
-    whole = F.when(text.rlike(RARE_BREAK), F.split(text, ANY_BREAK, -1)).otherwise(F.split(text, "\n", -1))
+    rare = reduce(or_, [F.contains(text, F.lit(mark)) for mark in RARE_BREAKS])
+    whole = F.when(rare, F.split(text, ANY_BREAK, -1)).otherwise(F.split(text, "\n", -1))
     return F.slice(whole, 1, F.size(whole) - (F.element_at(whole, -1) == "").cast("int"))
 
 

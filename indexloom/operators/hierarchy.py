@@ -110,14 +110,17 @@ def _sort_key() -> Column:
 def _subtrees(nodes: DataFrame, top: DataFrame, root_id: str | None = None) -> DataFrame:
     """`top` and everything below it, with `level` and `sort_path`.
 
-    The walk carries ids and sort paths only; the other columns are joined once at the end.
+    As for depths, only nodes with children are walked, carrying just ids and sort paths. Every other row
+    takes part in one join, with its parent, at the end.
     """
-    slim = nodes.filter(F.col("parent_id").isNotNull()).select("id", "parent_id", _sort_key().alias("own"))
-    hot = hot_keys(slim, "parent_id")
-    pending = written(salted(slim, "parent_id", "id", hot), "tree-edges")
-    frontier = written(
-        top.select("id", F.lit(0).alias("level"), F.array(_sort_key()).alias("sort_path")), "tree-0"
-    )
+    own = _sort_key().alias("own")
+    parents = nodes.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("of")).distinct()
+    edges = nodes.select("id", "parent_id", own)
+    inner = written(edges.join(parents, F.col("id") == F.col("of"), "left_semi"), "tree-edges")
+    hot = hot_keys(inner, "parent_id")
+    pending = salted(inner, "parent_id", "id", hot)
+    start = inner.join(top.select("id"), "id", "left_semi")
+    frontier = written(start.select("id", F.lit(0).alias("level"), F.array("own").alias("sort_path")), "tree-0")
     levels = []
     while not frontier.isEmpty():
         levels.append(frontier)
@@ -132,7 +135,16 @@ def _subtrees(nodes: DataFrame, top: DataFrame, root_id: str | None = None) -> D
         # a parent is unique, so the only way back is through the root the walk began at
         if root_id is not None and not frontier.filter(F.col("id") == root_id).isEmpty():
             raise HierarchyCycle(f"{root_id!r} is its own descendant")
-    return _union(levels or [frontier]).join(nodes.select(*NODE), "id")
+    paths = _union(levels or [frontier]).select(
+        F.col("id").alias("up_id"), F.col("level").alias("up_level"), F.col("sort_path").alias("up_path")
+    )
+    below = lookup_join(nodes.select(*NODE), paths, "parent_id", "up_id", "id").select(
+        *NODE,
+        (F.col("up_level") + 1).alias("level"),
+        F.concat("up_path", F.array(_sort_key())).alias("sort_path"),
+    )
+    roots = top.select(*NODE, F.lit(0).alias("level"), F.array(_sort_key()).alias("sort_path"))
+    return roots.unionByName(below)
 
 
 def descendants(nodes: DataFrame, chunk_id: str) -> DataFrame:

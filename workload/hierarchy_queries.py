@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.operators import filters, hierarchy, stats
-from workload.inputs import NODES_SQL, nodes
+from workload.inputs import NODES_SQL, nodes, stored_nodes
 from workload.registry import query
 
 _COLUMNS = "id, type, name, path, start_line, end_line, parent_id"
@@ -85,12 +85,12 @@ _DEPTHS_SQL = f"""WITH RECURSIVE {NODES_SQL}, d AS (
 
 @query("depth_histogram", _DEPTHS_SQL + " SELECT depth, count(*) AS nodes FROM d GROUP BY depth")
 def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.depth_histogram(nodes(spark, sf_dir))
+    return hierarchy.depth_histogram(stored_nodes(spark, sf_dir))
 
 
 @query("node_depths", _DEPTHS_SQL + " SELECT id, depth FROM d")
 def node_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.node_depths(nodes(spark, sf_dir))
+    return hierarchy.node_depths(stored_nodes(spark, sf_dir))
 
 
 # the same hierarchy without its nations: customers lose their parents
@@ -98,7 +98,7 @@ _CUT_SQL = NODES_SQL + ", cut AS (SELECT * FROM nodes WHERE type <> 'nation')"
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).filter(F.col("type") != "nation")
+    return stored_nodes(spark, sf_dir).filter(F.col("type") != "nation")
 
 
 @query(
@@ -127,7 +127,7 @@ def depth_histogram_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM nodes c JOIN nodes p ON c.parent_id = p.id""",
 )
 def chunk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = hierarchy.parent_child_pairs(nodes(spark, sf_dir))
+    pairs = hierarchy.parent_child_pairs(stored_nodes(spark, sf_dir))
     return pairs.select("id", "type", "parent_id", "parent_type", "parent_name")
 
 
@@ -142,7 +142,7 @@ _PAGES_SQL = """SELECT parent_id, CAST(pages AS INTEGER) AS pages, CAST(slot AS
 @query("children_lists", f"WITH {NODES_SQL} {_PAGES_SQL}")
 def children_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of 50, so that nations, with more customers than that, have several."""
-    paged = hierarchy.children_lists(nodes(spark, sf_dir), page_size=50)
+    paged = hierarchy.children_lists(stored_nodes(spark, sf_dir), page_size=50)
     return paged.withColumn("children", F.array_join("children", " "))
 
 
@@ -153,7 +153,7 @@ _ANCESTORS_SQL = f"""WITH RECURSIVE {NODES_SQL}, up AS (
 
 @query("chunk_ancestors", _ANCESTORS_SQL + f" SELECT {_COLUMNS}, distance FROM up WHERE distance > 0")
 def chunk_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.ancestors(nodes(spark, sf_dir), "o:77")
+    return hierarchy.ancestors(stored_nodes(spark, sf_dir), "o:77")
 
 
 _DOWN_SQL = f"""WITH RECURSIVE {NODES_SQL}, down AS (
@@ -170,7 +170,7 @@ def _with_trail(df: DataFrame) -> DataFrame:
     _DOWN_SQL.format(start="n.id = 'n:7'") + f" SELECT {_COLUMNS}, level, trail FROM down WHERE level > 0",
 )
 def chunk_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_trail(hierarchy.descendants(nodes(spark, sf_dir), "n:7"))
+    return _with_trail(hierarchy.descendants(stored_nodes(spark, sf_dir), "n:7"))
 
 
 @query(
@@ -180,7 +180,7 @@ def chunk_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
         || CAST(end_line AS VARCHAR) || ')' AS label FROM down""",
 )
 def chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_trail(hierarchy.tree(nodes(spark, sf_dir)))
+    return _with_trail(hierarchy.tree(stored_nodes(spark, sf_dir)))
 
 
 @query(
@@ -191,4 +191,4 @@ def chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'child', 1, {_COLUMNS} FROM nodes WHERE parent_id = 'o:77'""",
 )
 def chunk_show(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.show(nodes(spark, sf_dir), "o:77")
+    return hierarchy.show(stored_nodes(spark, sf_dir), "o:77")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from indexloom.session import spread, written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -166,7 +168,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus"
+        )
+    )
     parts = [
         node(regions, ref("r", "r_regionkey"), "region", F.col("r_name"), F.lit("geo/regions.py"), "r_regionkey", 2,
              F.lit(None).cast("string")),
@@ -186,6 +192,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy as a stored table, which is what operators that read it several times are given."""
+    return written(nodes(spark, sf_dir), "nodes")
+
+
 # --- entries: the vectors with the text of the document of that number, one collection per label
 
 ENTRIES_SQL = """entries AS (

@@ -28,7 +28,8 @@ DEFAULT_THRESHOLD = 0.2
 OVER_FETCH = 2
 SCORE_DECIMALS = 12
 MAX_QUERY_BYTES = 32 * 1024 * 1024  # of vectors a task holds as its query matrix
-CELL_ROWS = 20_000  # rows of either side in one cell of the grid form
+CELL_QUERY_BYTES = 32 * 1024 * 1024  # of query vectors in one cell of the grid form
+CELL_CORPUS_BYTES = 128 * 1024 * 1024  # of corpus vectors in one cell
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -144,16 +145,19 @@ def _scan_hits(corpus: DataFrame, queries: DataFrame, rows: list, k: int, thresh
     return spread(corpus.select("id", "vector")).mapInArrow(score, schema)
 
 
-def _grid_hits(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, threshold: float | None) -> DataFrame:
+def _grid_hits(
+    corpus: DataFrame, queries: DataFrame, query_bytes: int, dim: int, k: int, threshold: float | None
+) -> DataFrame:
     """Top-k of every cell of a grid of query blocks x corpus blocks.
 
-    Blocks are hashes of unique ids, so no cell is hot, and the block counts keep either side of a cell
-    near CELL_ROWS. A cell emits at most k rows per query of its block.
+    Blocks are hashes of unique ids, so no cell is hot, and there are as many of them as keep either side
+    of a cell near its bound. A query is copied once per corpus block and an entry once per query block;
+    neither pairs nor scores leave a cell, only the k best per query of its block.
     """
     schema = _hit_schema(queries, corpus)
     types = [to_arrow_type(schema[name].dataType) for name in ("query_id", "id")]
-    q_blocks = max(1, math.ceil(n_queries / CELL_ROWS))
-    c_blocks = max(1, math.ceil(corpus.count() / CELL_ROWS))
+    q_blocks = max(1, math.ceil(query_bytes / CELL_QUERY_BYTES))
+    c_blocks = max(1, math.ceil(corpus.count() * dim * 8 / CELL_CORPUS_BYTES))
 
     def block(key: str, n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -193,13 +197,13 @@ def search_batch(
     Columns: query_id, id, score, rank. Only entries with `score >= threshold` count.
     """
     stats = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    if not stats["n"]:
-        return rank(_grid_hits(corpus, queries, 0, limit, threshold), limit)
-    if stats["n"] * (stats["dim"] or 0) * 8 <= max_query_bytes:
+    dim = max(stats["dim"] or 0, 1)
+    query_bytes = stats["n"] * dim * 8
+    if 0 < query_bytes <= max_query_bytes:
         rows = queries.select("query_id", "vector").collect()  # within max_query_bytes
         hits = _scan_hits(corpus, queries, rows, limit, threshold)
     else:
-        hits = _grid_hits(corpus, queries, stats["n"], limit, threshold)
+        hits = _grid_hits(corpus, queries, query_bytes, dim, limit, threshold)
     return rank(hits, limit)
 
 

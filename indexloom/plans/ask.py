@@ -29,8 +29,10 @@ def one_query(spark: SparkSession, query: str) -> DataFrame:
     return spark.createDataFrame([(0, query)], "query_id long, text string")
 
 
-def with_entries(hits: DataFrame, entries: DataFrame) -> DataFrame:
-    """Hits with content and metadata. Those columns are read only for this, after the ranking."""
+def with_entries(hits: DataFrame, store: IndexStore, collection: str) -> DataFrame:
+    """Hits with content and metadata, which are read only for the ids found and after the ranking."""
+    hits = written(hits, "hits")
+    entries = store.lookup("embeddings", collection, hits)
     return hits.join(entries.select("id", "content", "metadata"), "id", "inner")
 
 
@@ -46,14 +48,15 @@ def query_files(
     store.require_model(collection, model.name, model.dim)
     entries = store.embeddings(collection)
     hits = search_batch(entries.select("id", "vector"), embed_queries(queries, model), limit, threshold)
-    return with_entries(hits, entries)
+    return with_entries(hits, store, collection)
 
 
 def best_file(store: IndexStore, queries: DataFrame, model: Model, collection: str) -> DataFrame:
     """The single best entry per query; the threshold is 0 whatever the caller would like."""
     store.require_model(collection, model.name, model.dim)
     entries = store.embeddings(collection)
-    return with_entries(search_best(entries.select("id", "vector"), embed_queries(queries, model)), entries)
+    hits = search_best(entries.select("id", "vector"), embed_queries(queries, model))
+    return with_entries(hits, store, collection)
 
 
 def query_chunks(

@@ -56,7 +56,7 @@ def index_files(
         "content",
         file_metadata(F.col("path"), count_tokens(F.col("content"))).alias("metadata"),
     )
-    store.upsert_embeddings(collection, embed_entries(rows, model))
+    store.upsert_embeddings(collection, written(embed_entries(rows, model), "files-embedded"))
     return file_status(files).select("path", "status")
 
 

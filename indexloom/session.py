@@ -55,11 +55,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out an input that has fewer partitions than there are cores.
+    """Even out a scan that has fewer partitions than there are cores.
 
-    For work that is heavy per row. Input with partitions to spare, as any large one has, is not touched.
+    For work that is heavy per row. Input with partitions to spare, as any large one has, is not touched,
+    nor is anything that has been shuffled already.
     """
-    if df.isStreaming:
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)

@@ -9,22 +9,32 @@ skip row groups.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indexloom import schemas
 from indexloom.errors import CollectionExists, CollectionNotFound, IndexNotFound, ModelMismatch
-from indexloom.operators.stats import corpus_size
-from indexloom.operators.upsert import upsert
+from indexloom.functions.text import human_size
+from indexloom.operators.upsert import latest, upsert
 from indexloom.session import written
 
 DEFAULT_BUCKETS = 16
+MAX_LITERAL_IDS = 1000  # ids a lookup turns into literals
 
 _BUCKET = T.StructField("bucket", T.IntegerType(), False)
 _BUCKETS = T.StructField("buckets", T.IntegerType(), False)
 
 
+def _bucket_of(id_: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(id_), F.lit(buckets)).cast("int")
+
+
+def _by_bucket(df: DataFrame) -> DataFrame:
+    """Dealt out by bucket, with large buckets split and small ones joined, and sorted by id."""
+    return df.hint("rebalance", "bucket").sortWithinPartitions("collection", "bucket", "id")
+
+
 def _with_partitions(schema: T.StructType) -> T.StructType:
     """The schema as laid out in files: partition columns last."""
     data = [f for f in schema.fields if f.name != "collection"]
@@ -125,27 +135,39 @@ class IndexStore:
         return self._table("chunks", collection)
 
     def _upsert(self, table: str, collection: str, new: DataFrame, order: list[str] | None) -> None:
-        """Replace by id within the buckets that `new` touches.
+        """Replace by id within the buckets that `new` touches. `new` is read more than once, so it should
+        be a table rather than a computation.
 
-        The merged buckets are written aside first, so nothing is overwritten while it is being read and
-        a failed job leaves the index as it was.
+        Where rows are there already, the merged buckets are written aside first: nothing is overwritten
+        while it is being read, and a failed job leaves the index as it was.
         """
         buckets = self._entry(collection)["buckets"]
-        bucket = F.pmod(F.hash("id"), F.lit(buckets)).cast("int")
-        new = written(
+        names = self._schemas[table].names
+        new = (
             new.withColumn("collection", F.lit(collection))
             .withColumn("updated", F.current_timestamp())
-            .withColumn("bucket", bucket),
-            f"{table}-new",
+            .withColumn("bucket", _bucket_of(F.col("id"), buckets))
         )
         touched = new.select("bucket").distinct()  # at most `buckets` rows
         present = self._read(table).filter(F.col("collection") == collection)
-        present = present.join(F.broadcast(touched), "bucket", "left_semi")
-        merged = upsert(present.select(*self._schemas[table].names), new, ["id"], order)
-        staged = written(
-            merged.hint("rebalance", "bucket").sortWithinPartitions("collection", "bucket", "id"), f"{table}-merged"
-        )
-        self._write(staged.select(*self._schemas[table].names), table, "dynamic")
+        present = present.join(F.broadcast(touched), "bucket", "left_semi").select(*names)
+        if present.isEmpty():
+            self._write(_by_bucket(latest(new, ["id"], order) if order else new).select(*names), table, "dynamic")
+            return
+        staged = written(_by_bucket(upsert(present, new, ["id"], order)).select(*names), f"{table}-merged")
+        self._write(staged, table, "dynamic")
+
+    def lookup(self, table: str, collection: str, ids: DataFrame) -> DataFrame:
+        """Rows of the given ids. Few ids become literals, which prune to their buckets and, ids being
+        sorted within files, to the row groups that hold them; many are joined."""
+        buckets = self._entry(collection)["buckets"]
+        wanted = ids.select("id").distinct().withColumn("bucket", _bucket_of(F.col("id"), buckets))
+        rows = self._read(table).filter(F.col("collection") == collection)
+        few = wanted.limit(MAX_LITERAL_IDS + 1).collect()
+        if len(few) > MAX_LITERAL_IDS:
+            return rows.join(wanted, ["bucket", "id"], "left_semi").drop("bucket")
+        named = F.col("bucket").isin({r["bucket"] for r in few}) & F.col("id").isin([r["id"] for r in few])
+        return rows.filter(named).drop("bucket")
 
     def upsert_embeddings(self, collection: str, new: DataFrame, order: list[str] | None = None) -> None:
         """`new`: id, vector, content, metadata, and the columns named in `order`."""
@@ -156,16 +178,26 @@ class IndexStore:
         self._upsert("chunks", collection, new, order)
 
     def info(self) -> DataFrame:
-        """Entries and content size per collection, also of collections that are still empty."""
-        sizes = corpus_size(self._read("embeddings").select("collection", "content"), F.octet_length("content"))
+        """Entries and size on disk per collection, also of collections that are still empty.
+
+        Counts come from file footers and sizes from the file listing; no data is read.
+        """
+        counts = self._read("embeddings").groupBy("collection").agg(F.count("*").alias("entries"))
+        data_files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        listed = data_files.option("pathGlobFilter", "*.parquet").load([f"{self.root}/embeddings", f"{self.root}/chunks"])
+        folder = F.regexp_extract("path", "/collection=([^/]+)/", 1)
+        name = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))  # as partition folders are escaped
+        sizes = listed.groupBy(name.alias("collection")).agg(F.sum("length").alias("bytes"))
         named = self.collections().select(F.col("name").alias("collection"), "model")
-        return named.join(sizes, "collection", "left").select(
+        found = named.join(counts, "collection", "left").join(sizes, "collection", "left")
+        n_bytes = F.coalesce("bytes", F.lit(0))
+        return found.select(
             F.lit(self.root).alias("root"),
             "collection",
             "model",
             F.coalesce("entries", F.lit(0)).alias("entries"),
-            F.coalesce("bytes", F.lit(0)).alias("bytes"),
-            F.coalesce("size", F.lit("0 B")).alias("size"),
+            n_bytes.alias("bytes"),
+            human_size(n_bytes).alias("size"),
         )
 
 

@@ -38,7 +38,8 @@ def rows(df):
 
 @pytest.mark.parametrize("k,threshold", [(1, 0.0), (7, 0.2), (1000, None), (10, 0.999)])
 def test_against_brute_force(spark, vectors, k, threshold, monkeypatch):
-    monkeypatch.setattr(S, "CELL_ROWS", 30)
+    monkeypatch.setattr(S, "CELL_QUERY_BYTES", 40 * 64)
+    monkeypatch.setattr(S, "CELL_CORPUS_BYTES", 30 * 64)
     corpus, queries = frame(spark, vectors), frame(spark, vectors, "query_id")
     expected = brute(vectors, vectors, k, threshold)
     assert rows(S.search_batch(corpus, queries, k, threshold)) == expected
@@ -46,7 +47,7 @@ def test_against_brute_force(spark, vectors, k, threshold, monkeypatch):
 
 
 def test_text_ids(spark, vectors, monkeypatch):
-    monkeypatch.setattr(S, "CELL_ROWS", 50)
+    monkeypatch.setattr(S, "CELL_CORPUS_BYTES", 50 * 64)
     corpus, queries = frame(spark, vectors, text=True), frame(spark, vectors[:3], "query_id", text=True)
     expected = {(f"v{q:03d}", f"v{i:03d}", r) for q, i, r in brute(vectors, vectors[:3], 5, 0.2)}
     assert rows(S.search_batch(corpus, queries, 5)) == expected

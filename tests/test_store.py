@@ -1,4 +1,5 @@
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,8 +62,11 @@ def test_file_index_and_force(spark, store, files):
         build.index_files(store, files, model)
     build.index_files(store, files.filter("path = 'b.py'"), model, "second")
     assert store.collection_names() == ["files", "second"]
-    info = {r["collection"]: (r["entries"], r["size"]) for r in store.info().collect()}
-    assert info == {"files": (4, "66.0 B"), "second": (1, "13.0 B")}
+    info = {r["collection"]: r for r in store.info().collect()}
+    assert {name: r["entries"] for name, r in info.items()} == {"files": 4, "second": 1}
+    for name, r in info.items():
+        on_disk = sum(p.stat().st_size for p in Path(store.root).glob(f"*/collection={name}/*/*.parquet"))
+        assert r["bytes"] == on_disk > 0 and r["size"].endswith("KB")
     assert store.model_of("files") == "hash-64" and store.model_of("nope") is None
     best = ask.best_file(store, ask.one_query(spark, "hello world"), model, "files").collect()
     assert [r["id"] for r in best] == ["c.txt"]
@@ -94,6 +98,18 @@ def test_upsert_operator(spark):
     assert latest(new, ["id"], ["seq"]).count() == 2
 
 
+@pytest.mark.parametrize("literal_ids", [0, 100])
+def test_lookup(spark, store, monkeypatch, literal_ids):
+    from indexloom.sources import store as module
+
+    monkeypatch.setattr(module, "MAX_LITERAL_IDS", literal_ids)
+    store.create("one", "m", 1, buckets=4)
+    rows = [(f"i{i}", [1.0], f"c{i}", {}) for i in range(30)]
+    store.upsert_embeddings("one", spark.createDataFrame(rows, "id string, vector array<float>, content string, metadata map<string,string>"))
+    ids = spark.createDataFrame([("i3",), ("i3",), ("i29",), ("nope",)], "id string")
+    assert sorted(r["content"] for r in store.lookup("embeddings", "one", ids).collect()) == ["c29", "c3"]
+
+
 def test_collections_are_pruned(spark, store, files):
     build.index_files(store, files, get_model("hash-64"))
     plan = store.embeddings("files")._jdf.queryExecution().executedPlan().toString()
@@ -156,3 +172,15 @@ def test_json_sink(spark, tmp_path):
     out = str(tmp_path / "json")
     write_json(spark.createDataFrame([("a", 0.5, None)], "id string, score double, content string"), out)
     assert [r["value"] for r in spark.read.text(out).collect()] == ['{"id":"a","score":0.5}']
+
+
+def test_odd_collection_names(spark, store):
+    rows = [("x", [1.0], "c", {})]
+    one = spark.createDataFrame(rows, "id string, vector array<float>, content string, metadata map<string,string>")
+    for name in ("007", "a/b=1 +%", "Ünï"):
+        store.create(name, "m", 1, buckets=2)
+        store.upsert_embeddings(name, one)
+    assert store.collection_names() == sorted(["007", "a/b=1 +%", "Ünï"])
+    assert {r["collection"] for r in store.embeddings().collect()} == {"007", "a/b=1 +%", "Ünï"}
+    assert store.embeddings("007").count() == 1 and store.embeddings("a/b=1 +%").count() == 1
+    assert all(r["entries"] == 1 and r["bytes"] > 0 for r in store.info().collect())

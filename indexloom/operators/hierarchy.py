@@ -15,6 +15,7 @@ from indexloom.operators.skew import hot_keys, join_salted, lookup_join, salted
 from indexloom.session import written
 
 PAGE_SIZE = 1000  # children in one list
+BELOW = "\x00"  # between the levels of a sort path
 NODE = ("id", "type", "name", "path", "start_line", "end_line", "parent_id")
 
 
@@ -43,19 +44,20 @@ def _internal_levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = inner.select(F.col("id").alias("up_id"))
     top = join_salted(pending, known, "parent_id", "up_id", hot, "left").filter(F.col("up_id").isNull())
     frontier = written(top.select("id", "n_children", F.lit(0).alias("depth")), "depth-0")
-    levels = []
-    while not frontier.isEmpty():
+    levels, unreached = [], inner.count()
+    while n := frontier.count():
         levels.append(frontier)
+        unreached -= n
+        if not unreached:
+            break
         above = frontier.select(F.col("id").alias("up_id"))
         below = join_salted(pending, above, "parent_id", "up_id", hot)
         frontier = written(
             below.select("id", "n_children", F.lit(len(levels)).alias("depth")), f"depth-{len(levels)}"
         )
-    found = _union(levels or [frontier])
-    reached, expected = found.count(), inner.count()
-    if reached != expected:
-        raise HierarchyCycle(f"{expected - reached} nodes with children are not below any root")
-    return inner, found
+    if unreached:
+        raise HierarchyCycle(f"{unreached} nodes with children are not below any root")
+    return inner, _union(levels or [frontier])
 
 
 def depth_histogram(nodes: DataFrame) -> DataFrame:
@@ -103,7 +105,8 @@ def ancestors(nodes: DataFrame, chunk_id: str) -> DataFrame:
 
 
 def _sort_key() -> Column:
-    """Siblings stand in the order of their files and lines; as text it sorts fast and stays small."""
+    """Siblings stand in the order of their files and lines. Paths of such keys, joined by the smallest
+    character, sort as plain text in pre-order."""
     return F.format_string("%s\x01%010d\x01%s", "path", "start_line", "id")
 
 
@@ -120,7 +123,7 @@ def _subtrees(nodes: DataFrame, top: DataFrame, root_id: str | None = None) -> D
     hot = hot_keys(inner, "parent_id")
     pending = salted(inner, "parent_id", "id", hot)
     start = inner.join(top.select("id"), "id", "left_semi")
-    frontier = written(start.select("id", F.lit(0).alias("level"), F.array("own").alias("sort_path")), "tree-0")
+    frontier = written(start.select("id", F.lit(0).alias("level"), F.col("own").alias("sort_path")), "tree-0")
     levels = []
     while not frontier.isEmpty():
         levels.append(frontier)
@@ -128,7 +131,7 @@ def _subtrees(nodes: DataFrame, top: DataFrame, root_id: str | None = None) -> D
         below = join_salted(pending, above, "parent_id", "up_id", hot)
         frontier = written(
             below.select(
-                "id", F.lit(len(levels)).alias("level"), F.concat("up_path", F.array("own")).alias("sort_path")
+                "id", F.lit(len(levels)).alias("level"), F.concat_ws(BELOW, "up_path", "own").alias("sort_path")
             ),
             f"tree-{len(levels)}",
         )
@@ -141,9 +144,9 @@ def _subtrees(nodes: DataFrame, top: DataFrame, root_id: str | None = None) -> D
     below = lookup_join(nodes.select(*NODE), paths, "parent_id", "up_id", "id").select(
         *NODE,
         (F.col("up_level") + 1).alias("level"),
-        F.concat("up_path", F.array(_sort_key())).alias("sort_path"),
+        F.concat_ws(BELOW, "up_path", _sort_key()).alias("sort_path"),
     )
-    roots = top.select(*NODE, F.lit(0).alias("level"), F.array(_sort_key()).alias("sort_path"))
+    roots = top.select(*NODE, F.lit(0).alias("level"), _sort_key().alias("sort_path"))
     return roots.unionByName(below)
 
 

@@ -85,12 +85,12 @@ _DEPTHS_SQL = f"""WITH RECURSIVE {NODES_SQL}, d AS (
 
 @query("depth_histogram", _DEPTHS_SQL + " SELECT depth, count(*) AS nodes FROM d GROUP BY depth")
 def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.depth_histogram(stored_nodes(spark, sf_dir))
+    return hierarchy.depth_histogram(stored_nodes(spark, sf_dir, "id", "parent_id"))
 
 
 @query("node_depths", _DEPTHS_SQL + " SELECT id, depth FROM d")
 def node_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.node_depths(stored_nodes(spark, sf_dir))
+    return hierarchy.node_depths(stored_nodes(spark, sf_dir, "id", "parent_id"))
 
 
 # the same hierarchy without its nations: customers lose their parents
@@ -142,7 +142,7 @@ _PAGES_SQL = """SELECT parent_id, CAST(pages AS INTEGER) AS pages, CAST(slot AS
 @query("children_lists", f"WITH {NODES_SQL} {_PAGES_SQL}")
 def children_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of 50, so that nations, with more customers than that, have several."""
-    paged = hierarchy.children_lists(stored_nodes(spark, sf_dir), page_size=50)
+    paged = hierarchy.children_lists(stored_nodes(spark, sf_dir, "id", "parent_id"), page_size=50)
     return paged.withColumn("children", F.array_join("children", " "))
 
 
@@ -162,7 +162,7 @@ _DOWN_SQL = f"""WITH RECURSIVE {NODES_SQL}, down AS (
 
 
 def _with_trail(df: DataFrame) -> DataFrame:
-    return df.withColumn("trail", F.array_join(F.transform("sort_path", lambda s: F.substring_index(s, "\x01", -1)), ">")).drop("sort_path")
+    return df.withColumn("trail", F.array_join(F.transform(F.split("sort_path", hierarchy.BELOW, -1), lambda s: F.substring_index(s, "\x01", -1)), ">")).drop("sort_path")
 
 
 @query(

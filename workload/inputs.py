@@ -192,9 +192,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_nodes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The hierarchy as a stored table, which is what operators that read it several times are given."""
-    return written(nodes(spark, sf_dir), "nodes")
+    rows = nodes(spark, sf_dir)
+    return written(rows.select(*columns) if columns else rows, "nodes")
 
 
 # --- entries: the vectors with the text of the document of that number, one collection per label

@@ -40,7 +40,7 @@ chunks AS (
     FROM defs d JOIN texts t ON t.doc_id = d.doc_id
     LEFT JOIN parents p ON p.doc_id = d.doc_id AND p.i = d.i AND p.kind = d.kind
     LEFT JOIN ends n ON n.doc_id = d.doc_id AND n.i = d.i AND n.kind = d.kind)"""
-_ID = "path || ':' || type || ':' || name || ':' || CAST(i AS VARCHAR)"
+CHUNK_ID_SQL = "path || ':' || type || ':' || name || ':' || CAST(i AS VARCHAR)"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chunk_extract",
-    f"""WITH {DEFS_SQL} SELECT {_ID} AS id, type, name, path, CAST(i + 1 AS INTEGER) AS start_line,
+    f"""WITH {DEFS_SQL} SELECT {CHUNK_ID_SQL} AS id, type, name, path, CAST(i + 1 AS INTEGER) AS start_line,
         0 AS start_col, CAST(e + 1 AS INTEGER) AS end_line, CAST(length(lines[e + 1]) AS INTEGER) AS end_col,
         parent_id, array_to_string(lines[i + 1 : e + 1], chr(10)) AS content FROM chunks""",
 )
@@ -57,14 +57,14 @@ def chunk_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).drop("decorators")
 
 
-@query("chunk_parents", f"WITH {DEFS_SQL} SELECT {_ID} AS id, type, parent_id FROM chunks")
+@query("chunk_parents", f"WITH {DEFS_SQL} SELECT {CHUNK_ID_SQL} AS id, type, parent_id FROM chunks")
 def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("id", "type", "parent_id")
 
 
 @query(
     "chunk_spans",
-    f"""WITH {DEFS_SQL} SELECT {_ID} AS id, CAST(i + 1 AS INTEGER) AS start_line, CAST(e + 1 AS INTEGER) AS end_line,
+    f"""WITH {DEFS_SQL} SELECT {CHUNK_ID_SQL} AS id, CAST(i + 1 AS INTEGER) AS start_line, CAST(e + 1 AS INTEGER) AS end_line,
         CAST(length(lines[e + 1]) AS INTEGER) AS end_col,
         md5(array_to_string(lines[i + 1 : e + 1], chr(10))) AS content FROM chunks""",
 )
@@ -89,7 +89,7 @@ def chunk_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT c.doc_id, c.i, c.type, max(f.i) AS last_plain
         FROM chunks c LEFT JOIN facts f ON f.doc_id = c.doc_id AND f.i < c.i AND NOT starts_with(f.bare, '@')
         GROUP BY 1, 2, 3)
-    SELECT {_ID} AS id,
+    SELECT {CHUNK_ID_SQL} AS id,
            array_to_string(list_transform(lines[coalesce(last_plain, -1) + 2 : i], lambda x: trim(x)), '|') AS decorators
     FROM chunks JOIN plain USING (doc_id, i, type)""",
 )
@@ -99,7 +99,7 @@ def chunk_decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chunk_ids",
-    f"WITH {DEFS_SQL} SELECT {_ID} AS id, path, type, name, CAST(i AS INTEGER) AS line FROM chunks",
+    f"WITH {DEFS_SQL} SELECT {CHUNK_ID_SQL} AS id, path, type, name, CAST(i AS INTEGER) AS line FROM chunks",
 )
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("id", "path", "type", "name", (F.col("start_line") - 1).alias("line"))
@@ -107,7 +107,7 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chunk_line_counts",
-    f"WITH {DEFS_SQL} SELECT {_ID} AS id, CAST(e - i + 1 AS INTEGER) AS lines FROM chunks",
+    f"WITH {DEFS_SQL} SELECT {CHUNK_ID_SQL} AS id, CAST(e - i + 1 AS INTEGER) AS lines FROM chunks",
 )
 def chunk_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from indexloom.functions.metadata import lines_in_chunk
@@ -117,7 +117,7 @@ def chunk_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chunk_summary",
-    f"""WITH {DEFS_SQL} SELECT {_ID} AS id, type || ':' || name AS qualified_name,
+    f"""WITH {DEFS_SQL} SELECT {CHUNK_ID_SQL} AS id, type || ':' || name AS qualified_name,
         type || ':' || name || ' at ' || path || ':' || CAST(i + 1 AS VARCHAR) || '-' || CAST(e + 1 AS VARCHAR) AS summary
     FROM chunks""",
 )

@@ -13,7 +13,8 @@ from indexloom.plans.ask import query_chunks
 from indexloom.plans.build import index_chunks, index_files
 from indexloom.session import scratch_path
 from indexloom.sources.store import IndexStore
-from workload.inputs import ENTRIES_SQL, entries, modules, table
+from workload.extract_queries import CHUNK_ID_SQL, DEFS_SQL
+from workload.inputs import ENTRIES_SQL, entries, hashed_sql, modules, table
 from workload.registry import query
 
 _ITEM_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
@@ -122,7 +123,20 @@ def collection_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again).unionByName(state("forced"))
 
 
-@query("end_to_end")
+@query(
+    "end_to_end",
+    f"""WITH {DEFS_SQL}, cc AS (SELECT {CHUNK_ID_SQL} AS id, type, parent_id,
+                                   array_to_string(lines[i + 1 : e + 1], chr(10)) AS content FROM chunks),
+    {hashed_sql("cc", "id", "content", "h")}, {hashed_sql("benchmark", "item_id", "text", "q")},
+    scored AS (SELECT q.key AS query_id, h.key AS id, round(list_cosine_similarity(h.vector, q.vector), 12) AS score
+               FROM h JOIN q ON true  -- a text whose token signs cancel has no direction and cannot be found
+               WHERE list_dot_product(h.vector, h.vector) > 0 AND list_dot_product(q.vector, q.vector) > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored),
+    found AS (SELECT r.query_id, r.id, r.score, cc.type, cc.parent_id,
+                     row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, r.id) AS rank
+              FROM ranked r JOIN cc ON cc.id = r.id WHERE r.rank <= 20 AND r.score >= 0.2 AND cc.type = 'method')
+    SELECT query_id, rank, id, round(score, 6) AS score, type, parent_id FROM found WHERE rank <= 10""",
+)
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources to chunks to vectors to a stored index, then every benchmark text asked of it."""
     store, model = IndexStore(spark, scratch_path(spark, "store")), get_model("hash-64")

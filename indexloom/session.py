@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +67,26 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession, root: str) -> None:
+    """Let executors import the packages under `root`, which only the driver needs to have: Spark sends them a copy."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    # Spark reads the file again for every new executor, so it stays for the life of the driver
+    folder = tempfile.mkdtemp(prefix="indexloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "indexloom_packages.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for package in ("indexloom", "workload"):
+            for at, _, names in os.walk(os.path.join(root, package)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(at, name)
+                        out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)

@@ -59,11 +59,15 @@ def cut_windows(places: np.ndarray, costs: np.ndarray, window: int) -> list[int]
     one with the least cost so far plus its place, among those at most `window` before: a monotone queue holds them.
     Starts exactly a power of two before need no padding and are looked up.
     """
-    at = [0, *places.tolist()]
-    best, came = [0] + [0] * len(places), [0] * len(at)
-    index = {0: 0}
+    all_places = np.concatenate([[0], places])
+    at = all_places.tolist()
+    best, came = [0] * len(at), [0] * len(at)
+    exact: dict[int, list[int]] = {}
+    for power in (1 << k for k in range(window.bit_length()) if 1 << k <= window):
+        start = np.searchsorted(all_places, all_places - power)
+        for j in np.flatnonzero(all_places[start] == all_places - power).tolist():
+            exact.setdefault(j, []).append(int(start[j]))
     queue = deque([(0, 0)])  # (cost + place, index), least first, newer ones after
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
     extra = [0, *costs.tolist()]
     for j in range(1, len(at)):
         place = at[j]
@@ -71,13 +75,11 @@ def cut_windows(places: np.ndarray, costs: np.ndarray, window: int) -> list[int]
             queue.popleft()
         low, i = queue[0]
         cost = low + window - place
-        for power in powers:
-            k = index.get(place - power)
-            if k is not None and best[k] < cost:
+        for k in exact.get(j, ()):
+            if best[k] < cost:
                 cost, i = best[k], k
         best[j] = cost + extra[j]
         came[j] = i
-        index[place] = j
         key = best[j] + place
         while queue and queue[-1][0] >= key:
             queue.pop()

@@ -36,12 +36,13 @@ def _words(piece: str) -> list[str]:
     return _WORDS.findall(low)
 
 
+# Latin letters and signs that no neighbour composes with and whose lower case is one character; no other white space.
+_PLAIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]+").fullmatch
+
+
 def _is_plain(piece: str) -> bool:
-    """Whether lower case and parting into words can be told without the library: Latin letters, no special string."""
-    return piece.isascii() and "<|" not in piece or (
-        max(piece) < "\u0250" and "<|" not in piece and unicodedata.is_normalized("NFC", piece) and len(piece.lower()) == len(piece)
-        and "\x85" not in piece and "\xa0" not in piece
-    )
+    """Whether lower case and parting into words can be told without the library: plain letters, no special string."""
+    return _PLAIN(piece) is not None and "<|" not in piece
 
 
 class Encoder:

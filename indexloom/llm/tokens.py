@@ -68,6 +68,8 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        if "<|" not in text and _PLAIN(text):
+            text = text.lower()  # as the vocabulary does; fewer different pieces to learn
         for c in _AS_SPACE:
             text = text.replace(c, " ")
         return text.split(" ")

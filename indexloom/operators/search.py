@@ -46,6 +46,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     """A list column as a (rows, dim) double matrix of unit vectors; rows of no length become NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column.value_lengths().unique()) > 1 or column.null_count:
+        raise ValueError("vectors that are compared must all have the same length")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("f8")
     m = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
     with np.errstate(invalid="ignore", divide="ignore"):

@@ -7,6 +7,7 @@ descended into. Storage must be one that all executors reach.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,8 @@ def _list_directories(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for directory in frame["path"]:
             system, base = pafs.FileSystem.from_uri(directory)
             found = system.get_file_info(pafs.FileSelector(base))
+            if system.type_name == "local":  # linked directories are not entered: they may lead back up
+                found = [i for i in found if i.type != pafs.FileType.Directory or not os.path.islink(i.path)]
             yield pd.DataFrame(
                 {
                     "path": [f"{directory.rstrip('/')}/{info.base_name}" for info in found],

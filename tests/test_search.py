@@ -1,6 +1,6 @@
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from indexloom.operators import search as S
 from indexloom.operators.embed import batched_model, get_model, hashed_vectors
@@ -124,4 +124,8 @@ def test_partial_top_k_before_the_shuffle(spark, vectors):
     df = S.search_batch(corpus, corpus.withColumnRenamed("id", "query_id"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert F is not None
+
+
+def test_vectors_of_different_lengths_are_refused():
+    with pytest.raises(ValueError):
+        S._matrix(pa.array([[1.0, 2.0], [1.0], [1.0, 2.0, 3.0]]))

@@ -184,3 +184,11 @@ def test_odd_collection_names(spark, store):
     assert {r["collection"] for r in store.embeddings().collect()} == {"007", "a/b=1 +%", "Ünï"}
     assert store.embeddings("007").count() == 1 and store.embeddings("a/b=1 +%").count() == 1
     assert all(r["entries"] == 1 and r["bytes"] > 0 for r in store.info().collect())
+
+
+def test_walk_does_not_enter_linked_directories(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.py").write_text("a = 1\n")
+    (tmp_path / "y").symlink_to(tmp_path / "x")
+    (tmp_path / "x" / "up").symlink_to(tmp_path)
+    assert [r["path"] for r in walk(spark, str(tmp_path)).collect()] == [f"{tmp_path}/x/a.py"]

@@ -1,175 +1,138 @@
 """Cut source files into classes, functions and methods.
 
-Everything about one file can be worked out from its own row, so extraction is a map: a file is split
-into an array of lines, the lines become facts (indentation, definition names), and one `aggregate`
-over the facts pairs every definition with its parent and the line that ends its block. There is no
-shuffle, no join and no Python, the work is linear in the number of lines, and a project that holds a
-third of all files is spread like any other input.
+Everything about one file can be worked out from its own row, so extraction is a map over Arrow batches:
+one pass over the lines of a file with a stack of open blocks pairs every definition with its parent and
+the line that ends its block. There is no shuffle and no join, the work is linear in the lines and in the
+contents that come out, and a project that holds a third of all files is spread like any other input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
+from operator import itemgetter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from indexloom.functions.text import WHITE, WORD, extension, is_blank, lstrip_ws, split_lines, strip_ws
+from indexloom.functions.text import extension
+from indexloom.schemas import CHUNKS
 from indexloom.session import spread
 
 # How a definition looks on a single line (searched for anywhere in it).
-CLASS_LINE = rf"class[{WHITE}]+({WORD}+)(?:[{WHITE}]*\([{WHITE}]*.*?[{WHITE}]*\))?[{WHITE}]*:"
-FUNCTION_LINE = rf"def[{WHITE}]+({WORD}+)[{WHITE}]*\(.*?\)[{WHITE}]*(?:->.*?)?[{WHITE}]*:"
-
-_DEF = "struct<line:int,indent:int,is_class:boolean,name:string,parent:string,deco:int>"
-_START = f"""named_struct(
-    'deco_from', -1, 'deco_to', -2,
-    'classes', cast(array() as array<struct<indent:int,id:string>>),
-    'open', cast(array() as array<struct<indent:int,nth:int>>),
-    'ends', cast(array() as array<struct<nth:int,end:int>>),
-    'defs', cast(array() as array<{_DEF}>))"""
-
-
-def _captured(line: Column, keyword: str, pattern: str) -> Column:
-    """Name defined on a line, or empty. The plain substring test spares most lines the regex."""
-    return F.when(F.contains(line, F.lit(keyword)), F.regexp_extract(line, pattern, 1)).otherwise("")
-
-
-def line_facts(lines: Column) -> Column:
-    """One struct per line: number (0-based), indentation, blank and decorator marks, and the names of a
-    class and of a function defined on it. Trimming thrice is cheaper than one more pass over the lines."""
-    return F.transform(
-        lines,
-        lambda text, i: F.struct(
-            i.alias("line"),
-            (F.length(text) - F.length(lstrip_ws(text))).alias("indent"),
-            is_blank(text).alias("blank"),
-            F.startswith(lstrip_ws(text), F.lit("@")).alias("deco"),
-            _captured(text, "class", CLASS_LINE).alias("cls"),
-            _captured(text, "def", FUNCTION_LINE).alias("fn"),
-        ),
-    )
-
-
-def chunk_id(path: Column, kind: Column, name: Column, line: Column) -> Column:
-    """`path:type:name:line` with a 0-based line."""
-    return F.concat_ws(":", path, kind, name, line.cast("string"))
-
-
-def _definition(s: Column, x: Column, is_class: bool, name: Column, parent: Column) -> Column:
-    deco = F.when(s["deco_to"] == x["line"] - 1, x["line"] - s["deco_from"]).otherwise(0)
-    return F.struct(
-        x["line"].alias("line"),
-        x["indent"].alias("indent"),
-        F.lit(is_class).alias("is_class"),
-        name.alias("name"),
-        parent.alias("parent"),
-        deco.alias("deco"),
-    )
-
-
-def definitions(facts: Column, path: Column) -> Column:
-    """Definitions of a file in order, with parent, number of decorators and last line (NULL: the file's).
-
-    `defs` collects them, `open` says which still run, by growing indentation, `ends` where the others
-    ended, and `classes` which classes a later definition may belong to. A blank line changes
-    nothing, nor does one that is neither a definition nor a decorator and is indented deeper than the
-    innermost open block: most lines of a file.
-    """
+CLASS_LINE = re.compile(r"class\s+(\w+)(?:\s*\(\s*.*?\s*\))?\s*:")
+FUNCTION_LINE = re.compile(r"def\s+(\w+)\s*\(.*?\)\s*(?:->.*?)?\s*:")
+
+# every stored column but those that the store or the build fill in
+_LATER = ("collection", "metadata", "updated")
+EXTRACTED = T.StructType([T.StructField(f.name, f.dataType) for f in CHUNKS.fields if f.name not in _LATER])
+BATCH_CHARS, BATCH_ROWS = 1 << 24, 10_000  # an output batch ends where it reaches either
+
+
+@dataclass
+class Definition:
+    kind: str
+    name: str
+    line: int
+    parent: str | None
+    first_decorator: int
+    end: int | None = None
 
-    def step(s: Column, x: Column) -> Column:
-        is_class, is_function = x["cls"] != "", x["fn"] != ""
-        innermost = F.try_element_at(s["open"], F.lit(-1))
-        nothing_ends = innermost.isNull() | (innermost["indent"] < x["indent"])
-        quiet = x["blank"] | (~x["deco"] & ~is_class & ~is_function & nothing_ends)
-
-        outer = F.filter(s["classes"], lambda c: c["indent"] < x["indent"])
-        parent = F.try_element_at(outer, F.lit(-1))["id"]
-        own_id = chunk_id(path, F.lit("class"), x["cls"], x["line"])
-        as_class = _definition(s, x, True, x["cls"], parent)
-        as_function = _definition(s, x, False, x["fn"], parent)
-        nth = F.size(s["defs"])
-
-        def runs(n: Column) -> Column:
-            return F.struct(x["indent"].alias("indent"), n.alias("nth"))
-
-        def added(to: Column, c: Column, f: Column, both: Column) -> Column:
-            """`to` with the class, the function or both of the line put at its end."""
-            return (
-                F.when(is_class & is_function, F.concat(to, both))
-                .when(is_class, F.array_append(to, c))
-                .when(is_function, F.array_append(to, f))
-                .otherwise(to)
-            )
-
-        running = F.filter(s["open"], lambda d: d["indent"] < x["indent"])
-        ended = F.transform(
-            F.filter(s["open"], lambda d: d["indent"] >= x["indent"]),
-            lambda d: F.struct(d["nth"].alias("nth"), (x["line"] - 1).alias("end")),
-        )
-        first_deco = F.when(s["deco_to"] == x["line"] - 1, s["deco_from"]).otherwise(x["line"])
-        changed = F.struct(
-            F.when(x["deco"], first_deco).otherwise(s["deco_from"]).alias("deco_from"),
-            F.when(x["deco"], x["line"]).otherwise(s["deco_to"]).alias("deco_to"),
-            F.when(is_class, F.array_append(outer, F.struct(x["indent"].alias("indent"), own_id.alias("id"))))
-            .otherwise(s["classes"])
-            .alias("classes"),
-            added(
-                F.when(nothing_ends, s["open"]).otherwise(running),
-                runs(nth),
-                runs(nth),
-                F.array(runs(nth), runs(nth + 1)),
-            ).alias("open"),
-            F.when(nothing_ends, s["ends"]).otherwise(F.concat(s["ends"], ended)).alias("ends"),
-            added(s["defs"], as_class, as_function, F.array(as_class, as_function)).alias("defs"),
-        )
-        return F.when(quiet, s).otherwise(changed)
-
-    def joined(s: Column) -> Column:
-        still_open = F.transform(
-            s["open"], lambda d: F.struct(d["nth"].alias("nth"), F.lit(None).cast("int").alias("end"))
-        )
-        ends = F.sort_array(F.concat(s["ends"], still_open))  # by nth: one entry per definition
-        return F.zip_with(s["defs"], ends, lambda d, e: F.struct(d.alias("d"), e["end"].alias("end")))
-
-    return F.aggregate(facts, F.expr(_START), step, joined)
+
+def chunk_id(path: str | None, kind: str, name: str, line: int) -> str:
+    """`path:type:name:line` with a 0-based line; a NULL path is left out."""
+    return ":".join([*([] if path is None else [path]), kind, name, str(line)])
+
+
+def definitions(path: str | None, lines: list[str]) -> list[Definition]:
+    """Definitions of a file in order, a class before a function on the same line.
+
+    A parent is the nearest earlier class that is indented less; `classes` holds those that can still be one.
+    A block ends before the next line that is not blank and not indented deeper; `running` holds the open
+    ones. Both grow in indentation, so a line only looks at their ends. An end that is None is the file's.
+    """
+    found: list[Definition] = []
+    classes: list[tuple[int, str]] = []
+    running: list[tuple[int, Definition]] = []
+    first_decorator = 0
+    for i, line in enumerate(lines):
+        bare = line.lstrip()
+        if not bare:
+            first_decorator = i + 1
+            continue
+        indent = len(line) - len(bare)
+        while running and running[-1][0] >= indent:
+            running.pop()[1].end = i - 1
+        as_class = CLASS_LINE.search(line) if "class" in bare else None
+        as_function = FUNCTION_LINE.search(line) if "def" in bare else None
+        if as_class or as_function:
+            outer = bisect_left(classes, indent, key=itemgetter(0))
+            parent = classes[outer - 1][1] if outer else None
+            if as_class:
+                found.append(Definition("class", as_class[1], i, parent, first_decorator))
+                running.append((indent, found[-1]))
+                classes[outer:] = [(indent, chunk_id(path, "class", as_class[1], i))]
+            if as_function:
+                kind = "function" if parent is None else "method"
+                found.append(Definition(kind, as_function[1], i, parent, first_decorator))
+                running.append((indent, found[-1]))
+        if not bare.startswith("@"):
+            first_decorator = i + 1
+    return found
+
+
+def _chunks(path: str | None, text: str) -> Iterator[tuple]:
+    """Rows of `EXTRACTED` for one text. Contents are cut out of the joined lines only when they are asked for."""
+    lines = text.splitlines()
+    found = definitions(path, lines)
+    if not found:
+        return
+    whole = "\n".join(lines)
+    starts = list(accumulate((len(line) + 1 for line in lines), initial=0))
+    for d in found:
+        end = len(lines) - 1 if d.end is None else d.end
+        yield (
+            chunk_id(path, d.kind, d.name, d.line), d.kind, d.name, path, d.line + 1, 0, end + 1, len(lines[end]), d.parent,
+            whole[starts[d.line] : starts[end + 1] - 1], [line.strip() for line in lines[d.first_decorator : d.line]],
+        )
+
+
+_TYPES = {T.StringType(): pa.string(), T.IntegerType(): pa.int32(), T.ArrayType(T.StringType(), False): pa.list_(pa.string())}
+_ARROW = pa.schema([(f.name, _TYPES[f.dataType]) for f in EXTRACTED.fields])
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    content = EXTRACTED.names.index("content")
+    rows: list[tuple] = []
+    chars = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW, strict=True)], schema=_ARROW)
+
+    for files in batches:
+        for path, text in zip(files.column(0), files.column(1), strict=True):
+            for row in _chunks(path.as_py(), text.as_py() or ""):
+                rows.append(row)
+                chars += len(row[content])
+                if chars >= BATCH_CHARS or len(rows) >= BATCH_ROWS:
+                    yield batch()
+                    rows, chars = [], 0
+    if rows:
+        yield batch()
 
 
 def python_chunks(files: DataFrame) -> DataFrame:
     """Files `(path, content)` to chunk rows.
 
     Chunks of a file keep its order of definitions through `start_line`; a block left open runs to the
-    last line. Decorator lines are reported but are not part of the content.
+    last line. Decorator lines are reported but are not part of the content. A NULL content has no chunks.
     """
-    lines = spread(files.select("path", "content")).select("path", split_lines(F.col("content")).alias("lines"))
-    found = lines.select("path", "lines", definitions(line_facts(F.col("lines")), F.col("path")).alias("found"))
-
-    def chunk(found: Column) -> Column:
-        d = found["d"]
-        end = F.coalesce(found["end"], F.size("lines") - 1)
-        kind = F.when(d["is_class"], "class").when(d["parent"].isNotNull(), "method").otherwise("function")
-        return F.struct(
-            chunk_id(F.col("path"), kind, d["name"], d["line"]).alias("id"),
-            kind.alias("type"),
-            d["name"].alias("name"),
-            (d["line"] + 1).alias("start_line"),
-            F.lit(0).alias("start_col"),
-            (end + 1).alias("end_line"),
-            F.length(F.element_at("lines", end + 1)).alias("end_col"),
-            d["parent"].alias("parent_id"),
-            F.array_join(F.slice("lines", d["line"] + 1, end - d["line"] + 1), "\n").alias("content"),
-            F.transform(
-                F.slice("lines", d["line"] - d["deco"] + 1, d["deco"]),
-                strip_ws,
-            ).alias("decorators"),
-        )
-
-    rows = found.select("path", F.explode(F.transform("found", chunk)).alias("c"))
-    return rows.select(
-        "c.id", "c.type", "c.name", "path", "c.start_line", "c.start_col", "c.end_line", "c.end_col",
-        "c.parent_id", "c.content", "c.decorators",
-    )
+    return spread(files.select("path", "content")).mapInArrow(_extract, EXTRACTED)
 
 
 @dataclass(frozen=True)

@@ -1,9 +1,10 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from indexloom.operators.extract import Language, detect_language, extract_chunks, python_chunks, register_language
+from indexloom.operators.extract import Language, _chunks, detect_language, extract_chunks, python_chunks, register_language
 
 
 def chunks(spark, *sources):
@@ -157,4 +158,21 @@ def test_extraction_does_not_shuffle(spark, tmp_path):
     files = spark.range(40).repartition(16).selectExpr("concat(id, '.py') AS path", "'def f(): pass' AS content")
     files.write.parquet(str(tmp_path / "files"))
     plan = python_chunks(spark.read.parquet(str(tmp_path / "files")))._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "Python" not in plan
+    assert "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_one_file_of_very_many_definitions_takes_linear_time():
+    def took(n):
+        text = "class C:\n" + "".join(f"    @d\n    def f{i}(x): return {i}\n" for i in range(n))
+        start = time.perf_counter()
+        assert sum(1 for _ in _chunks("m.py", text)) == n + 1
+        return time.perf_counter() - start
+
+    took(1000)
+    assert min(took(80_000) for _ in range(3)) < 10 * min(took(20_000) for _ in range(3))
+
+
+def test_null_paths_and_contents(spark):
+    rows = [(None, "class A:\n  def f(): pass"), ("n.py", None)]
+    found = python_chunks(spark.createDataFrame(rows, "path string, content string")).collect()
+    assert {(r["id"], r["parent_id"]) for r in found} == {("class:A:0", None), ("method:f:1", "class:A:0")}

@@ -1,28 +1,37 @@
-"""Text to vectors."""
+"""Text to vectors.
+
+A model is a map: rows go in, the same rows with a vector come out. Nothing is grouped or joined, so equal
+keys stay separate rows and no text is shuffled.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indexloom.session import spread
 
-BLANKS = "[ \t\n\r\f\x0b]+"
+BLANKS = re.compile("[ \t\n\r\f\x0b]+")
+Encoder = Callable[[list[str]], np.ndarray]
 
 
 @dataclass(frozen=True)
 class Model:
-    """A named embedder: `embed(df, key, text_column)` gives one row `(key, vector)` per distinct key."""
+    """A named embedder: `embed(rows, text_column)` gives the rows and their `vector`; NULL texts are left out."""
 
     name: str
     dim: int
-    embed: Callable[[DataFrame, str, str], DataFrame]
+    embed: Callable[[DataFrame, str], DataFrame]
 
 
 _MODELS: dict[str, Model] = {}
@@ -38,56 +47,60 @@ def get_model(name: str) -> Model:
     return _MODELS[name]
 
 
-def hashed_vectors(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """Feature hashing (Weinberger et al. 2009): signed token counts in `dim` slots, L2-normalised.
+def _with_vectors(rows: DataFrame, text: str, open_model: Callable[[], Encoder], batch_size: int) -> DataFrame:
+    """The rows with a non-null text and the vectors of their texts, `batch_size` texts at a time."""
+    rows = rows.drop("vector").filter(F.col(text).isNotNull())
+    at = rows.columns.index(text)
+    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType(), False))])
 
-    Tokens are exploded and counted per (key, slot), which combines inside the task that read the text:
-    what is shuffled is at most `dim` small rows per text however long it is, and no text. A text
-    without tokens gets the zero vector.
-    """
-    tokens = spread(df.select(key, text)).select(key, F.explode(F.split(F.lower(text), BLANKS)).alias("token"))
-    digests = tokens.select(key, "token", F.md5("token").alias("digest"))
-    signed = 1 - 2 * (F.substring("digest", 32, 1) >= "8").cast("int")
-    slots = digests.select(
-        key,
-        F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int").alias("at"),
-        (signed * (F.col("token") != "").cast("int")).alias("w"),
-    )
-    counts = slots.groupBy(key, "at").agg(F.sum("w").alias("w"))
-    weights = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("w"),  # at most dim entries
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-    )
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_divide(F.try_element_at(F.col("w"), i), F.col("norm")), F.lit(0.0)).cast("float"),
-    )
-    return weights.select(key, filled.alias("vector"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = open_model()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, batch_size):
+                part = batch.slice(lo, batch_size)
+                vectors = np.asarray(encode(part.column(at).to_pylist()), dtype="f4")
+                ends = np.arange(len(vectors) + 1, dtype="i4") * vectors.shape[1]
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)
 
+    return spread(rows).mapInArrow(run, schema)
 
-def hashing_model(dim: int = 64) -> Model:
-    return Model(f"hash-{dim}", dim, lambda df, key, text: hashed_vectors(df, key, text, dim))
 
+def _hashing(dim: int) -> Encoder:
+    @lru_cache(maxsize=200_000)
+    def slot(token: str) -> tuple[int, int]:
+        digest = hashlib.md5(token.encode()).hexdigest()
+        return int(digest[:8], 16) % dim, -1 if digest[-1] >= "8" else 1
 
-def batched_model(
-    name: str, dim: int, open_model: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 64
-) -> Model:
-    """A model called from Python: `open_model` runs once per task and returns texts -> (n, dim) array."""
+    def encode(texts: list[str]) -> np.ndarray:
+        counts = np.zeros((len(texts), dim))
+        for row, text in zip(counts, texts, strict=True):
+            for token, n in Counter(BLANKS.split(text)).items():
+                if token:
+                    at, sign = slot(token)
+                    row[at] += sign * n
+        norms = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+        return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
 
-    def embed(df: DataFrame, key: str, text: str) -> DataFrame:
-        schema = T.StructType([df.schema[key], T.StructField("vector", T.ArrayType(T.FloatType()))])
+    return encode
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            encode = open_model()
-            for frame in frames:
-                for lo in range(0, len(frame), batch_size):
-                    part = frame.iloc[lo : lo + batch_size]
-                    vectors = np.asarray(encode(part[text].tolist()), dtype="f4")
-                    yield pd.DataFrame({key: part[key].to_numpy(), "vector": list(vectors)})
 
-        return df.select(key, text).mapInPandas(run, schema)
+def hashed_vectors(rows: DataFrame, text: str, dim: int = 64) -> DataFrame:
+    """Feature hashing (Weinberger et al. 2009): signed token counts in `dim` slots, L2-normalised.
 
-    return Model(name, dim, embed)
+    A text without tokens gets the zero vector. Texts are lower-cased by Spark, for the same result as its SQL.
+    """
+    lowered = rows.withColumn("__lowered", F.lower(text))
+    return _with_vectors(lowered, "__lowered", lambda: _hashing(dim), 1024).drop("__lowered")
+
+
+def hashing_model(dim: int = 64) -> Model:
+    return Model(f"hash-{dim}", dim, lambda rows, text: hashed_vectors(rows, text, dim))
+
+
+def batched_model(name: str, dim: int, open_model: Callable[[], Encoder], batch_size: int = 64) -> Model:
+    """A model called from Python: `open_model` runs once per task and returns texts -> (n, dim) array."""
+    return Model(name, dim, lambda rows, text: _with_vectors(rows, text, open_model, batch_size))
 
 
 register_model(hashing_model(64))

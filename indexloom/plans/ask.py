@@ -22,7 +22,7 @@ from indexloom.sources.store import IndexStore
 
 def embed_queries(queries: DataFrame, model: Model) -> DataFrame:
     """`(query_id, text)` to `(query_id, vector)`, computed once."""
-    return written(model.embed(queries, "query_id", "text"), "query-vectors")
+    return written(model.embed(queries.select("query_id", "text"), "text").drop("text"), "query-vectors")
 
 
 def one_query(spark: SparkSession, query: str) -> DataFrame:

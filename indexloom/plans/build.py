@@ -12,6 +12,7 @@ from indexloom.functions.text import is_blank
 from indexloom.functions.tokens import word_token_count
 from indexloom.operators.embed import Model
 from indexloom.operators.extract import detect_language, extract_chunks
+from indexloom.operators.upsert import latest
 from indexloom.session import written
 from indexloom.sources.store import IndexStore
 
@@ -36,8 +37,16 @@ def not_blank(chunks: DataFrame) -> DataFrame:
 
 
 def embed_entries(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows `(id, content, ...)` with their `vector`; rows the model returns nothing for are dropped."""
-    return rows.join(model.embed(rows.select("id", "content"), "id", "content"), "id", "inner")
+    """Rows `(id, content, ...)` with their `vector`; rows without a content are dropped."""
+    return model.embed(rows, "content")
+
+
+def last_versions(files: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row per path: the last by `order`, or where that leaves several, the one with the greatest content.
+
+    Versions are reduced in the task that reads them before anything is shuffled.
+    """
+    return latest(files, ["path"], [*(order or []), "content"])
 
 
 def index_files(
@@ -47,16 +56,23 @@ def index_files(
     collection: str = FILE_COLLECTION,
     force: bool = False,
     count_tokens: Callable[[Column], Column] = word_token_count,
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Embed whole files `(path, content)` into a new collection. Returns a status per file."""
-    store.create(collection, model.name, model.dim, force)
-    files = written(files, "files-read")
+    """Embed whole files `(path, content)` into a new collection. Returns a status per path.
+
+    Of a repeated path the last version by the columns `order` counts. The collection is registered when its
+    vectors are there, so a failure in reading or embedding leaves no empty collection behind.
+    """
+    store.require_free(collection, force)
+    files = written(last_versions(files, order), "files-read")
     rows = not_empty(files).select(
         F.col("path").alias("id"),
         "content",
         file_metadata(F.col("path"), count_tokens(F.col("content"))).alias("metadata"),
     )
-    store.upsert_embeddings(collection, written(embed_entries(rows, model), "files-embedded"))
+    embedded = written(embed_entries(rows, model), "files-embedded")
+    store.create(collection, model.name, model.dim, force)
+    store.upsert_embeddings(collection, embedded)
     return file_status(files).select("path", "status")
 
 
@@ -73,14 +89,17 @@ def index_chunks(
     collection: str = CHUNK_COLLECTION,
     force: bool = False,
     count_tokens: Callable[[Column], Column] = word_token_count,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Cut files into chunks and embed those into a new collection.
 
     A chunk enters the chunk table only with its vector. Returns a status per supported file: `ok` when
     at least one of its chunks was stored, else `error`.
     """
+    store.require_free(collection, force)
+    supported, embedded = _embedded_chunks(files, model, count_tokens, order)
     store.create(collection, model.name, model.dim, force)
-    return add_chunks(store, files, model, collection, count_tokens)
+    return _store_chunks(store, supported, embedded, collection, None)
 
 
 def add_chunks(
@@ -89,12 +108,34 @@ def add_chunks(
     model: Model,
     collection: str,
     count_tokens: Callable[[Column], Column] = word_token_count,
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Insert or replace the chunks of `files` in an existing collection."""
+    """Bring the chunks of `files` in an existing collection up to date.
+
+    Of a repeated path the last version by the columns `order` counts. Chunks are inserted or replaced, and those
+    that a path had before and has no more are removed.
+    """
+    supported, embedded = _embedded_chunks(files, model, count_tokens, order)
+    known = store.chunks(collection).select("id", "path").join(supported.select("path"), "path", "left_semi")
+    gone = written(known.join(embedded.select("id"), "id", "left_anti").select("id"), "chunks-gone")
+    return _store_chunks(store, supported, embedded, collection, gone)
+
+
+def _embedded_chunks(
+    files: DataFrame, model: Model, count_tokens: Callable[[Column], Column], order: list[str] | None
+) -> tuple[DataFrame, DataFrame]:
+    """Paths in a supported language and all their chunks with vectors, both as tables."""
     supported = detect_language(files).filter(F.col("language").isNotNull())
-    embedded = written(embed_entries(chunk_rows(files, count_tokens), model), "chunks-embedded")
-    store.upsert_embeddings(collection, embedded.select("id", "vector", "content", "metadata"))
-    store.upsert_chunks(collection, embedded.drop("vector"))
+    last = written(last_versions(supported.select("path", "content", *(order or [])), order), "files-last")
+    return last, written(embed_entries(chunk_rows(last, count_tokens), model), "chunks-embedded")
+
+
+def _store_chunks(
+    store: IndexStore, supported: DataFrame, embedded: DataFrame, collection: str, gone: DataFrame | None
+) -> DataFrame:
+    # the chunk table tells which chunks are gone, so it changes last and a repeated run finds them again
+    store.upsert_embeddings(collection, embedded.select("id", "vector", "content", "metadata"), gone=gone)
+    store.upsert_chunks(collection, embedded.drop("vector"), gone=gone)
     stored = embedded.groupBy("path").agg(F.count("*").alias("chunks"))
     return supported.select("path").join(stored, "path", "left").select(
         "path",

@@ -93,14 +93,18 @@ class IndexStore:
         if (row["model"], row["dim"]) != (model, dim):
             raise ModelMismatch(f"{collection!r} was built with {row['model']} ({row['dim']}), not {model} ({dim})")
 
+    def require_free(self, collection: str, force: bool = False) -> None:
+        """Refuse a name that is taken, unless `force` is about to empty the index."""
+        if not force and self.exists() and collection in self.collection_names():
+            raise CollectionExists(collection)
+
     def create(
         self, collection: str, model: str, dim: int, force: bool = False, buckets: int = DEFAULT_BUCKETS
     ) -> None:
         """Register a collection. An existing one is refused; `force` empties the whole index, with every
         other collection in it."""
+        self.require_free(collection, force)
         fresh = force or not self.exists()
-        if not fresh and collection in self.collection_names():
-            raise CollectionExists(collection)
         if fresh:
             for table in ("embeddings", "chunks"):
                 empty = self.spark.createDataFrame([], self._schemas[table])
@@ -134,9 +138,11 @@ class IndexStore:
     def chunks(self, collection: str | None = None) -> DataFrame:
         return self._table("chunks", collection)
 
-    def _upsert(self, table: str, collection: str, new: DataFrame, order: list[str] | None) -> None:
-        """Replace by id within the buckets that `new` touches. `new` is read more than once, so it should
-        be a table rather than a computation.
+    def _upsert(
+        self, table: str, collection: str, new: DataFrame, order: list[str] | None, gone: DataFrame | None
+    ) -> None:
+        """Replace by id, and remove the ids of `gone`, within the buckets that these touch. Both are read more
+        than once, so they should be tables rather than computations.
 
         Where rows are there already, the merged buckets are written aside first: nothing is overwritten
         while it is being read, and a failed job leaves the index as it was.
@@ -148,14 +154,30 @@ class IndexStore:
             .withColumn("updated", F.current_timestamp())
             .withColumn("bucket", _bucket_of(F.col("id"), buckets))
         )
-        touched = new.select("bucket").distinct()  # at most `buckets` rows
-        present = self._read(table).filter(F.col("collection") == collection)
-        present = present.join(F.broadcast(touched), "bucket", "left_semi").select(*names)
+        touched = new.select("bucket")
+        if gone is not None:
+            touched = touched.union(gone.select(_bucket_of(F.col("id"), buckets)))
+        touched = touched.distinct()  # at most `buckets` rows
+        stored = self._read(table).filter(F.col("collection") == collection)
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
+        folders = stored.select("bucket", folder).distinct()
+        present = stored.join(F.broadcast(touched), "bucket", "left_semi").select(*names)
         if present.isEmpty():
             self._write(_by_bucket(latest(new, ["id"], order) if order else new).select(*names), table, "dynamic")
             return
-        staged = written(_by_bucket(upsert(present, new, ["id"], order)).select(*names), f"{table}-merged")
+        kept = present if gone is None else present.join(gone.select("id"), "id", "left_anti")
+        staged = written(_by_bucket(upsert(kept, new, ["id"], order)).select(*names), f"{table}-merged")
+        emptied = []
+        if gone is not None:  # buckets that lose their last row: the write below would leave them as they are
+            filled = staged.select("bucket").distinct()
+            emptied = folders.join(touched, "bucket", "left_semi").join(filled, "bucket", "left_anti").collect()
         self._write(staged, table, "dynamic")
+        for row in emptied:  # at most `buckets`
+            self._delete(row["folder"])
+
+    def _delete(self, folder: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(folder))
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def lookup(self, table: str, collection: str, ids: DataFrame) -> DataFrame:
         """Rows of the given ids. Few ids become literals, which prune to their buckets and, ids being
@@ -169,13 +191,17 @@ class IndexStore:
         named = F.col("bucket").isin({r["bucket"] for r in few}) & F.col("id").isin([r["id"] for r in few])
         return rows.filter(named).drop("bucket")
 
-    def upsert_embeddings(self, collection: str, new: DataFrame, order: list[str] | None = None) -> None:
-        """`new`: id, vector, content, metadata, and the columns named in `order`."""
-        self._upsert("embeddings", collection, new, order)
+    def upsert_embeddings(
+        self, collection: str, new: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None
+    ) -> None:
+        """`new`: id, vector, content, metadata, and the columns named in `order`. `gone`: ids to remove."""
+        self._upsert("embeddings", collection, new, order, gone)
 
-    def upsert_chunks(self, collection: str, new: DataFrame, order: list[str] | None = None) -> None:
-        """`new`: the chunk columns without collection and updated."""
-        self._upsert("chunks", collection, new, order)
+    def upsert_chunks(
+        self, collection: str, new: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None
+    ) -> None:
+        """`new`: the chunk columns without collection and updated. `gone`: ids to remove."""
+        self._upsert("chunks", collection, new, order, gone)
 
     def info(self) -> DataFrame:
         """Entries and size on disk per collection, also of collections that are still empty.

@@ -103,17 +103,26 @@ def test_over_fetch_returns_fewer(spark):
 def test_hashed_vectors(spark):
     texts = [(0, "a b a"), (1, ""), (2, " \n\t "), (3, "A  B\x0bA "), (4, "\u00c9t\u00e9")]
     df = spark.createDataFrame(texts, "id long, text string")
-    got = {r["id"]: np.array(r["vector"]) for r in hashed_vectors(df, "id", "text", 16).collect()}
+    got = {r["id"]: np.array(r["vector"]) for r in hashed_vectors(df, "text", 16).collect()}
     assert set(got) == {0, 1, 2, 3, 4} and all(len(v) == 16 for v in got.values())
     assert not got[1].any() and not got[2].any()
     assert np.array_equal(got[0], got[3])
     assert np.isclose(np.linalg.norm(got[4]), 1)
 
 
+def test_rows_of_one_key_keep_their_own_vectors(spark):
+    rows = [(7, "a b", {"k": "v"}), (7, "c", None), (7, None, None)]
+    found = hashed_vectors(spark.createDataFrame(rows, "id long, text string, extra map<string,string>"), "text", 16)
+    alone = hashed_vectors(spark.createDataFrame([("a b",), ("c",)], "text string"), "text", 16).collect()
+    assert {r["text"]: r["vector"] for r in found.collect()} == {r["text"]: r["vector"] for r in alone}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["id", "text", "extra", "vector"] and "hashpartitioning" not in plan and "Join" not in plan
+
+
 def test_batched_model(spark):
     opened = batched_model("lengths", 2, lambda: lambda ts: np.array([[len(t), 1] for t in ts]), batch_size=3)
     df = spark.createDataFrame([(str(i), "x" * i) for i in range(8)], "id string, content string").repartition(2)
-    got = {r["id"]: list(r["vector"]) for r in opened.embed(df, "id", "content").collect()}
+    got = {r["id"]: list(r["vector"]) for r in opened.embed(df, "content").collect()}
     assert got == {str(i): [float(i), 1.0] for i in range(8)}
     with pytest.raises(KeyError, match="hash-64"):
         get_model("nope")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from indexloom.errors import CollectionExists, CollectionNotFound, IndexNotFound, ModelMismatch
-from indexloom.operators.embed import get_model, hashing_model
+from indexloom.operators.embed import batched_model, get_model, hashing_model
 from indexloom.operators.upsert import latest, upsert
 from indexloom.plans import ask, build
 from indexloom.schemas import FILES
@@ -127,6 +127,44 @@ def test_stream_updates_an_index(spark, store, files, tmp_path):
     assert stored["b.py:function:g:0"] == "def g(): return 2" and "z.py:class:Z:0" in stored and len(stored) == 4
 
 
+def test_a_repeated_path_is_stored_once(spark, store):
+    rows = [("a.py", "def f(): return 1", 1), ("a.py", "def f(): return 3\ndef g(): pass", 3), ("a.py", "x = 2", 2)]
+    versions = spark.createDataFrame(rows, "path string, content string, version int")
+    model = get_model("hash-64")
+    build.index_chunks(store, versions, model, order=["version"])
+    build.index_files(store, versions, model, order=["version"])
+    assert sorted(r["id"] for r in store.chunks("chunks").collect()) == ["a.py:function:f:0", "a.py:function:g:1"]
+    assert [r["content"] for r in store.embeddings("files").collect()] == [rows[1][1]]
+    best = ask.best_file(store, ask.one_query(spark, rows[1][1]), model, "files").first()
+    assert best["score"] == 1.0
+
+
+def test_an_edited_file_loses_its_former_chunks(spark, store, files):
+    model = get_model("hash-64")
+    build.index_chunks(store, files, model, "odd/name=1 +%")
+    edited = [("a.py", "\n\nclass A:\n  def f(x): return 1"), ("b.py", "")]
+    edited = spark.createDataFrame(edited, "path string, content string")
+    for _ in range(2):
+        build.add_chunks(store, edited, model, "odd/name=1 +%").collect()
+        ids = {"a.py:class:A:2", "a.py:method:f:3"}
+        assert {r["id"] for r in store.chunks("odd/name=1 +%").collect()} == ids
+        assert {r["id"] for r in store.embeddings("odd/name=1 +%").collect()} == ids
+    nothing = spark.createDataFrame([("a.py", "x = 1")], "path string, content string")
+    build.add_chunks(store, nothing, model, "odd/name=1 +%")
+    assert store.chunks("odd/name=1 +%").count() == 0 == store.embeddings("odd/name=1 +%").count()
+
+
+def test_a_failed_build_registers_nothing(spark, store, files):
+    def broken():
+        raise RuntimeError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        build.index_files(store, files, batched_model("broken", 2, broken))
+    assert not store.exists()
+    build.index_files(store, files, get_model("hash-64"))
+    assert store.collection_names() == ["files"]
+
+
 def test_scan_and_read(spark, tmp_path):
     root = tmp_path / "project"
     contents = {

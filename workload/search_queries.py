@@ -163,14 +163,14 @@ def chunk_search_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {hashed_sql('documents', 'doc_id', 'text', 'h')} SELECT key AS doc_id, slot, round(w, 6) AS weight FROM h_w",
 )
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
+    vectors = hashed_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
     slots = vectors.select("doc_id", F.posexplode("vector").alias("slot", "weight"))
     return slots.withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 
 
 def _text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
-    questions = written(hashed_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text"), "question-vectors")
+    docs = hashed_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+    questions = written(hashed_vectors(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text").drop("text"), "question-vectors")
     return search_batch(
         docs.withColumnRenamed("doc_id", "id"), questions.withColumnRenamed("item_id", "query_id"), threshold=0.2
     )

@@ -10,7 +10,7 @@ from indexloom.operators.embed import get_model
 from indexloom.operators.filters import by_collection
 from indexloom.operators.upsert import upsert
 from indexloom.plans.ask import query_chunks
-from indexloom.plans.build import index_chunks, index_files
+from indexloom.plans.build import add_chunks, index_chunks, index_files
 from indexloom.session import scratch_path
 from indexloom.sources.store import IndexStore
 from workload.extract_queries import CHUNK_ID_SQL, DEFS_SQL
@@ -123,6 +123,27 @@ def collection_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again).unionByName(state("forced"))
 
 
+@query(
+    "index_reingest",
+    f"""WITH {DEFS_SQL}, moved AS (SELECT path, type, name, i + 1 AS i, e + 1 AS e, lines FROM chunks),
+    c AS (SELECT {CHUNK_ID_SQL} AS id, path, CAST(i + 1 AS INTEGER) AS start_line, CAST(e + 1 AS INTEGER) AS end_line,
+                 md5(array_to_string(lines[i : e], chr(10))) AS content FROM moved)
+    SELECT 'chunks' AS stored_in, * FROM c
+    UNION ALL SELECT 'embeddings', id, NULL, NULL, NULL, content FROM c""",
+)
+def index_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source indexed, then ingested again in two versions, the later one with all its lines moved down by one."""
+    store, model = IndexStore(spark, scratch_path(spark, "store")), get_model("hash-64")
+    sources = modules(spark, sf_dir).select("path", "content")
+    index_chunks(store, sources, model)
+    edited = sources.select("path", F.concat(F.lit("# edited\n"), "content").alias("content"), F.lit(2).alias("version"))
+    add_chunks(store, edited.unionByName(sources.withColumn("version", F.lit(1))), model, "chunks", order=["version"])
+    digest = F.md5("content").alias("content")
+    chunks = store.chunks("chunks").select(F.lit("chunks").alias("stored_in"), "id", "path", "start_line", "end_line", digest)
+    entries = store.embeddings("chunks").select(F.lit("embeddings").alias("stored_in"), "id", digest)
+    return chunks.unionByName(entries, allowMissingColumns=True)
+
+
 @query(
     "end_to_end",
     f"""WITH {DEFS_SQL}, cc AS (SELECT {CHUNK_ID_SQL} AS id, type, parent_id,

@@ -12,7 +12,7 @@ grid form, where queries and corpus are both spread over cells.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from indexloom.session import spread
+from indexloom.session import spread, written
 
 DEFAULT_LIMIT = 10
 DEFAULT_THRESHOLD = 0.2
@@ -240,12 +240,14 @@ def search_chunks(
     chunk_type: str | None = None,
     parent_id: str | None = None,
     prefilter: bool = False,
+    lookup: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Chunk rows for the best hits per query.
 
     The best `2 * limit` entries are taken first and only then meet the threshold, the chunk table and
     the type and parent filters, so fewer than `limit` rows may come back although more would qualify.
-    `prefilter=True` searches only entries whose chunk passes the filters.
+    `prefilter=True` searches only entries whose chunk passes the filters. `lookup` gives the chunk rows of a
+    table of ids, so that a stored chunk table is read for the hits only.
     """
 
     def wanted(df: DataFrame) -> DataFrame:
@@ -261,5 +263,8 @@ def search_chunks(
     hits = hits.filter(F.col("score") >= threshold)
     # a popular chunk may be a hit of many queries, so the join is one from many hits to a unique chunk;
     # the planner broadcasts the hits when their size is small and shuffles by id otherwise
+    if lookup is not None:
+        hits = written(hits, "chunk-hits")
+        chunks = lookup(hits)
     found = wanted(hits.join(chunks, "id", "inner"))
     return rank(found, limit)

@@ -82,6 +82,7 @@ def query_chunks(
         chunk_type,
         parent_id,
         prefilter,
+        lambda hits: store.lookup("chunks", collection, hits),
     )
 
 

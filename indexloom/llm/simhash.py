@@ -1,4 +1,8 @@
-"""Near-duplicates by SimHash fingerprints, linked with BK-trees."""
+"""Near-duplicates by SimHash fingerprints, linked with BK-trees.
+
+`Near` links short fingerprints within a few bits and loses no link. `Similar` links texts from a similarity of their
+shingle sets on: that leaves many bits different, so fingerprints are long, and shards are keyed by min-hashes.
+"""
 
 from __future__ import annotations
 
@@ -33,18 +37,45 @@ class Near:
     text_col: str = "text"
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of a text's word shingles; zero for a text without words."""
+@dataclass(frozen=True)
+class Similar:
+    """similarity: Jaccard similarity of shingle sets from which texts are linked, as their fingerprints tell it.
+
+    bits: length of a fingerprint; bands, rows: a text is put into a shard per band, keyed by `rows` min-hashes. Two texts
+    at similarity s share no shard with probability (1 - s ** rows) ** bands, 0.00007 at 0.8. slack: standard deviations
+    that the radius leaves for the chance in a fingerprint, so that 0.98 of the pairs just at the similarity are linked.
+    """
+
+    similarity: float = 0.8
+    shingle: int = 5
+    seed: int = 42
+    bits: int = 512
+    bands: int = 24
+    rows: int = 5
+    slack: float = 2.0
+    id_col: str = "doc_id"
+    text_col: str = "text"
+
+    @property
+    def radius(self) -> int:
+        """Bits in which linked fingerprints differ at most: the angle of two equally large sets at the similarity."""
+        differ = math.acos(min(1.0, 2 * self.similarity / (1 + self.similarity))) / math.pi
+        return int(self.bits * differ + self.slack * math.sqrt(self.bits * differ * (1 - differ)))
+
+
+def shingles_of(text: str, shingle: int) -> list[bytes]:
+    """Lower-cased (A-Z) word shingles, repeats included; all words where they are fewer; none without words."""
     # lower() of bytes changes A-Z alone, and split() of bytes parts at exactly the six ASCII spaces
     words = text.encode().lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)))
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of a text's word shingles; zero for a text without words."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    hashes = np.array([digest(s, seed) for s in shingles_of(text, shingle)], dtype="<u8")
     votes = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[start : start + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -52,6 +83,59 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
 
 
+class Sketcher:
+    """Long fingerprints and shard keys of texts. Every further bit and min-hash is a remixed hash of a shingle."""
+
+    BLOCK = 4096  # shingles worked on at once
+
+    def __init__(self, how: Similar):
+        self.how = how
+        draw = np.random.default_rng(how.seed).integers(1 << 63, size=(2, how.bands * how.rows + how.bits // BITS + how.rows))
+        n = how.bits // BITS
+        flips, odd = draw.astype(np.uint64)[0], draw.astype(np.uint64)[1] | np.uint64(1)
+        self.word_flips, self.word_odd = flips[:n], odd[:n]
+        self.min_flips, self.min_odd = flips[n : n + how.bands * how.rows], odd[n : n + how.bands * how.rows]
+        self.fold = odd[-how.rows :]
+        self.band = np.arange(1, how.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    @staticmethod
+    def _mixed(hashes: np.ndarray, flips: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        out = (hashes[:, None] ^ flips) * odd
+        return out ^ (out >> np.uint64(32))
+
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
+        how, digest = self.how, xxhash.xxh64_intdigest
+        distinct = set(shingles_of(text, how.shingle))
+        hashes = np.array([digest(s, how.seed) for s in distinct], dtype=np.uint64)
+        votes = np.zeros(how.bits, dtype=np.int64)
+        least = np.full(how.bands * how.rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for start in range(0, len(hashes), self.BLOCK):
+            part = hashes[start : start + self.BLOCK]
+            words = self._mixed(part, self.word_flips, self.word_odd).astype("<u8", copy=False)
+            votes += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            least = np.minimum(least, self._mixed(part, self.min_flips, self.min_odd).min(axis=0))
+        keys = (least.reshape(how.bands, how.rows) * self.fold).sum(axis=1, dtype=np.uint64) ^ self.band
+        return np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), keys.view(np.int64)
+
+
+def with_sketches(docs: DataFrame, keep: list[str], fp: str, keys: str, how: Similar) -> DataFrame:
+    """The columns `keep`, the long fingerprint of each row's text (bytes) and its shard keys. Null texts have no words."""
+    at = [docs.columns.index(c) for c in keep]
+    text = docs.columns.index(how.text_col)
+    added = [T.StructField(fp, T.BinaryType()), T.StructField(keys, T.ArrayType(T.LongType()))]
+    schema = T.StructType([docs.schema[i] for i in at] + added)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketcher(how)
+        for batch in batches:
+            found = [sketch(t.as_py() or "") for t in batch.column(text)]
+            fps = pa.array([f for f, _ in found], type=pa.binary())
+            lists = pa.array([k for _, k in found], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in at], fps, lists], [*keep, fp, keys])
+
+    return docs.mapInArrow(sketched, schema)
+
+
 def with_fingerprints(docs: DataFrame, keep: list[str], name: str, how: Near = Near()) -> DataFrame:
     """The columns `keep` and the fingerprint of each row's text as a signed 64-bit number. Null texts have no words."""
     at = [docs.columns.index(c) for c in keep]
@@ -203,6 +287,41 @@ def links(distinct: DataFrame, how: Near = Near()) -> DataFrame:
     return shards.mapInArrow(joined, "a long, b long").distinct()
 
 
+def similar_links(distinct: DataFrame, how: Similar) -> DataFrame:
+    """Links (a, b) that join all fingerprints within the radius that share a shard. `distinct` has `fp` and `keys`."""
+    keyed = distinct.select("fp", F.explode("keys").alias("key"))
+    shards = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    radius, width = how.radius, how.bits // 8
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, tree = None, b"", None
+
+        def closed() -> list[tuple[int, int]]:
+            return list(tree.links()) if tree else []
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            sides = [pa.array([pair[i].to_bytes(width, "little") for pair in found], type=pa.binary()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(sides, ["a", "b"])
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for fp, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != key:
+                    found += closed()
+                    key, first, tree = own, fp, None
+                    continue
+                if tree is None:  # most shards hold one text and need no tree
+                    tree = BKTree(radius)
+                    tree.add(int.from_bytes(first, "little"))
+                tree.add(int.from_bytes(fp, "little"))
+            if found:
+                yield batch_of(found)
+        if found := closed():
+            yield batch_of(found)
+
+    return shards.mapInArrow(joined, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the links, root being the smallest node of the component.
 
@@ -225,10 +344,13 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def class_table(hashed: DataFrame, how: Near = Near()) -> DataFrame:
-    """`fp`, `root` and `component_id` for each fingerprint of a stored table of `id` and `fp`."""
-    least = written(hashed.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = components(links(least.select("fp"), how))
+def class_table(hashed: DataFrame, how: Near | Similar = Near()) -> DataFrame:
+    """`fp`, `root` and `component_id` for each fingerprint of a stored table of `id`, `fp` and, for `Similar`, `keys`."""
+    similar = isinstance(how, Similar)
+    # equal long fingerprints are of one text, or of texts so alike that either's keys will do
+    keys = [F.min("keys").alias("keys")] if similar else []
+    least = written(hashed.groupBy("fp").agg(F.min("id").alias("least"), *keys), "classes")
+    roots = components(similar_links(least, how) if similar else links(least.select("fp"), how))
     placed = least.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return written(placed.select("fp", "root").join(named, "root"), "class-roots")
@@ -250,16 +372,21 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, how: Near = Near()) -> DataFrame:
+def deduplicated(docs: DataFrame, how: Near | Similar = Near()) -> DataFrame:
     """One document of each component, with the columns of the input: the one with the smallest id.
 
     Ids need not be unique: of several rows with that id one is kept, by a hash of their texts. Components of null ids
-    keep one row likewise.
+    keep one row likewise. Texts without words are copies of each other.
     """
-    fp, row = fresh(docs, "__fp"), fresh(docs, "__row")
-    hashed = written(with_fingerprints(docs, docs.columns, fp, how), "fingerprints")
+    fp, row, keys = fresh(docs, "__fp"), fresh(docs, "__row"), fresh(docs, "__keys")
+    if isinstance(how, Similar):
+        hashed = written(with_sketches(docs, docs.columns, fp, keys, how), "fingerprints")
+        carried = [F.col(keys).alias("keys")]
+    else:
+        hashed, carried = written(with_fingerprints(docs, docs.columns, fp, how), "fingerprints"), []
     identifier = F.col(f"`{how.id_col}`")
-    table = class_table(hashed.select(identifier.alias("id"), F.col(fp).alias("fp")), how)
+    table = class_table(hashed.select(identifier.alias("id"), F.col(fp).alias("fp"), *carried), how)
+    hashed = hashed.drop(keys)
     joined = hashed.join(table.withColumnRenamed("fp", "__of"), F.col(fp) == F.col("__of"))
     kept = joined.filter(F.col("component_id").eqNullSafe(identifier))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -212,6 +212,44 @@ def test_queries_match_their_sql(spark):
         assert spark_rows(QUERIES[name](spark, SF_DIR)) == sql_rows(connect(SF_DIR), sql)
 
 
+def _shingle_set(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or {tuple(words)}
+
+
+def test_similar_texts_are_linked_as_brute_force_says(spark):
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    boilerplate = " ".join(draw.choices(vocabulary, k=60))
+    texts = []
+    for i in range(60):
+        words = draw.choices(vocabulary, k=draw.randint(120, 300))
+        texts.append(" ".join(words))
+        if i % 3 == 0:  # near copies at a similarity of 0.9 or so
+            words[draw.randrange(len(words))] = "edited"
+            texts.append(" ".join(words))
+        elif i % 3 == 1:  # a passage that many documents share
+            texts[-1] += " " + boilerplate
+    texts += [texts[0]] * 5 + [texts[3].upper(), None, "", "two words", "Two Words"]
+    rows = list(enumerate(texts))
+    how = simhash.Similar()
+    sets = [_shingle_set(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            assert j >= how.similarity or j < 0.6  # nothing on the edge
+            if j >= how.similarity:
+                old, kept = root[a], root[b]
+                root = [min(old, kept) if r in (old, kept) else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = sorted(r["doc_id"] for r in simhash.deduplicated(docs, how).collect())
+    assert kept == sorted(set(root))
+    awkward = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "x " * 200_000)], docs.schema)
+    assert simhash.deduplicated(awkward.withColumn("__fp", F.lit(1)).withColumn("__keys", F.lit(2)), how).count() == 2
+    assert simhash.deduplicated(docs.limit(0), how).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from tests.conftest import SF_DIR

@@ -386,9 +386,15 @@ def deduplicated(docs: DataFrame, how: Near | Similar = Near()) -> DataFrame:
         hashed, carried = written(with_fingerprints(docs, docs.columns, fp, how), "fingerprints"), []
     identifier = F.col(f"`{how.id_col}`")
     table = class_table(hashed.select(identifier.alias("id"), F.col(fp).alias("fp"), *carried), how)
-    hashed = hashed.drop(keys)
-    joined = hashed.join(table.withColumnRenamed("fp", "__of"), F.col(fp) == F.col("__of"))
-    kept = joined.filter(F.col("component_id").eqNullSafe(identifier))
+    # which row stays is settled on ids and hashes; texts are shuffled once, by a mark that only repeated rows share
+    digest, mark, of = F.xxhash64(f"`{how.text_col}`"), fresh(docs, "__mark"), fresh(docs, "__of")
+    chosen = fresh(docs, "__chosen")
+    slim = hashed.select(identifier.alias("id"), F.col(fp).alias("fp"), digest.alias("h")).join(table, "fp")
+    own = slim.filter(F.col("component_id").eqNullSafe(F.col("id")))
+    kept = own.groupBy("root").agg(F.min(F.struct("h", "fp", "id")).alias("k")).select("k.*")
+    kept = kept.select(F.xxhash64("fp", "id", "h").alias(chosen), F.col("fp").alias(of))
+    marked = hashed.drop(keys).withColumn(mark, F.xxhash64(F.col(fp), identifier, digest))
+    found = marked.join(kept, (F.col(mark) == F.col(chosen)) & (F.col(fp) == F.col(of)))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = kept.groupBy(F.col("root").alias("__root")).agg(F.min_by(whole, F.xxhash64(f"`{how.text_col}`")).alias(row))
+    one = found.groupBy(mark, fp).agg(F.first(whole).alias(row))
     return one.select(f"{row}.*")

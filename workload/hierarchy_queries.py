@@ -104,7 +104,7 @@ def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "chunk_orphans",
     f"""WITH {_CUT_SQL} SELECT id, parent_id FROM cut
-    WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM cut)""",
+    WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cut AS p WHERE p.id = cut.parent_id)""",
 )
 def chunk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.orphans(_cut(spark, sf_dir)).select("id", "parent_id")

@@ -250,6 +250,54 @@ def test_similar_texts_are_linked_as_brute_force_says(spark):
     assert simhash.deduplicated(docs.limit(0), how).count() == 0
 
 
+def _altered(draw, words, share):
+    return [f"x{draw.getrandbits(40)}" if draw.random() < share else w for w in words]
+
+
+def _brute_force_kept(texts, similarity):
+    sets = [_shingle_set(t) for t in texts]
+    root, edge = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            edge += 0.6 <= j < similarity
+            if j >= similarity and root[a] != root[b]:
+                old, kept = max(root[a], root[b]), min(root[a], root[b])
+                root = [kept if r == old else r for r in root]
+    return sorted(set(root)), edge
+
+
+def test_pairs_on_the_edge_are_decided_by_their_shingles(spark):
+    draw, texts = random.Random(14), []
+    for i in range(150):
+        words = [f"w{draw.getrandbits(30)}" for _ in range(draw.randint(60, 400))]
+        texts.append(" ".join(words))
+        n = round(len(words) * draw.uniform(0.15, 0.4) / 2)  # a new end leaves a similarity of 0.6 to 0.86
+        texts.append(" ".join(words[n:] + [f"y{draw.getrandbits(30)}" for _ in range(n)]) if i % 2 else " ".join(words[: len(words) - n]))
+    expected, edge = _brute_force_kept(texts, 0.8)
+    assert edge >= 30 and len(expected) < len(texts) - 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs, simhash.Similar()).collect()) == expected
+
+
+def test_groups_of_near_copies_in_blocks(spark, monkeypatch):
+    draw, texts = random.Random(15), []
+    for share in (0.005, 0.015, 0.03):  # near copies of each other, chained, and mostly apart
+        words = [f"w{draw.getrandbits(30)}" for _ in range(300)]
+        texts += [" ".join(_altered(draw, words, share)) for _ in range(60)]
+    expected, edge = _brute_force_kept(texts, 0.8)
+    assert edge >= 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(simhash, "SMALL", 5)  # texts are joined, not broadcast
+    for how in (simhash.Similar(block=8, pairs=1), simhash.Similar(pairs=2)):
+        assert sorted(r.doc_id for r in simhash.deduplicated(docs, how).collect()) == expected
+    of, how = simhash.Sketcher(simhash.Similar()), simhash.Similar(block=8)
+    rows = [(1, *[of(t)[k] for k in (0, 2, 1)], str(i % 50).encode()) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "key long, sig binary, fp binary, size long, label binary")
+    whole = {tuple(r) for r in simhash.candidates(frame, simhash.Similar(block=10**6), 10**6).collect()}
+    assert whole and {tuple(r) for r in simhash.candidates(frame, how, 10**6).collect()} == whole
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from tests.conftest import SF_DIR

@@ -10,6 +10,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +29,13 @@ BITS = 64
 @dataclass(frozen=True)
 class Near:
     """radius: bits in which linked fingerprints differ at most; shingle: its words; shard: fingerprints that a shard
-    tree is meant to have, which decides how many bits its key has."""
+    tree is meant to have, which decides how many bits its key has; most: those it has at most, else longer keys split it."""
 
     radius: int = 3
     shingle: int = 3
     seed: int = 42
     shard: int = 32
+    most: int = 4096
     id_col: str = "doc_id"
     text_col: str = "text"
 
@@ -259,13 +261,34 @@ def _masks(blocks: int, radius: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
 
 
+def _shards(distinct: DataFrame, how: Near) -> DataFrame:
+    """`fp` in each of its shards, named by `level`, `set` and `key`.
+
+    Fingerprints of shards above the bound leave them for a next level of more blocks and longer keys. Two within the radius
+    share a shard of each level; either it is kept, or both go on. The last level leaves 12 bits open: 4,096 fingerprints.
+    """
+    blocks, level, kept = block_count(distinct.count(), how), 0, []
+    while True:
+        masks = [m - (1 << 64) if m >= 1 << 63 else m for m in _masks(blocks, how.radius)]
+        keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("set", "mask"))
+        keyed = keyed.select(F.lit(level).alias("level"), "set", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        kept.append(keyed)
+        if BITS * how.radius <= 12 * blocks:
+            break
+        sizes = keyed.groupBy("set", "key").agg(F.count("*").alias("n"))
+        large = written(sizes.filter(F.col("n") > how.most).select("set", "key"), "large-shards")
+        if large.isEmpty():
+            break
+        kept[-1] = keyed.join(large, ["set", "key"], "left_anti").select("level", "set", "key", "fp")
+        distinct = written(keyed.join(large, ["set", "key"], "left_semi").select("fp").distinct(), "large-shards")
+        blocks, level = min(blocks + 4, -(-BITS * how.radius // 12)), level + 1
+    return reduce(DataFrame.union, kept)
+
+
 def links(distinct: DataFrame, how: Near = Near()) -> DataFrame:
     """Links (a, b) that join all fingerprints within the radius, directly or through others. `distinct` has `fp`."""
-    masks = _masks(block_count(distinct.count(), how), how.radius)
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("set", "mask"))
-    keyed = keyed.select("fp", "set", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    shards = keyed.repartition("set", "key").sortWithinPartitions("set", "key", "fp")
+    shards = _shards(distinct.select("fp"), how).repartition("level", "set", "key").sortWithinPartitions("level", "set", "key", "fp")
+    shards = shards.select("fp", F.struct("level", "set").alias("set"), "key")
     radius = how.radius
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

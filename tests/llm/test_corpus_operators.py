@@ -112,6 +112,21 @@ def test_tree_finds_all_links():
         assert all((own[a] == own[b]) == (expected[a] == expected[b]) for a in values for b in values)
 
 
+def test_large_shards_are_split_without_losing_links(spark):
+    draw = random.Random(16)
+    base = [draw.getrandbits(64) for _ in range(3)]
+    values = sorted({b ^ sum(1 << k for k in draw.sample(range(64), draw.randint(0, 6))) for b in base for _ in range(80)})
+    frame = spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in values], "fp long")
+    how = simhash.Near(most=8)
+    shards = simhash._shards(frame, how).groupBy("level", "set", "key").count()
+    assert shards.filter("level < 3 AND count > 8").isEmpty() and shards.agg(F.max("level")).first()[0] >= 1
+    names = {v: v for v in values}
+    for a, b in [(r.a % 2**64, r.b % 2**64) for r in simhash.links(frame, how).collect()]:
+        a, b = names[a], names[b]
+        names = {k: min(a, b) if n in (a, b) else n for k, n in names.items()}
+    assert names == plain_components(values)
+
+
 def test_near_duplicates(spark):
     draw = random.Random(10)
     long = [draw.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(draw.randint(0, 50)) for _ in range(400)]

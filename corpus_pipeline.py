@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
-    return simhash.deduplicated(docs, PIPELINE_NEAR)
+    """One document of each group of linked fingerprints: shingles of three words, three bits at most."""
+    return simhash.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-PIPELINE_NEAR = simhash.Similar(similarity=0.8, shingle=5)
-
 STAGES = [
     ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),

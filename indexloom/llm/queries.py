@@ -8,7 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexloom.llm import ann, chat, mixing, packing, pii, quality, sharding, simhash, tokens, toxicity
+from indexloom.llm import (
+    ann,
+    chat,
+    decontaminate,
+    hard_negatives,
+    merkle,
+    mixing,
+    oracles,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+)
+from indexloom.llm.common import lowered
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
@@ -125,3 +141,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = tokens.prefix_tables(_table(spark, sf_dir, "documents"), TOKENIZER)
     n = tokens.tokens_in(F.col("counts"))
     return tables.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"))
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document; a third of them are tampered with after the manifest is made."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(docs, tampered, lowered(F.col("text")))
+
+
+@_query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every vector whose id is divisible by 50, with some labels moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+ORACLES |= oracles.ORACLES

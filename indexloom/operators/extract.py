@@ -24,9 +24,40 @@ from indexloom.functions.text import extension
 from indexloom.schemas import CHUNKS
 from indexloom.session import spread
 
-# How a definition looks on a single line (searched for anywhere in it).
-CLASS_LINE = re.compile(r"class\s+(\w+)(?:\s*\(\s*.*?\s*\))?\s*:")
-FUNCTION_LINE = re.compile(r"def\s+(\w+)\s*\(.*?\)\s*(?:->.*?)?\s*:")
+# How a definition looks on a single line, anywhere in it: the keyword, a name and what opens its bracket or its block.
+_CLASS = re.compile(r"class\s+(\w+)\s*([(:])")
+_FUNCTION = re.compile(r"def\s+(\w+)\s*(\()")
+# What ends it: a closed bracket and the colon, for functions perhaps with an arrow and anything between.
+_CLOSED = re.compile(r"\)\s*:")
+_RETURNS = re.compile(r"\)\s*->")
+
+
+def _last(pattern: re.Pattern, line: str, before: int) -> int:
+    """Where the last match that ends at `before` or earlier starts, or -1."""
+    return max((m.start() for m in pattern.finditer(line) if m.end() <= before), default=-1)
+
+
+def class_name(line: str) -> str | None:
+    """The name of the class that a line defines. Only the last closing is of interest, so a line is passed over twice."""
+    at, closed = 0, None
+    while m := _CLASS.search(line, at):
+        if m[2] == ":":
+            return m[1]
+        closed = _last(_CLOSED, line, len(line)) if closed is None else closed
+        if closed > m.start(2):
+            return m[1]
+        at = m.start() + 1
+    return None
+
+
+def function_name(line: str) -> str | None:
+    """The name of the function that a line defines, brackets and colon included."""
+    m = _FUNCTION.search(line)
+    if m is None:
+        return None
+    closed = max(_last(_CLOSED, line, len(line)), _last(_RETURNS, line, line.rfind(":")))
+    return m[1] if closed > m.start(2) else None  # brackets of later ones open further right
+
 
 # every stored column but those that the store or the build fill in
 _LATER = ("collection", "metadata", "updated")
@@ -68,18 +99,18 @@ def definitions(path: str | None, lines: list[str]) -> list[Definition]:
         indent = len(line) - len(bare)
         while running and running[-1][0] >= indent:
             running.pop()[1].end = i - 1
-        as_class = CLASS_LINE.search(line) if "class" in bare else None
-        as_function = FUNCTION_LINE.search(line) if "def" in bare else None
+        as_class = class_name(line) if "class" in bare else None
+        as_function = function_name(line) if "def" in bare else None
         if as_class or as_function:
             outer = bisect_left(classes, indent, key=itemgetter(0))
             parent = classes[outer - 1][1] if outer else None
             if as_class:
-                found.append(Definition("class", as_class[1], i, parent, first_decorator))
+                found.append(Definition("class", as_class, i, parent, first_decorator))
                 running.append((indent, found[-1]))
-                classes[outer:] = [(indent, chunk_id(path, "class", as_class[1], i))]
+                classes[outer:] = [(indent, chunk_id(path, "class", as_class, i))]
             if as_function:
                 kind = "function" if parent is None else "method"
-                found.append(Definition(kind, as_function[1], i, parent, first_decorator))
+                found.append(Definition(kind, as_function, i, parent, first_decorator))
                 running.append((indent, found[-1]))
         if not bare.startswith("@"):
             first_decorator = i + 1

@@ -1,8 +1,9 @@
-"""Questions about the parent links of chunks: depth, ancestors, descendants, trees.
+"""Questions about the parent links of chunks: depth, ancestors, descendants, trees, children.
 
-Levels are walked with one join per level; each level is written to the shared folder, so an executor
-lost in a late level does not replay the early ones. Many children of one parent are the normal hot
-key here: counting combines before it shuffles, and joins salt the hot parents.
+Depths and subtree sizes come from pointer doubling over the nodes that have children: after round k a node knows its
+ancestor 2 ** k levels up, so a chain of a thousand levels takes ten rounds. Each round is a table in the shared folder. An
+outline numbers all nodes in pre-order; what is below a node is then one range of numbers, and what is above it are the
+ranges that its number lies in. Joins are left to the planner, which splits the partitions of hot parents.
 """
 
 from __future__ import annotations
@@ -11,172 +12,188 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.errors import HierarchyCycle
-from indexloom.operators.skew import hot_keys, join_salted, lookup_join, salted
+from indexloom.operators.ordering import placed
 from indexloom.session import written
 
-PAGE_SIZE = 1000  # children in one list
-BELOW = "\x00"  # between the levels of a sort path
 NODE = ("id", "type", "name", "path", "start_line", "end_line", "parent_id")
+SIBLINGS = ("path", "start_line", "id")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _inner(nodes: DataFrame) -> DataFrame:
+    """Nodes that have children: `id`, `n_children`, `up` (the parent, if there is one) and `orphaned` (it is missing).
 
-
-def _internal_levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes that have children, with `n_children`, and their depths.
-
-    Leaves, the bulk of a forest, never enter the walk: they are only counted per parent.
+    Leaves, the bulk of a forest, are only counted per parent, before anything is shuffled.
     """
     edges = nodes.select("id", "parent_id")
-    fan_out = (
-        edges.filter(F.col("parent_id").isNotNull())
-        .groupBy(F.col("parent_id").alias("of"))
-        .agg(F.count("*").alias("n_children"))
-    )
-    inner = written(edges.join(fan_out, F.col("id") == F.col("of")).drop("of"), "internal-nodes")
-    hot = hot_keys(inner, "parent_id")
-    pending = salted(inner, "parent_id", "id", hot)
+    named = edges.filter(F.col("parent_id").isNotNull())
+    fan_out = named.groupBy(F.col("parent_id").alias("of")).agg(F.count("*").alias("n_children"))
+    inner = written(edges.join(fan_out, F.col("id") == F.col("of")).drop("of"), "inner-nodes")
     # the parent of an inner node, if there is one, is an inner node as well
-    known = inner.select(F.col("id").alias("up_id"))
-    top = join_salted(pending, known, "parent_id", "up_id", hot, "left").filter(F.col("up_id").isNull())
-    frontier = written(top.select("id", "n_children", F.lit(0).alias("depth")), "depth-0")
-    levels, unreached = [], inner.count()
-    while n := frontier.count():
-        levels.append(frontier)
-        unreached -= n
-        if not unreached:
-            break
-        above = frontier.select(F.col("id").alias("up_id"))
-        below = join_salted(pending, above, "parent_id", "up_id", hot)
-        frontier = written(
-            below.select("id", "n_children", F.lit(len(levels)).alias("depth")), f"depth-{len(levels)}"
+    known = inner.select(F.col("id").alias("up"))
+    joined = inner.join(known, F.col("parent_id") == F.col("up"), "left")
+    orphaned = F.col("parent_id").isNotNull() & F.col("up").isNull()
+    return written(joined.select("id", "n_children", "up", orphaned.alias("orphaned")), "inner-parents")
+
+
+def _doubled(inner: DataFrame, sums: dict[str, Column], down: dict[str, Column] | None = None) -> DataFrame:
+    """`id`, `orphaned` (of its root) and, for each of `sums`, its sum over a node and all its ancestors; for each of
+    `down` the sum over a node and all inner nodes below it.
+
+    A round replaces each pointer by the pointer of the node it points to, and adds what that node has gathered. Sums go
+    down as well: a node takes over what the nodes 2 ** k below it have gathered from the 2 ** k levels from them on.
+    """
+    down = down or {}
+    state = written(inner.select("id", "up", "orphaned", *[c.alias(n) for n, c in {**sums, **down}.items()]), "pointers-0")
+    reach, total = 1, None
+    while True:
+        pending = state.filter(F.col("up").isNotNull())
+        if pending.isEmpty():
+            return state.drop("up")
+        if total is None:
+            total = state.count()
+        if reach > total:
+            raise HierarchyCycle(f"{pending.count()} nodes with children are not below any root")
+        above = state.select(
+            F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("orphaned").alias("_orphaned"), *[F.col(n).alias(f"_{n}") for n in sums]
         )
-    if unreached:
-        raise HierarchyCycle(f"{unreached} nodes with children are not below any root")
-    return inner, _union(levels or [frontier])
+        moved = state.join(above, F.col("up") == F.col("_id"), "left")
+        if down:
+            below = pending.groupBy(F.col("up").alias("_from")).agg(*[F.sum(n).alias(f"_{n}") for n in down])
+            moved = moved.join(below, F.col("id") == F.col("_from"), "left")
+        gathered = [(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in (*sums, *down)]
+        orphaned = F.col("orphaned") | F.coalesce("_orphaned", F.lit(False))
+        state = written(moved.select("id", F.col("_up").alias("up"), orphaned.alias("orphaned"), *gathered), f"pointers-{reach}")
+        reach *= 2
+
+
+def _inner_depths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    inner = _inner(nodes)
+    one = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
+    return inner, _doubled(inner, {"depth": one})
 
 
 def depth_histogram(nodes: DataFrame) -> DataFrame:
     """Number of nodes per depth; a node without a resolvable parent has depth 0."""
-    inner, levels = _internal_levels(nodes)
-    nested = levels.groupBy((F.col("depth") + 1).alias("depth")).agg(F.sum("n_children").alias("nodes"))
-    placed = inner.agg(F.coalesce(F.sum("n_children"), F.lit(0)).alias("n"))
+    inner, depths = _inner_depths(nodes)
+    below = depths.join(inner.select("id", "n_children"), "id").groupBy((F.col("depth") + 1).cast("int").alias("depth"))
+    nested = below.agg(F.sum("n_children").alias("nodes"))
+    placed_below = inner.agg(F.coalesce(F.sum("n_children"), F.lit(0)).alias("n"))
     top = nodes.agg(F.count("*").alias("n")).select(
-        F.lit(0).alias("depth"), (F.col("n") - placed.scalar()).alias("nodes")
+        F.lit(0).alias("depth"), (F.col("n") - placed_below.scalar()).alias("nodes")
     )
     return top.filter(F.col("nodes") > 0).unionByName(nested).orderBy("depth")
 
 
 def node_depths(nodes: DataFrame) -> DataFrame:
     """`(id, depth)` of every node."""
-    _, levels = _internal_levels(nodes)
-    parents = levels.select(F.col("id").alias("up_id"), F.col("depth").alias("up_depth"))
-    joined = lookup_join(nodes.select("id", "parent_id"), parents, "parent_id", "up_id", "id", "left")
-    return joined.select("id", F.coalesce(F.col("up_depth") + 1, F.lit(0)).alias("depth"))
+    _, depths = _inner_depths(nodes)
+    parents = depths.select(F.col("id").alias("up_id"), F.col("depth").alias("up_depth"))
+    joined = nodes.select("id", "parent_id").join(parents, F.col("parent_id") == F.col("up_id"), "left")
+    return joined.select("id", F.coalesce(F.col("up_depth") + 1, F.lit(0)).cast("int").alias("depth"))
 
 
-def ancestors(nodes: DataFrame, chunk_id: str) -> DataFrame:
-    """Ancestors of one chunk with `distance`, nearest first; none for an unknown id.
+def outline(nodes: DataFrame) -> DataFrame:
+    """All nodes in pre-order: their columns and `first` (the number from 1), `last` (that of the last node below),
+    `depth`, `position` (among siblings, from 1) and `orphaned` (whether the root it is below has a missing parent).
 
-    A chain of point lookups: each is a scan filtered by id down in the files, and one id per level
-    comes back.
+    Siblings stand in the order of their files and lines; nodes with missing parents are roots. `nodes` is read several
+    times, so it should be a table.
     """
-    chain: list[str] = []
-    current = chunk_id
-    while True:
-        row = nodes.filter(F.col("id") == current).select("parent_id").head()
-        if current != chunk_id:
-            if row is None:
-                break
-            chain.append(current)
-        parent = row["parent_id"] if row else None
-        if not parent:
-            break
-        if parent == chunk_id or parent in chain:
-            raise HierarchyCycle(f"{parent!r} is its own ancestor")
-        current = parent
-    distance = F.array_position(F.array(*map(F.lit, chain)), F.col("id")) if chain else F.lit(0)
-    found = nodes.filter(F.col("id").isin(chain)).withColumn("distance", distance.cast("int"))
-    return found.orderBy("distance")
-
-
-def _sort_key() -> Column:
-    """Siblings stand in the order of their files and lines. Paths of such keys, joined by the smallest
-    character, sort as plain text in pre-order."""
-    return F.format_string("%s\x01%010d\x01%s", "path", "start_line", "id")
-
-
-def _subtrees(nodes: DataFrame, top: DataFrame, root_id: str | None = None) -> DataFrame:
-    """`top` and everything below it, with `level` and `sort_path`.
-
-    As for depths, only nodes with children are walked, carrying just ids and sort paths. Every other row
-    takes part in one join, with its parent, at the end.
-    """
-    own = _sort_key().alias("own")
-    parents = nodes.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("of")).distinct()
-    edges = nodes.select("id", "parent_id", own)
-    inner = written(edges.join(parents, F.col("id") == F.col("of"), "left_semi"), "tree-edges")
-    hot = hot_keys(inner, "parent_id")
-    pending = salted(inner, "parent_id", "id", hot)
-    start = inner.join(top.select("id"), "id", "left_semi")
-    frontier = written(start.select("id", F.lit(0).alias("level"), F.col("own").alias("sort_path")), "tree-0")
-    levels = []
-    while not frontier.isEmpty():
-        levels.append(frontier)
-        above = frontier.select(F.col("id").alias("up_id"), F.col("sort_path").alias("up_path"))
-        below = join_salted(pending, above, "parent_id", "up_id", hot)
-        frontier = written(
-            below.select(
-                "id", F.lit(len(levels)).alias("level"), F.concat_ws(BELOW, "up_path", "own").alias("sort_path")
-            ),
-            f"tree-{len(levels)}",
-        )
-        # a parent is unique, so the only way back is through the root the walk began at
-        if root_id is not None and not frontier.filter(F.col("id") == root_id).isEmpty():
-            raise HierarchyCycle(f"{root_id!r} is its own descendant")
-    paths = _union(levels or [frontier]).select(
-        F.col("id").alias("up_id"), F.col("level").alias("up_level"), F.col("sort_path").alias("up_path")
+    inner = _inner(nodes)
+    kids = inner.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("of")).agg(F.count("*").alias("n_inner"))
+    counted = inner.join(kids, F.col("id") == F.col("of"), "left")
+    leaves = F.col("n_children") - F.coalesce("n_inner", F.lit(0))
+    one = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
+    shape = _doubled(counted, {"depth": one}, {"size": leaves + 1})
+
+    # the subtrees of earlier siblings come before a node
+    own = shape.select(F.col("id").alias("own"), "size")
+    parents = shape.select(F.col("id").alias("up"), (F.col("depth") + 1).alias("below"), F.col("orphaned").alias("up_orphaned"))
+    slim = nodes.select(*dict.fromkeys((*SIBLINGS, "parent_id")))
+    joined = slim.join(own, F.col("id") == F.col("own"), "left").join(parents, F.col("parent_id") == F.col("up"), "left")
+    orphaned = F.coalesce("up_orphaned", F.col("parent_id").isNotNull())
+    rows = joined.select(
+        *SIBLINGS,
+        "up",
+        F.coalesce("size", F.lit(1)).cast("long").alias("size"),
+        F.coalesce("below", F.lit(0)).cast("int").alias("depth"),
+        orphaned.alias("orphaned"),
+        F.col("own").isNotNull().alias("inner"),
     )
-    below = lookup_join(nodes.select(*NODE), paths, "parent_id", "up_id", "id").select(
-        *NODE,
-        (F.col("up_level") + 1).alias("level"),
-        F.concat_ws(BELOW, "up_path", _sort_key()).alias("sort_path"),
+    at = placed(rows, "up", [F.col(c) for c in SIBLINGS], "position", "size", "before")
+    at = written(at.select("id", "up", "size", "depth", "orphaned", "inner", "position", "before"), "siblings")
+    # a node's number is one more than its parent's and what stands before it among its siblings, up to its root
+    starts = _doubled(at.filter("inner").select("id", "up", "before", F.lit(False).alias("orphaned")), {"first": F.col("before") + 1})
+    starts = starts.select(F.col("id").alias("of"), F.col("first").alias("base"))
+    numbered = at.join(starts, F.col("up") == F.col("of"), "left")
+    first = F.coalesce("base", F.lit(0)) + F.col("before") + 1
+    labels = numbered.select(
+        F.col("id").alias("_id"), first.alias("first"), (first + F.col("size") - 1).alias("last"), "depth", "position", "orphaned"
     )
-    roots = top.select(*NODE, F.lit(0).alias("level"), _sort_key().alias("sort_path"))
-    return roots.unionByName(below)
+    return nodes.join(labels, F.col("id") == F.col("_id")).drop("_id")
 
 
-def descendants(nodes: DataFrame, chunk_id: str) -> DataFrame:
-    """Everything below a chunk, depth-first in pre-order, with `level` from 1."""
-    top = nodes.filter(F.col("id") == chunk_id)
-    return _subtrees(nodes, top, chunk_id).filter(F.col("level") > 0).orderBy("sort_path")
+def _place(outlined: DataFrame, chunk_id: str):
+    return outlined.filter(F.col("id") == chunk_id).select("first", "last", "depth").head()
 
 
-def tree(nodes: DataFrame, root_id: str | None = None, orphans_as_roots: bool = False) -> DataFrame:
-    """The forest, or one subtree, flattened in pre-order: level, label and sort path.
+def ancestors(outlined: DataFrame, chunk_id: str) -> DataFrame:
+    """Ancestors of one chunk of an outline with `distance`, nearest first; none for an unknown id."""
+    own = _place(outlined, chunk_id)
+    if own is None:
+        return outlined.filter(F.lit(False)).withColumn("distance", F.lit(0))
+    found = outlined.filter((F.col("first") < own["first"]) & (F.col("last") >= own["last"]))
+    return found.withColumn("distance", (own["depth"] - F.col("depth")).cast("int")).orderBy("distance")
 
-    Nodes whose parent is missing are not reached from a root and are left out, unless
+
+def _below(outlined: DataFrame, own) -> Column:
+    return (F.col("first") > own["first"]) & (F.col("first") <= own["last"])
+
+
+def descendants(outlined: DataFrame, chunk_id: str) -> DataFrame:
+    """Everything below a chunk of an outline in pre-order, with `level` from 1: one range of numbers."""
+    own = _place(outlined, chunk_id)
+    if own is None:
+        return outlined.filter(F.lit(False)).withColumn("level", F.lit(0))
+    level = (F.col("depth") - own["depth"]).cast("int")
+    return outlined.filter(_below(outlined, own)).withColumn("level", level).orderBy("first")
+
+
+def tree(outlined: DataFrame, root_id: str | None = None, orphans_as_roots: bool = False) -> DataFrame:
+    """The forest of an outline, or one subtree, in pre-order with level and label.
+
+    Nodes whose parent is missing are not reached from a root and are left out with all below them, unless
     `orphans_as_roots`. An unknown root gives no rows.
     """
-    if root_id is not None:
-        top = nodes.filter(F.col("id") == root_id).select(*NODE)
-    else:
-        top = nodes.filter(F.col("parent_id").isNull()).select(*NODE)
-        if orphans_as_roots:
-            top = top.unionByName(orphans(nodes).select(*NODE))
     label = F.format_string("%s:%s (lines %d-%d)", "type", "name", "start_line", "end_line")
-    return _subtrees(nodes, top, root_id).withColumn("label", label).orderBy("sort_path")
+    if root_id is None:
+        found = outlined if orphans_as_roots else outlined.filter(~F.col("orphaned"))
+        return found.withColumn("level", F.col("depth")).withColumn("label", label).orderBy("first")
+    own = _place(outlined, root_id)
+    if own is None:
+        return outlined.filter(F.lit(False)).withColumn("level", F.lit(0)).withColumn("label", label)
+    inside = outlined.filter((F.col("first") >= own["first"]) & (F.col("first") <= own["last"]))
+    return inside.withColumn("level", (F.col("depth") - own["depth"]).cast("int")).withColumn("label", label).orderBy("first")
+
+
+def show(outlined: DataFrame, chunk_id: str) -> DataFrame:
+    """One chunk of an outline with its ancestors and children, told apart by `relation`, with all their columns."""
+    own = _place(outlined, chunk_id)
+    if own is None:
+        return outlined.filter(F.lit(False)).withColumn("relation", F.lit("self")).withColumn("distance", F.lit(0))
+    # one range and one pass: everything that begins before the chunk ends
+    near = outlined.filter(F.col("first") <= own["last"])
+    above = (F.col("first") < own["first"]) & (F.col("last") >= own["last"])
+    child = _below(outlined, own) & (F.col("depth") == own["depth"] + 1)
+    relation = F.when(F.col("first") == own["first"], "self").when(above, "ancestor").when(child, "child")
+    found = near.withColumn("relation", relation).filter(F.col("relation").isNotNull())
+    return found.withColumn("distance", F.abs(F.col("depth") - own["depth"]).cast("int"))
 
 
 def orphans(nodes: DataFrame) -> DataFrame:
-    """Rows whose parent is not among the rows. Parents are made distinct before they are looked up."""
-    parents = nodes.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("missing")).distinct()
-    missing = parents.join(nodes.select("id"), F.col("missing") == F.col("id"), "left_anti")
-    return lookup_join(nodes, missing, "parent_id", "missing", "id").drop("missing")
+    """Rows whose parent is not among the rows."""
+    known = nodes.select(F.col("id").alias("_id"))
+    return nodes.filter(F.col("parent_id").isNotNull()).join(known, F.col("parent_id") == F.col("_id"), "left_anti")
 
 
 def children_of(nodes: DataFrame, chunk_id: str) -> DataFrame:
@@ -191,39 +208,10 @@ def parent_child_pairs(nodes: DataFrame) -> DataFrame:
         F.col("name").alias("parent_name"),
         F.col("path").alias("parent_path"),
     )
-    return lookup_join(nodes, parents, "parent_id", "up_id", "id").drop("up_id")
-
-
-def children_lists(nodes: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Sorted child ids per parent; the NULL parent holds the roots.
-
-    A list is one value, so a parent with more than `page_size` children gets several pages, cut by a
-    hash of the child id. No page grows with the size of its parent, and no child is left out.
-    """
-    key = F.when(F.col("parent_id").isNull(), "~").otherwise(F.concat(F.lit("="), "parent_id"))
-    kids = nodes.select("id", "parent_id", key.alias("_key"))
-    large = (
-        kids.groupBy(F.col("_key").alias("_large"))
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > page_size)
-        .select("_large", F.ceil(F.col("_n") / page_size).cast("int").alias("_pages"))
-    )
-    paged = lookup_join(kids, large, "_key", "_large", "id", "left")
-    pages = F.coalesce("_pages", F.lit(1))
-    slot = F.pmod(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long"), pages).cast("int")
-    return (
-        paged.groupBy("parent_id", pages.alias("pages"), slot.alias("page"))
-        .agg(F.sort_array(F.collect_list("id")).alias("children"))
-        .withColumn("n_children", F.size("children"))
-    )
+    return nodes.join(parents, F.col("parent_id") == F.col("up_id")).drop("up_id")
 
 
-def show(nodes: DataFrame, chunk_id: str) -> DataFrame:
-    """One chunk with its ancestors and children, told apart by `relation`."""
-    own = nodes.filter(F.col("id") == chunk_id)
-    parts = [
-        own.select(F.lit("self").alias("relation"), F.lit(0).alias("distance"), *NODE),
-        ancestors(nodes, chunk_id).select(F.lit("ancestor").alias("relation"), "distance", *NODE),
-        children_of(nodes, chunk_id).select(F.lit("child").alias("relation"), F.lit(1).alias("distance"), *NODE),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def children_lists(nodes: DataFrame) -> DataFrame:
+    """`(parent_id, position, id)`: the children of every parent in the order of their ids, from 1; the NULL parent holds
+    the roots. A list is rows, so one of any length has the same shape."""
+    return placed(nodes.select("parent_id", "id"), "parent_id", [F.col("id")], "position").select("parent_id", "position", "id")

@@ -5,31 +5,33 @@ ranked so that the order in which a product is summed cannot change a ranking; t
 
 The corpus is scanned once and is never shuffled or broadcast. Each Arrow batch of vectors becomes one
 matrix product with the query matrix, and a task keeps only its running k best per query. Merging those
-is a window whose partial top-k runs before the shuffle. A query set too large for one matrix takes the
-grid form, where queries and corpus are both spread over cells.
+takes two windows, each with a partial top-k before its shuffle. A query set too large for one matrix is
+written to the shared folder in blocks, which are streamed past the corpus where it is scanned.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from indexloom.session import spread, written
+from indexloom.session import scratch_path, spread, written
 
 DEFAULT_LIMIT = 10
 DEFAULT_THRESHOLD = 0.2
 OVER_FETCH = 2
 SCORE_DECIMALS = 12
 MAX_QUERY_BYTES = 32 * 1024 * 1024  # of vectors a task holds as its query matrix
-CELL_QUERY_BYTES = 32 * 1024 * 1024  # of query vectors in one cell of the grid form
-CELL_CORPUS_BYTES = 128 * 1024 * 1024  # of corpus vectors in one cell
+QUERY_BLOCK_BYTES = 32 * 1024 * 1024  # of query vectors in one file of the streamed form
+CORPUS_BUFFER_BYTES = 128 * 1024 * 1024  # of corpus vectors that a task holds while queries pass by
+MERGE_WAYS = 16  # parts in which the hits of one query are cut down before they meet
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -147,44 +149,62 @@ def _scan_hits(corpus: DataFrame, queries: DataFrame, rows: list, k: int, thresh
     return spread(corpus.select("id", "vector")).mapInArrow(score, schema)
 
 
-def _grid_hits(
-    corpus: DataFrame, queries: DataFrame, query_bytes: int, dim: int, k: int, threshold: float | None
-) -> DataFrame:
-    """Top-k of every cell of a grid of query blocks x corpus blocks.
+def _streamed_hits(corpus: DataFrame, queries: DataFrame, dim: int, k: int, threshold: float | None) -> DataFrame:
+    """Top-k of every stretch of the corpus for every query, the queries being streamed past it.
 
-    Blocks are hashes of unique ids, so no cell is hot, and there are as many of them as keep either side
-    of a cell near its bound. A query is copied once per corpus block and an entry once per query block;
-    neither pairs nor scores leave a cell, only the k best per query of its block.
+    The queries are a table in the shared folder, in files of bounded size. A task fills a buffer of bounded size with its
+    rows of the corpus, reads the query files one after another against it, and goes on with the next buffer. The corpus
+    is neither copied nor shuffled, and neither side is whole anywhere.
     """
     schema = _hit_schema(queries, corpus)
     types = [to_arrow_type(schema[name].dataType) for name in ("query_id", "id")]
-    q_blocks = max(1, math.ceil(query_bytes / CELL_QUERY_BYTES))
-    c_blocks = max(1, math.ceil(corpus.count() * dim * 8 / CELL_CORPUS_BYTES))
-
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def all_blocks(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spark = corpus.sparkSession
+    path = scratch_path(spark, "query-blocks")
+    block_rows = max(1, QUERY_BLOCK_BYTES // (8 * dim))
+    queries.select("query_id", "vector").write.option("maxRecordsPerFile", block_rows).parquet(path)
+    files = spark.read.parquet(path).inputFiles()
+    buffer_rows = max(1, CORPUS_BUFFER_BYTES // (8 * dim))
 
-    left = queries.select("query_id", "vector", block("query_id", q_blocks).alias("_q")).withColumn(
-        "_c", all_blocks(c_blocks)
-    )
-    right = corpus.select("id", "vector", block("id", c_blocks).alias("_c")).withColumn("_q", all_blocks(q_blocks))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in held])
+            vectors = np.concatenate([_matrix(b.column("vector")) for b in held])
+            for file in files:
+                system, at = pafs.FileSystem.from_uri(file)
+                block = pq.read_table(at, filesystem=system, columns=["query_id", "vector"])
+                if block.num_rows:
+                    best = _TopK(_matrix(block.column("vector")), k, threshold)
+                    best.add(ids, vectors)
+                    yield pa.RecordBatch.from_pydict(best.found(block.column("query_id").to_pylist(), *types))
 
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = _TopK(_matrix(q.column("vector")), k, threshold)
-        if q.num_rows:
-            best.add(c.column("id").to_numpy(), _matrix(c.column("vector")))
-        return pa.table(best.found(q.column("query_id").to_pylist(), *types))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= buffer_rows:
+                yield from compared()
+                held, n = [], 0
+        if held:
+            yield from compared()
 
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(cell, schema)
+    return spread(corpus.select("id", "vector")).mapInArrow(score, schema)
 
 
 def rank(hits: DataFrame, k: int) -> DataFrame:
-    """The k best per query, numbered from 1."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """The k best per query, numbered from 1.
+
+    In two steps: the hits of a query, of which there are k from every task, are first cut down in MERGE_WAYS parts, so
+    that no task takes all of them.
+    """
+    best = [F.desc("score"), F.asc("id")]
+    part = F.pmod(F.xxhash64("id"), F.lit(MERGE_WAYS)).cast("int")
+    within = Window.partitionBy("query_id", "_part").orderBy(*best)
+    some = hits.withColumn("_part", part).withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= k)
+    w = Window.partitionBy("query_id").orderBy(*best)
+    return some.drop("_part").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def search_batch(
@@ -205,7 +225,7 @@ def search_batch(
         rows = queries.select("query_id", "vector").collect()  # within max_query_bytes
         hits = _scan_hits(corpus, queries, rows, limit, threshold)
     else:
-        hits = _grid_hits(corpus, queries, query_bytes, dim, limit, threshold)
+        hits = _streamed_hits(corpus, queries, dim, limit, threshold)
     return rank(hits, limit)
 
 
@@ -257,7 +277,9 @@ def search_chunks(
             df = df.filter(F.col("parent_id") == parent_id)
         return df
 
-    if prefilter:
+    if prefilter and {"type", "parent_id"} <= set(corpus.columns):
+        corpus = wanted(corpus)  # stored with the vectors: the scan skips what does not qualify
+    elif prefilter:
         corpus = corpus.join(wanted(chunks).select("id"), "id", "left_semi")
     hits = search_batch(corpus, queries, limit * OVER_FETCH, threshold=None).drop("rank")
     hits = hits.filter(F.col("score") >= threshold)

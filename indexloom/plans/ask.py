@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.functions import text
 from indexloom.functions.labels import language_label
 from indexloom.functions.metadata import lines_in_chunk
+from indexloom.operators import filters, hierarchy, stats
 from indexloom.operators.embed import Model
 from indexloom.operators.search import (
     DEFAULT_LIMIT,
@@ -16,6 +19,7 @@ from indexloom.operators.search import (
     search_best,
     search_chunks,
 )
+from indexloom.plans.build import build_outline
 from indexloom.session import written
 from indexloom.sources.store import IndexStore
 
@@ -72,7 +76,7 @@ def query_chunks(
 ) -> DataFrame:
     """Best chunks for every query text, with the columns of the chunk table."""
     store.require_model(collection, model.name, model.dim)
-    entries = store.embeddings(collection).select("id", "vector")
+    entries = store.embeddings(collection).select("id", "vector", "type", "parent_id")
     return search_chunks(
         entries,
         store.chunks(collection),
@@ -134,3 +138,55 @@ def chunk_report(results: DataFrame) -> DataFrame:
         F.try_element_at("metadata", F.lit("tokens")).alias("tokens"),
         language_label(F.col("path")).alias("language"),
     )
+
+
+# reports over a stored index
+
+
+def outlined(store: IndexStore, collection: str) -> DataFrame:
+    """The stored outline of a collection, made again if chunks were changed since it was stored."""
+    found = store.outline(collection)
+    if found is None:
+        build_outline(store, collection)
+        found = store.outline(collection)
+    return store.chunks(collection).limit(0) if found is None else found
+
+
+def list_chunks(store: IndexStore, collection: str, path: str | None = None, chunk_type: str | None = None) -> DataFrame:
+    return filters.list_chunks(store.chunks(collection), path, chunk_type)
+
+
+def chunk_tree(store: IndexStore, collection: str, root_id: str | None = None, orphans_as_roots: bool = False) -> DataFrame:
+    return hierarchy.tree(outlined(store, collection), root_id, orphans_as_roots)
+
+
+def chunk_descendants(store: IndexStore, collection: str, chunk_id: str) -> DataFrame:
+    return hierarchy.descendants(outlined(store, collection), chunk_id)
+
+
+def chunk_ancestors(store: IndexStore, collection: str, chunk_id: str) -> DataFrame:
+    return hierarchy.ancestors(outlined(store, collection), chunk_id)
+
+
+def show_chunk(store: IndexStore, collection: str, chunk_id: str) -> DataFrame:
+    """One chunk, its ancestors and its children, with content and metadata."""
+    return hierarchy.show(outlined(store, collection), chunk_id)
+
+
+def chunk_stats(store: IndexStore, collection: str) -> DataFrame:
+    """`(report, key, chunks)`: the counts of a collection in all, per type, of its ten largest files, top-level and
+    nested, and per depth."""
+    chunks, shape = store.chunks(collection), outlined(store, collection)
+
+    def part(name: str, df: DataFrame, key: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("report"), key.cast("string").alias("key"), F.col("chunks").cast("long"))
+
+    level = F.when(F.col("parent_id").isNull(), "top_level").otherwise("nested")
+    parts = [
+        part("total", stats.chunk_count(chunks), F.lit("all")),
+        part("type", stats.chunks_per_type(chunks), F.col("type")),
+        part("file", stats.top_files(chunks), F.col("path")),
+        part("hierarchy", chunks.groupBy(level.alias("level")).agg(F.count("*").alias("chunks")), F.col("level")),
+        part("depth", shape.groupBy("depth").agg(F.count("*").alias("chunks")), F.col("depth")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -12,6 +12,7 @@ from indexloom.functions.text import is_blank
 from indexloom.functions.tokens import word_token_count
 from indexloom.operators.embed import Model
 from indexloom.operators.extract import detect_language, extract_chunks
+from indexloom.operators.hierarchy import outline
 from indexloom.operators.upsert import latest
 from indexloom.session import written
 from indexloom.sources.store import IndexStore
@@ -70,9 +71,8 @@ def index_files(
         "content",
         file_metadata(F.col("path"), count_tokens(F.col("content"))).alias("metadata"),
     )
-    embedded = written(embed_entries(rows, model), "files-embedded")
-    store.create(collection, model.name, model.dim, force)
-    store.upsert_embeddings(collection, embedded)
+    embedded = written(embed_entries(rows, model), "files-embedded").withColumn("path", F.col("id"))
+    store.build(collection, model.name, model.dim, embedded, force=force)
     return file_status(files).select("path", "status")
 
 
@@ -98,8 +98,8 @@ def index_chunks(
     """
     store.require_free(collection, force)
     supported, embedded = _embedded_chunks(files, model, count_tokens, order)
-    store.create(collection, model.name, model.dim, force)
-    return _store_chunks(store, supported, embedded, collection, None)
+    store.build(collection, model.name, model.dim, _entries(embedded), embedded.drop("vector"), force)
+    return _chunk_status(supported, embedded)
 
 
 def add_chunks(
@@ -116,9 +116,11 @@ def add_chunks(
     that a path had before and has no more are removed.
     """
     supported, embedded = _embedded_chunks(files, model, count_tokens, order)
-    known = store.chunks(collection).select("id", "path").join(supported.select("path"), "path", "left_semi")
-    gone = written(known.join(embedded.select("id"), "id", "left_anti").select("id"), "chunks-gone")
-    return _store_chunks(store, supported, embedded, collection, gone)
+    # chunks are sorted by path, so few paths read few files
+    known = store.lookup("chunks", collection, supported, "path").select("id")
+    gone = written(known.join(embedded.select("id"), "id", "left_anti"), "chunks-gone")
+    store.upsert(collection, _entries(embedded), embedded.drop("vector"), gone=gone)
+    return _chunk_status(supported, embedded)
 
 
 def _embedded_chunks(
@@ -130,15 +132,20 @@ def _embedded_chunks(
     return last, written(embed_entries(chunk_rows(last, count_tokens), model), "chunks-embedded")
 
 
-def _store_chunks(
-    store: IndexStore, supported: DataFrame, embedded: DataFrame, collection: str, gone: DataFrame | None
-) -> DataFrame:
-    # the chunk table tells which chunks are gone, so it changes last and a repeated run finds them again
-    store.upsert_embeddings(collection, embedded.select("id", "vector", "content", "metadata"), gone=gone)
-    store.upsert_chunks(collection, embedded.drop("vector"), gone=gone)
+def _entries(embedded: DataFrame) -> DataFrame:
+    """Vectors of chunks, with what a search can be restricted by."""
+    return embedded.select("id", "vector", "content", "metadata", "type", "path", "parent_id")
+
+
+def _chunk_status(supported: DataFrame, embedded: DataFrame) -> DataFrame:
     stored = embedded.groupBy("path").agg(F.count("*").alias("chunks"))
     return supported.select("path").join(stored, "path", "left").select(
         "path",
         F.when(F.col("chunks") > 0, "ok").otherwise("error").alias("status"),
         F.coalesce("chunks", F.lit(0)).alias("chunks"),
     )
+
+
+def build_outline(store: IndexStore, collection: str = CHUNK_COLLECTION) -> None:
+    """Number the chunks of a collection in pre-order and store them so, for questions about trees."""
+    store.put_outline(collection, outline(store.chunks(collection)))

@@ -30,6 +30,9 @@ EMBEDDINGS = T.StructType(
         T.StructField("vector", T.ArrayType(T.FloatType(), False), False),
         T.StructField("content", T.StringType(), True),
         T.StructField("metadata", METADATA, True),
+        T.StructField("type", T.StringType(), True),  # of chunks: what a search can be restricted by
+        T.StructField("path", T.StringType(), True),
+        T.StructField("parent_id", T.StringType(), True),
         T.StructField("updated", T.TimestampType(), False),
     ]
 )
@@ -52,3 +55,17 @@ CHUNKS = T.StructType(
         T.StructField("updated", T.TimestampType(), False),
     ]
 )
+
+# Chunks in pre-order: the chunks below one are those whose `first` lies between its own and its `last`.
+OUTLINE = T.StructType(
+    [
+        T.StructField("collection", T.StringType(), False),
+        T.StructField("id", T.StringType(), False),
+        T.StructField("first", T.LongType(), False),
+        T.StructField("last", T.LongType(), False),
+        T.StructField("depth", T.IntegerType(), False),
+        T.StructField("position", T.LongType(), False),  # among the children of its parent, from 1
+        T.StructField("orphaned", T.BooleanType(), False),
+        *[f for f in CHUNKS.fields if f.name not in ("collection", "id")],
+    ]
+)

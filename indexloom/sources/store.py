@@ -1,78 +1,128 @@
-"""The stored index: three Parquet datasets under one root.
+"""The stored index: a log of commits and the immutable batches of rows that it names.
 
-`embeddings` and `chunks` are partitioned by collection and by a hash bucket of the id, so a collection
-that holds most of the data is many folders, a reader prunes to the collections it names, and an upsert
-rewrites only the buckets it touches. Files are sorted by id within a bucket, which lets point lookups
-skip row groups.
+`embeddings` and `chunks` are folders of batches. A batch is written once, into a folder of its own, and is never changed:
+first the rows a collection begins with (a base), then what each upsert brings (a delta, with a tombstone for each removed
+id). A commit is one small file in `log`; batches of both tables enter the index with it together, and a job that fails
+before leaves nothing that a reader sees. So an upsert writes about as many bytes as it is given, whatever the index holds.
+
+Readers merge: the last version of each id in the deltas stands before the base. `compact` folds the deltas into a new base,
+and `vacuum` empties the folders of batches that no commit names any more.
+
+Batches are ranges of their sort key, cut by size: chunks by path, embeddings by type and id. Footers hold Bloom filters
+of id and path, so that lookups and filters skip files, row groups and pages.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indexloom import schemas
 from indexloom.errors import CollectionExists, CollectionNotFound, IndexNotFound, ModelMismatch
 from indexloom.functions.text import human_size
-from indexloom.operators.upsert import latest, upsert
-from indexloom.session import written
-
-DEFAULT_BUCKETS = 16
-MAX_LITERAL_IDS = 1000  # ids a lookup turns into literals
-
-_BUCKET = T.StructField("bucket", T.IntegerType(), False)
-_BUCKETS = T.StructField("buckets", T.IntegerType(), False)
-
-
-def _bucket_of(id_: Column, buckets: int) -> Column:
-    return F.pmod(F.hash(id_), F.lit(buckets)).cast("int")
-
-
-def _by_bucket(df: DataFrame) -> DataFrame:
-    """Dealt out by bucket, with large buckets split and small ones joined, and sorted by id."""
-    return df.hint("rebalance", "bucket").sortWithinPartitions("collection", "bucket", "id")
-
-
-def _with_partitions(schema: T.StructType) -> T.StructType:
-    """The schema as laid out in files: partition columns last."""
-    data = [f for f in schema.fields if f.name != "collection"]
-    return T.StructType([*data, schema["collection"], _BUCKET])
+from indexloom.operators.upsert import latest
+
+MAX_LITERAL_KEYS = 1000  # keys a lookup turns into literals
+FILE_BYTES = 128 * 1024 * 1024  # of a batch in one file
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+BROADCAST_ID_BYTES = 32 * 1024 * 1024  # of changed ids that readers broadcast; more are joined
+
+SORT_KEYS = {"embeddings": ["type", "id"], "chunks": ["path", "start_line", "id"], "outline": ["first"]}
+BLOOM_KEYS = {"embeddings": ["id", "path"], "chunks": ["id", "path"], "outline": ["id", "path"]}
+
+_LOG = T.StructType(
+    [
+        T.StructField("version", T.LongType()),
+        T.StructField("action", T.StringType()),  # reset, create, add or remove
+        T.StructField("table", T.StringType()),
+        T.StructField("collection", T.StringType()),
+        T.StructField("batch", T.StringType()),
+        T.StructField("kind", T.StringType()),  # base, delta or outline
+        T.StructField("rows", T.LongType()),
+        T.StructField("id_bytes", T.LongType()),
+        T.StructField("bytes", T.LongType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("dim", T.IntegerType()),
+        T.StructField("updated", T.TimestampType()),
+    ]
+)
+_VERSION, _GONE = T.StructField("version", T.LongType()), T.StructField("gone", T.BooleanType())
+
+
+@dataclass(frozen=True)
+class Batch:
+    """What the log says of a batch of one collection."""
+
+    table: str
+    collection: str
+    batch: str
+    kind: str
+    rows: int
+    id_bytes: int
+    bytes: int
+    version: int
 
 
 class IndexStore:
-    """Reader and writer of one index. One writer at a time."""
+    """Reader and writer of one index. One writer at a time; readers need not wait for it."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._schemas = {
-            "embeddings": _with_partitions(schemas.EMBEDDINGS),
-            "chunks": _with_partitions(schemas.CHUNKS),
-            "collections": T.StructType(
-                [*[f for f in schemas.COLLECTIONS.fields if f.name != "name"], _BUCKETS, schemas.COLLECTIONS["name"]]
-            ),
-        }
-
-    def _read(self, table: str) -> DataFrame:
+        self._columns = {"embeddings": schemas.EMBEDDINGS, "chunks": schemas.CHUNKS, "outline": schemas.OUTLINE}
+
+    # the log
+
+    def _log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self._schemas[table]).parquet(f"{self.root}/{table}")
+            return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 raise IndexNotFound(self.root) from error
             raise
 
+    def _since_reset(self) -> DataFrame:
+        log = self._log()
+        reset = log.filter("action = 'reset'").agg(F.max("version").alias("v")).first()["v"]
+        return log.filter(F.col("version") >= reset) if reset is not None else log
+
+    def _version(self) -> int:
+        return self._log().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] if self.exists() else 0
+
+    def batches(self, table: str | None = None, collection: str | None = None) -> list[Batch]:
+        """Live batches, which are as many as commits since the last compaction."""
+        log = self._since_reset()
+        gone = log.filter("action = 'remove'").select("table", "collection", "batch")
+        live = log.filter("action = 'add'").join(gone, ["table", "collection", "batch"], "left_anti")
+        for name, value in (("table", table), ("collection", collection)):
+            live = live if value is None else live.filter(F.col(name) == value)
+        names = list(Batch.__dataclass_fields__)
+        return [Batch(**r.asDict()) for r in live.select(*names).orderBy("version", "table", "collection").collect()]
+
+    def _commit(self, entries: list[dict]) -> None:
+        """All entries become visible with one file, or none does."""
+        version = self._version() + 1
+        rows = [tuple({"version": version, **e}.get(f.name) for f in _LOG.fields) for e in entries]
+        made = self.spark.createDataFrame(rows, _LOG).withColumn("updated", F.current_timestamp())
+        made.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+
+    # catalog
+
     def exists(self) -> bool:
         try:
-            self._read("collections")
+            self._log()
             return True
         except IndexNotFound:
             return False
 
-    # catalog
-
     def collections(self) -> DataFrame:
-        return self._read("collections").select("name", "model", "dim", "buckets", "updated")
+        created = self._since_reset().filter("action = 'create'")
+        return created.select(F.col("collection").alias("name"), "model", "dim", "updated")
 
     def collection_names(self) -> list[str]:
         return [r["name"] for r in self.collections().select("name").orderBy("name").collect()]
@@ -98,39 +148,47 @@ class IndexStore:
         if not force and self.exists() and collection in self.collection_names():
             raise CollectionExists(collection)
 
-    def create(
-        self, collection: str, model: str, dim: int, force: bool = False, buckets: int = DEFAULT_BUCKETS
-    ) -> None:
+    def create(self, collection: str, model: str, dim: int, force: bool = False) -> None:
         """Register a collection. An existing one is refused; `force` empties the whole index, with every
         other collection in it."""
         self.require_free(collection, force)
-        fresh = force or not self.exists()
-        if fresh:
-            for table in ("embeddings", "chunks"):
-                empty = self.spark.createDataFrame([], self._schemas[table])
-                self._write(empty, table, "static")
-        entry = self.spark.range(1).select(
-            F.lit(model).alias("model"),
-            F.lit(dim).alias("dim"),
-            F.current_timestamp().alias("updated"),
-            F.lit(buckets).alias("buckets"),
-            F.lit(collection).alias("name"),
-        )
-        self._write(entry, "collections", "static" if fresh else "dynamic")
-
-    # data
-
-    def _write(self, df: DataFrame, table: str, overwrite: str) -> None:
-        keys = ["name"] if table == "collections" else ["collection", "bucket"]
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", overwrite)
-        writer.partitionBy(*keys).parquet(f"{self.root}/{table}")
+        entry = {"action": "create", "collection": collection, "model": model, "dim": dim}
+        self._commit(([{"action": "reset"}] if force else []) + [entry])
+
+    # reading
+
+    def _folder(self, table: str, batch: str) -> str:
+        return f"{self.root}/{table}/batch={batch}"
+
+    def _scan(self, table: str, batches: list[Batch], schema: T.StructType) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self._folder(table, b) for b in dict.fromkeys(x.batch for x in batches)])
+
+    def _merged(self, table: str, batches: list[Batch], collection: str | None) -> DataFrame:
+        """The base without the ids that deltas changed, and the last version of those."""
+        schema = self._columns[table]
+
+        def own(kind: str, fields: list[T.StructField]) -> DataFrame:
+            found = self._scan(table, [b for b in batches if b.kind == kind], T.StructType([*schema.fields, *fields]))
+            return found if collection is None else found.filter(F.col("collection") == collection)
+
+        base, deltas = own("base", []), [b for b in batches if b.kind == "delta"]
+        if not deltas:
+            return base
+        rest = [F.col(c) for c in [*schema.names[2:], "gone"]]  # all but the keys
+        last = own("delta", [_VERSION, _GONE]).groupBy("collection", "id").agg(F.max_by(F.struct(*rest), "version").alias("row"))
+        last = last.select("collection", "id", "row.*")
+        changed = last.select("collection", "id")
+        if sum(b.id_bytes for b in deltas) <= BROADCAST_ID_BYTES:
+            changed = F.broadcast(changed)
+        kept = base.join(changed, ["collection", "id"], "left_anti")
+        return kept.select(*schema.names).unionByName(last.filter(~F.col("gone")).select(*schema.names))
 
     def _table(self, table: str, collection: str | None) -> DataFrame:
-        df = self._read(table)
         if collection is not None:
             self._entry(collection)
-            df = df.filter(F.col("collection") == collection)
-        return df.drop("bucket")
+        return self._merged(table, self.batches(table, collection), collection)
 
     def embeddings(self, collection: str | None = None) -> DataFrame:
         return self._table("embeddings", collection)
@@ -138,95 +196,202 @@ class IndexStore:
     def chunks(self, collection: str | None = None) -> DataFrame:
         return self._table("chunks", collection)
 
-    def _upsert(
-        self, table: str, collection: str, new: DataFrame, order: list[str] | None, gone: DataFrame | None
-    ) -> None:
-        """Replace by id, and remove the ids of `gone`, within the buckets that these touch. Both are read more
-        than once, so they should be tables rather than computations.
-
-        Where rows are there already, the merged buckets are written aside first: nothing is overwritten
-        while it is being read, and a failed job leaves the index as it was.
-        """
-        buckets = self._entry(collection)["buckets"]
-        names = self._schemas[table].names
-        new = (
-            new.withColumn("collection", F.lit(collection))
-            .withColumn("updated", F.current_timestamp())
-            .withColumn("bucket", _bucket_of(F.col("id"), buckets))
+    def lookup(self, table: str, collection: str, keys: DataFrame, column: str = "id") -> DataFrame:
+        """Rows whose `column` is among that of `keys`. Few keys become literals, which the footers' ranges and Bloom
+        filters answer for most files; many are joined."""
+        rows = self._table(table, collection)
+        wanted = keys.select(column).filter(F.col(column).isNotNull()).distinct()
+        few = wanted.limit(MAX_LITERAL_KEYS + 1).collect()
+        if len(few) > MAX_LITERAL_KEYS:
+            return rows.join(wanted, column, "left_semi").select(*rows.columns)
+        return rows.filter(F.col(column).isin([r[0] for r in few]))
+
+    # writing
+
+    def _write(self, df: DataFrame, table: str, fields: list[T.StructField]) -> tuple[str, list[dict]]:
+        """A batch in a folder of its own, and what the log is to say of it, for each of its collections."""
+        names = [*self._columns[table].names, *[f.name for f in fields]]
+        text = F.coalesce(F.octet_length("content"), F.lit(0)) if "content" in df.columns else F.lit(0)
+        vector = 4 * F.coalesce(F.size("vector"), F.lit(0)) if "vector" in df.columns else F.lit(0)
+        about = df.groupBy("collection").agg(
+            F.count("*").alias("rows"),
+            F.sum(F.octet_length("id")).alias("id_bytes"),
+            F.sum(F.octet_length("id") + text + vector).alias("size"),
         )
-        touched = new.select("bucket")
-        if gone is not None:
-            touched = touched.union(gone.select(_bucket_of(F.col("id"), buckets)))
-        touched = touched.distinct()  # at most `buckets` rows
-        stored = self._read(table).filter(F.col("collection") == collection)
-        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
-        folders = stored.select("bucket", folder).distinct()
-        present = stored.join(F.broadcast(touched), "bucket", "left_semi").select(*names)
-        if present.isEmpty():
-            self._write(_by_bucket(latest(new, ["id"], order) if order else new).select(*names), table, "dynamic")
-            return
-        kept = present if gone is None else present.join(gone.select("id"), "id", "left_anti")
-        staged = written(_by_bucket(upsert(kept, new, ["id"], order)).select(*names), f"{table}-merged")
-        emptied = []
-        if gone is not None:  # buckets that lose their last row: the write below would leave them as they are
-            filled = staged.select("bucket").distinct()
-            emptied = folders.join(touched, "bucket", "left_semi").join(filled, "bucket", "left_anti").collect()
-        self._write(staged, table, "dynamic")
-        for row in emptied:  # at most `buckets`
-            self._delete(row["folder"])
-
-    def _delete(self, folder: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(folder))
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def lookup(self, table: str, collection: str, ids: DataFrame) -> DataFrame:
-        """Rows of the given ids. Few ids become literals, which prune to their buckets and, ids being
-        sorted within files, to the row groups that hold them; many are joined."""
-        buckets = self._entry(collection)["buckets"]
-        wanted = ids.select("id").distinct().withColumn("bucket", _bucket_of(F.col("id"), buckets))
-        rows = self._read(table).filter(F.col("collection") == collection)
-        few = wanted.limit(MAX_LITERAL_IDS + 1).collect()
-        if len(few) > MAX_LITERAL_IDS:
-            return rows.join(wanted, ["bucket", "id"], "left_semi").drop("bucket")
-        named = F.col("bucket").isin({r["bucket"] for r in few}) & F.col("id").isin([r["id"] for r in few])
-        return rows.filter(named).drop("bucket")
-
-    def upsert_embeddings(
-        self, collection: str, new: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None
+        found = about.collect()  # one row for each collection that the batch touches
+        batch, rows = uuid.uuid4().hex, sum(r["rows"] for r in found)
+        if not rows:
+            return batch, []
+        files = max(1, math.ceil(sum(r["size"] for r in found) / FILE_BYTES))
+        keys = SORT_KEYS[table]
+        dealt = df.select(*names)
+        dealt = (dealt.repartitionByRange(files, *keys) if files > 1 else dealt.coalesce(1)).sortWithinPartitions(*keys)
+        writer = dealt.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES)
+        for key in BLOOM_KEYS[table]:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+            writer = writer.option(f"parquet.bloom.filter.expected.ndv#{key}", math.ceil(rows / files))
+        writer.parquet(self._folder(table, batch))
+        listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self._folder(table, batch))
+        written_bytes = listed.agg(F.sum("length")).first()[0]
+        return batch, [
+            {"table": table, "collection": r["collection"], "batch": batch, "rows": r["rows"], "id_bytes": r["id_bytes"], "bytes": written_bytes * r["rows"] // rows}
+            for r in found
+        ]
+
+    def _aligned(self, table: str, new: DataFrame, collection: str) -> DataFrame:
+        """The columns of the table; those a caller need not give are null."""
+        new = new.withColumn("collection", F.lit(collection)).withColumn("updated", F.current_timestamp())
+        for field in self._columns[table].fields:
+            if field.name not in new.columns and field.nullable:
+                new = new.withColumn(field.name, F.lit(None).cast(field.dataType))
+        return new
+
+    def _tombstones(self, table: str, ids: DataFrame) -> DataFrame:
+        """Rows `(collection, id)` as removals."""
+        fields = [f for f in self._columns[table].fields if f.name not in ("collection", "id", "updated")]
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        return ids.select("collection", "id", *nulls, F.current_timestamp().alias("updated"), F.lit(True).alias("gone"))
+
+    def build(
+        self,
+        collection: str,
+        model: str,
+        dim: int,
+        embeddings: DataFrame | None = None,
+        chunks: DataFrame | None = None,
+        force: bool = False,
     ) -> None:
-        """`new`: id, vector, content, metadata, and the columns named in `order`. `gone`: ids to remove."""
-        self._upsert("embeddings", collection, new, order, gone)
-
-    def upsert_chunks(
-        self, collection: str, new: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None
+        """Register a collection together with the rows it begins with: readers see both or neither."""
+        self.require_free(collection, force)
+        entries = [{"action": "reset"}] if force else []
+        entries.append({"action": "create", "collection": collection, "model": model, "dim": dim})
+        for table, new in (("embeddings", embeddings), ("chunks", chunks)):
+            if new is not None:
+                made = self._write(self._aligned(table, new, collection), table, [])[1]
+                entries += [{"action": "add", "kind": "base", **e} for e in made]
+        self._commit(entries)
+
+    def upsert(
+        self,
+        collection: str,
+        embeddings: DataFrame | None = None,
+        chunks: DataFrame | None = None,
+        order: list[str] | None = None,
+        gone: DataFrame | None = None,
+        global_ids: bool = False,
     ) -> None:
-        """`new`: the chunk columns without collection and updated. `gone`: ids to remove."""
-        self._upsert("chunks", collection, new, order, gone)
+        """Insert or replace by id, and remove the ids of `gone`, in one commit for both tables.
+
+        `embeddings`: id, vector, content, metadata, and perhaps type, path and parent_id; `chunks`: the chunk columns
+        without collection and updated. `order` names columns that tell which repetition of an id is last; without it
+        ids are unique. An id in `gone` that comes again stays. With `global_ids` an id lives in one collection: storing
+        it here removes it from all others. The tables are read more than once, so give tables rather than computations.
+        """
+        self._entry(collection)
+        version, entries = self._version() + 1, []
+        for table, new in (("embeddings", embeddings), ("chunks", chunks)):
+            if new is None:
+                continue
+            rows = self._aligned(table, latest(new, ["id"], order) if order else new, collection)
+            live = self.batches(table)
+            first = not any(b.collection == collection for b in live)
+            if first and not global_ids:
+                kind, fields = "base", []
+            else:
+                kind, fields = "delta", [_VERSION, _GONE]
+                rows = rows.withColumn("gone", F.lit(False))
+                removed = []
+                if gone is not None:
+                    removed.append(gone.select(F.lit(collection).alias("collection"), "id").join(new.select("id"), "id", "left_anti"))
+                if global_ids:
+                    known = self._merged(table, live, None).select("collection", "id").filter(F.col("collection") != collection)
+                    removed.append(known.join(new.select("id"), "id", "left_semi"))
+                for ids in removed:
+                    rows = rows.unionByName(self._tombstones(table, ids.select("collection", "id").distinct()), allowMissingColumns=True)
+                rows = rows.withColumn("version", F.lit(version).cast("long"))
+            entries += [{"action": "add", "kind": kind, **e} for e in self._write(rows, table, fields)[1]]
+        if entries:
+            self._commit(entries)
+
+    def upsert_embeddings(self, collection: str, new: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None) -> None:
+        self.upsert(collection, embeddings=new, order=order, gone=gone)
+
+    def upsert_chunks(self, collection: str, new: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None) -> None:
+        self.upsert(collection, chunks=new, order=order, gone=gone)
+
+    # upkeep
+
+    def compact(self, collection: str, least_deltas: int = 1) -> bool:
+        """Fold the deltas of a collection into a new base, sorted anew, if a table has `least_deltas` of them."""
+        entries = []
+        for table in ("embeddings", "chunks"):
+            live = self.batches(table, collection)
+            if sum(b.kind == "delta" for b in live) < least_deltas:
+                continue
+            entries += [{"action": "add", "kind": "base", **e} for e in self._write(self._merged(table, live, collection), table, [])[1]]
+            entries += [{"action": "remove", "table": table, "collection": collection, "batch": b.batch} for b in live]
+        if entries:
+            self._commit(entries)
+        return bool(entries)
+
+    def vacuum(self) -> int:
+        """Empty the folders of batches that are live in no collection; readers of earlier commits lose them.
+
+        Spark can only overwrite, so an empty file stays in each folder.
+        """
+        named = self._log().filter("action = 'add'").select("table", "batch").distinct()
+        live = {(b.table, b.batch) for b in self.batches()}
+        dead = [r for r in named.collect() if (r["table"], r["batch"]) not in live]
+        for row in dead:
+            nothing = self.spark.createDataFrame([], self._columns[row["table"]])
+            nothing.write.mode("overwrite").parquet(self._folder(row["table"], row["batch"]))
+        return len(dead)
+
+    # the outline: chunks with their place in the hierarchy
+
+    def put_outline(self, collection: str, rows: DataFrame) -> None:
+        """Replace the outline of a collection; it belongs to the chunks as they are now."""
+        old = self.batches("outline", collection)
+        made = self._write(self._aligned("outline", rows, collection), "outline", [])[1]
+        entries = [{"action": "add", "kind": "outline", **e} for e in made]
+        self._commit(entries + [{"action": "remove", "table": "outline", "collection": collection, "batch": b.batch} for b in old])
+
+    def outline(self, collection: str) -> DataFrame | None:
+        """The stored outline, or None if there is none or chunks were changed since."""
+        self._entry(collection)
+        found, chunks = self.batches("outline", collection), self.batches("chunks", collection)
+        if not found or any(b.version > found[-1].version for b in chunks if b.kind == "delta"):
+            return None
+        return self._scan("outline", found[-1:], schemas.OUTLINE).filter(F.col("collection") == collection)
+
+    # reports
 
     def info(self) -> DataFrame:
         """Entries and size on disk per collection, also of collections that are still empty.
 
-        Counts come from file footers and sizes from the file listing; no data is read.
+        Sizes, and counts where nothing was changed since the base was written, come from the log. Where there are
+        deltas the merged ids are counted; a collection whose count fails has none, but its `error`.
         """
-        counts = self._read("embeddings").groupBy("collection").agg(F.count("*").alias("entries"))
-        data_files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        listed = data_files.option("pathGlobFilter", "*.parquet").load([f"{self.root}/embeddings", f"{self.root}/chunks"])
-        folder = F.regexp_extract("path", "/collection=([^/]+)/", 1)
-        name = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))  # as partition folders are escaped
-        sizes = listed.groupBy(name.alias("collection")).agg(F.sum("length").alias("bytes"))
-        named = self.collections().select(F.col("name").alias("collection"), "model")
-        found = named.join(counts, "collection", "left").join(sizes, "collection", "left")
-        n_bytes = F.coalesce("bytes", F.lit(0))
-        return found.select(
-            F.lit(self.root).alias("root"),
-            "collection",
-            "model",
-            F.coalesce("entries", F.lit(0)).alias("entries"),
-            n_bytes.alias("bytes"),
-            human_size(n_bytes).alias("size"),
-        )
+        live = [b for b in self.batches() if b.table != "outline"]
+        rows = []
+        for entry in self.collections().orderBy("name").collect():
+            name, error = entry["name"], None
+            own = [b for b in live if b.collection == name]
+            held = [b for b in own if b.table == "embeddings"]
+            n_bytes = sum(b.bytes for b in own)
+            if all(b.kind == "base" for b in held):
+                entries = sum(b.rows for b in held)
+            else:
+                try:
+                    entries = self._merged("embeddings", held, name).select("id").count()
+                except PySparkException as failure:
+                    entries, error = None, str(failure).split("\n")[0]
+            rows.append((self.root, name, entry["model"], entries, n_bytes, error))
+        made = self.spark.createDataFrame(rows, "root string, collection string, model string, entries long, bytes long, error string")
+        return made.withColumn("size", human_size(F.col("bytes")))
 
 
 def write_json(results: DataFrame, path: str) -> None:
     """Results as JSON lines; NULL fields are left out."""
     results.write.mode("errorifexists").json(path)
+

@@ -4,7 +4,16 @@ import time
 
 from pyspark.sql import functions as F
 
-from indexloom.operators.extract import Language, _chunks, detect_language, extract_chunks, python_chunks, register_language
+from indexloom.operators.extract import (
+    Language,
+    _chunks,
+    class_name,
+    detect_language,
+    extract_chunks,
+    function_name,
+    python_chunks,
+    register_language,
+)
 
 
 def chunks(spark, *sources):
@@ -176,3 +185,29 @@ def test_null_paths_and_contents(spark):
     rows = [(None, "class A:\n  def f(): pass"), ("n.py", None)]
     found = python_chunks(spark.createDataFrame(rows, "path string, content string")).collect()
     assert {(r["id"], r["parent_id"]) for r in found} == {("class:A:0", None), ("method:f:1", "class:A:0")}
+
+
+# The language of definition lines, as patterns; the scanner is linear and must agree with them.
+CLASS_PATTERN = re.compile(r"class\s+(\w+)(?:\s*\(\s*.*?\s*\))?\s*:")
+FUNCTION_PATTERN = re.compile(r"def\s+(\w+)\s*\(.*?\)\s*(?:->.*?)?\s*:")
+
+
+def test_the_scanner_agrees_with_the_patterns():
+    draw, found = random.Random(1), 0
+    tokens = ["class ", "def ", "class", "def", " ", "  ", "(", "(", ")", ")", ":", ":", "->", "a", "\u00e91", "\t", "-", ">", "x", "\u2003"]
+    for _ in range(150_000):
+        line = "".join(draw.choices(tokens, k=draw.randint(1, 14)))
+        as_class, as_function = CLASS_PATTERN.search(line), FUNCTION_PATTERN.search(line)
+        assert class_name(line) == (as_class and as_class[1]), repr(line)
+        assert function_name(line) == (as_function and as_function[1]), repr(line)
+        found += bool(as_class) + bool(as_function)
+    assert found > 1000
+
+
+def test_one_very_long_line_takes_linear_time():
+    n = 100_000
+    lines = ["class A(" + " " * n, "def f(" + ")->" * (n // 3), "class a(" * (n // 8), "def f(" * (n // 6) + ") " * n, "class " + " " * n + "(", "class A(" + ") " * (n // 2) + ":"]
+    start = time.perf_counter()
+    names = [(class_name(line), function_name(line)) for line in lines]
+    assert time.perf_counter() - start < 2
+    assert names == [(None, None)] * 5 + [("A", None)]

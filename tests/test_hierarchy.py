@@ -1,8 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from indexloom.errors import HierarchyCycle
-from indexloom.operators import filters, hierarchy, skew
+from indexloom.operators import filters, hierarchy
+from indexloom.operators.ordering import placed
+from indexloom.session import written
 
 
 def forest(spark, edges):
@@ -15,21 +19,14 @@ def forest(spark, edges):
 EDGES = [("a", None), ("b", "a"), ("d", "b"), ("c", "a"), ("e", "gone"), ("f", "e"), ("g", None)]
 
 
-@pytest.fixture(params=["plain", "hot"])
-def mode(request, monkeypatch):
-    if request.param == "hot":
-        monkeypatch.setattr(skew, "HOT_ROWS", 1)
-        monkeypatch.setattr(skew, "SALTS", 3)
-
-
-def test_depths(spark, mode):
+def test_depths(spark):
     nodes = forest(spark, EDGES)
     assert [tuple(r) for r in hierarchy.depth_histogram(nodes).collect()] == [(0, 3), (1, 3), (2, 1)]
     depths = {r["id"]: r["depth"] for r in hierarchy.node_depths(nodes).collect()}
     assert depths == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 0, "f": 1, "g": 0}
 
 
-def test_no_links_at_all(spark, mode):
+def test_no_links_at_all(spark):
     assert [tuple(r) for r in hierarchy.depth_histogram(forest(spark, [("a", None), ("b", "x")])).collect()] == [(0, 2)]
     assert hierarchy.depth_histogram(forest(spark, EDGES).filter("false")).collect() == []
 
@@ -38,11 +35,60 @@ def test_deep_chain(spark):
     edges = [("0", None)] + [(str(i), str(i - 1)) for i in range(1, 12)]
     nodes = forest(spark, edges)
     assert [tuple(r) for r in hierarchy.depth_histogram(nodes).collect()] == [(i, 1) for i in range(12)]
-    assert [r["id"] for r in hierarchy.ancestors(nodes, "5").collect()] == ["4", "3", "2", "1", "0"]
-
-
-def test_tree_order(spark, mode):
-    nodes = forest(spark, EDGES)
+    shape = hierarchy.outline(nodes)
+    assert [r["id"] for r in hierarchy.ancestors(shape, "5").collect()] == ["4", "3", "2", "1", "0"]
+    assert [r["id"] for r in hierarchy.descendants(shape, "7").collect()] == ["8", "9", "10", "11"]
+
+
+def test_a_thousand_levels_take_ten_rounds(spark, monkeypatch):
+    rounds = []
+
+    def counted(df, label):
+        rounds.append(label)
+        return written(df, label)
+
+    monkeypatch.setattr(hierarchy, "written", counted)
+    n = 1000
+    edges = [("k0", None)] + [(f"k{i}", f"k{i - 1}") for i in range(1, n)]
+    depths = {r["id"]: r["depth"] for r in hierarchy.node_depths(forest(spark, edges)).collect()}
+    assert depths == {f"k{i}": i for i in range(n)}
+    assert len([r for r in rounds if r.startswith("pointers")]) <= 12
+
+
+def brute_outline(edges):
+    """Pre-order numbers, last numbers, depths and positions of a forest whose siblings stand in the order of `edges`."""
+    known, kids, out, at = {i for i, _ in edges}, {}, {}, 0
+    for i, up in edges:
+        kids.setdefault(up if up in known else None, []).append((i, up is not None and up not in known))
+
+    def visit(node, depth, position, orphaned):
+        nonlocal at
+        at += 1
+        first = at
+        for k, (child, _) in enumerate(kids.get(node, []), 1):
+            visit(child, depth + 1, k, orphaned)
+        out[node] = (first, at, depth, position, orphaned)
+
+    for k, (root, orphaned) in enumerate(kids.get(None, []), 1):
+        visit(root, 0, k, orphaned)
+    return out
+
+
+def test_outline_is_brute_force(spark):
+    draw = random.Random(4)
+    edges = []
+    for i in range(400):
+        up = None if i < 5 else draw.choice([f"n{draw.randrange(i)}", f"n{draw.randrange(max(1, i // 20))}", f"missing{i % 3}"])
+        edges.append((f"n{i}", up))
+    shape = hierarchy.outline(forest(spark, edges)).collect()
+    expected = brute_outline(edges)
+    assert {r["id"]: (r["first"], r["last"], r["depth"], r["position"], r["orphaned"]) for r in shape} == expected
+    assert len({r["parent_id"] for r in shape if r["orphaned"] and r["depth"] == 0}) == 3
+    assert hierarchy.outline(forest(spark, edges).limit(0)).count() == 0
+
+
+def test_tree_order(spark):
+    nodes = hierarchy.outline(forest(spark, EDGES))
     assert [(r["level"], r["id"]) for r in hierarchy.tree(nodes).collect()] == [
         (0, "a"), (1, "b"), (2, "d"), (1, "c"), (0, "g"),
     ]
@@ -53,48 +99,56 @@ def test_tree_order(spark, mode):
     assert hierarchy.tree(nodes).first()["label"] == "t:na (lines 0-1)"
 
 
-def test_relatives(spark, mode):
+def test_relatives(spark):
     nodes = forest(spark, EDGES)
-    assert [r["id"] for r in hierarchy.descendants(nodes, "a").collect()] == ["b", "d", "c"]
-    assert hierarchy.descendants(nodes, "d").collect() == []
-    assert hierarchy.ancestors(nodes, "nope").collect() == []
-    assert [r["id"] for r in hierarchy.ancestors(nodes, "f").collect()] == ["e"]
+    shape = hierarchy.outline(nodes)
+    assert [r["id"] for r in hierarchy.descendants(shape, "a").collect()] == ["b", "d", "c"]
+    assert hierarchy.descendants(shape, "d").collect() == [] == hierarchy.descendants(shape, "nope").collect()
+    assert hierarchy.ancestors(shape, "nope").collect() == [] == hierarchy.show(shape, "nope").collect()
+    assert [(r["id"], r["distance"]) for r in hierarchy.ancestors(shape, "d").collect()] == [("b", 1), ("a", 2)]
+    assert [r["id"] for r in hierarchy.ancestors(shape, "f").collect()] == ["e"]
     assert [r["id"] for r in hierarchy.orphans(nodes).collect()] == ["e"]
-    shown = {(r["relation"], r["id"]) for r in hierarchy.show(nodes, "b").collect()}
-    assert shown == {("self", "b"), ("ancestor", "a"), ("child", "d")}
+    shown = {(r["relation"], r["id"], r["distance"]) for r in hierarchy.show(shape, "b").collect()}
+    assert shown == {("self", "b", 0), ("ancestor", "a", 1), ("child", "d", 1)}
     pairs = {(r["id"], r["parent_name"]) for r in hierarchy.parent_child_pairs(nodes).collect()}
     assert pairs == {("b", "na"), ("c", "na"), ("d", "nb"), ("f", "ne")}
 
 
 def test_cycles(spark):
-    nodes = forest(spark, [("a", "c"), ("b", "a"), ("c", "b"), ("r", None), ("s", "r")])
-    with pytest.raises(HierarchyCycle):
-        hierarchy.depth_histogram(nodes)
-    with pytest.raises(HierarchyCycle):
-        hierarchy.ancestors(nodes, "a")
-    with pytest.raises(HierarchyCycle):
-        hierarchy.descendants(nodes, "b")
-    with pytest.raises(HierarchyCycle):
-        hierarchy.ancestors(forest(spark, [("a", "a")]), "a")
-
-
-def test_pages_hold_every_child(spark, mode):
-    nodes = forest(spark, [("r", None)] + [(f"k{i}", "r") for i in range(300)] + [(f"t{i}", None) for i in range(70)])
-    pages = hierarchy.children_lists(nodes, page_size=25).collect()
-    for parent, expected in ((None, {"r", *(f"t{i}" for i in range(70))}), ("r", {f"k{i}" for i in range(300)})):
-        lists = [r["children"] for r in pages if r["parent_id"] == parent]
-        assert len(lists) > 1 and sorted(x for part in lists for x in part) == sorted(expected)
-        assert all(part == sorted(part) and len(part) < 60 for part in lists)
-
-
-def test_hot_keys_are_found_and_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
-    many = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    assert [r["_hot"] for r in skew.hot_keys(many, "k").collect()] == [0]
-    one = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") * 10).alias("v"))
-    joined = skew.lookup_join(many, one, "k", "u", "id")
-    assert joined.count() == 3000 and joined.columns == ["id", "k", "u", "v"]
-    assert joined.filter("v != k * 10").count() == 0
+    for edges in ([("a", "c"), ("b", "a"), ("c", "b"), ("r", None), ("s", "r")], [("a", "a")]):
+        for question in (hierarchy.depth_histogram, hierarchy.node_depths, hierarchy.outline):
+            with pytest.raises(HierarchyCycle):
+                question(forest(spark, edges))
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_children_of_every_parent_have_one_shape(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [("r", None)] + [(f"k{i}", "r") for i in range(300)] + [(f"t{i}", None) for i in range(70)] + [("z", "k1")]
+        rows = [tuple(r) for r in hierarchy.children_lists(forest(spark, edges)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = []
+    for parent in (None, "r", "k1"):
+        expected += [(parent, k, i) for k, i in enumerate(sorted(i for i, up in edges if up == parent), 1)]
+    assert sorted(rows, key=repr) == sorted(expected, key=repr)
+
+
+def test_placed_sums(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice([None, "hot", "hot", "hot", "b", f"g{i}"]), i, draw.randrange(9)) for i in range(500)]
+    out = placed(spark.createDataFrame(rows, "g string, i int, w int").repartition(6), "g", [F.col("i")], "position", "w", "before").collect()
+    assert len(out) == len(rows)
+    for g in {r[0] for r in rows}:
+        own, total = sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 0
+        got = sorted((r for r in out if r["g"] == g), key=lambda r: r["i"])
+        for k, (r, x) in enumerate(zip(own, got, strict=True), 1):
+            assert (x["position"], x["before"]) == (k, total)
+            total += r[2]
 
 
 def test_filters(spark):

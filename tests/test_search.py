@@ -38,8 +38,8 @@ def rows(df):
 
 @pytest.mark.parametrize("k,threshold", [(1, 0.0), (7, 0.2), (1000, None), (10, 0.999)])
 def test_against_brute_force(spark, vectors, k, threshold, monkeypatch):
-    monkeypatch.setattr(S, "CELL_QUERY_BYTES", 40 * 64)
-    monkeypatch.setattr(S, "CELL_CORPUS_BYTES", 30 * 64)
+    monkeypatch.setattr(S, "QUERY_BLOCK_BYTES", 40 * 64)
+    monkeypatch.setattr(S, "CORPUS_BUFFER_BYTES", 10 * 64)
     corpus, queries = frame(spark, vectors), frame(spark, vectors, "query_id")
     expected = brute(vectors, vectors, k, threshold)
     assert rows(S.search_batch(corpus, queries, k, threshold)) == expected
@@ -47,7 +47,7 @@ def test_against_brute_force(spark, vectors, k, threshold, monkeypatch):
 
 
 def test_text_ids(spark, vectors, monkeypatch):
-    monkeypatch.setattr(S, "CELL_CORPUS_BYTES", 50 * 64)
+    monkeypatch.setattr(S, "CORPUS_BUFFER_BYTES", 10 * 64)
     corpus, queries = frame(spark, vectors, text=True), frame(spark, vectors[:3], "query_id", text=True)
     expected = {(f"v{q:03d}", f"v{i:03d}", r) for q, i, r in brute(vectors, vectors[:3], 5, 0.2)}
     assert rows(S.search_batch(corpus, queries, 5)) == expected
@@ -138,3 +138,17 @@ def test_partial_top_k_before_the_shuffle(spark, vectors):
 def test_vectors_of_different_lengths_are_refused():
     with pytest.raises(ValueError):
         S._matrix(pa.array([[1.0, 2.0], [1.0], [1.0, 2.0, 3.0]]))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_not_shuffled(spark, vectors, tmp_path):
+    frame(spark, vectors).write.parquet(str(tmp_path / "corpus"))
+    corpus, queries = spark.read.parquet(str(tmp_path / "corpus")), frame(spark, vectors, "query_id")
+    plan = plan_of(S.search_batch(corpus, queries, 3, max_query_bytes=0))
+    below = plan[plan.index("MapInArrow") :]
+    assert below.count("Scan parquet") == 1 and "Exchange" not in below.replace("RoundRobin", "")[below.index("Scan") :]
+    # hits of one query are merged in two steps
+    assert plan.count("hashpartitioning(query_id") == 2 and "hashpartitioning(query_id" in plan and "_part" in plan

@@ -1,10 +1,12 @@
 import os
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from indexloom.errors import CollectionExists, CollectionNotFound, IndexNotFound, ModelMismatch
+from indexloom.operators import hierarchy
 from indexloom.operators.embed import batched_model, get_model, hashing_model
 from indexloom.operators.upsert import latest, upsert
 from indexloom.plans import ask, build
@@ -65,7 +67,8 @@ def test_file_index_and_force(spark, store, files):
     info = {r["collection"]: r for r in store.info().collect()}
     assert {name: r["entries"] for name, r in info.items()} == {"files": 4, "second": 1}
     for name, r in info.items():
-        on_disk = sum(p.stat().st_size for p in Path(store.root).glob(f"*/collection={name}/*/*.parquet"))
+        batches = [b.batch for b in store.batches(collection=name)]
+        on_disk = sum(p.stat().st_size for b in batches for p in Path(store.root).glob(f"*/batch={b}/*.parquet"))
         assert r["bytes"] == on_disk > 0 and r["size"].endswith("KB")
     assert store.model_of("files") == "hash-64" and store.model_of("nope") is None
     best = ask.best_file(store, ask.one_query(spark, "hello world"), model, "files").collect()
@@ -78,8 +81,8 @@ def test_file_index_and_force(spark, store, files):
 
 def test_upsert_replaces_within_its_collection(spark, store):
     schema = "id string, vector array<float>, content string, metadata map<string,string>, seq int"
-    store.create("one", "m", 1, buckets=3)
-    store.create("two", "m", 1, buckets=3)
+    store.create("one", "m", 1)
+    store.create("two", "m", 1)
     first = spark.createDataFrame([(str(i), [1.0], "old", {}, 0) for i in range(20)], schema)
     store.upsert_embeddings("one", first)
     store.upsert_embeddings("two", first)
@@ -98,12 +101,12 @@ def test_upsert_operator(spark):
     assert latest(new, ["id"], ["seq"]).count() == 2
 
 
-@pytest.mark.parametrize("literal_ids", [0, 100])
-def test_lookup(spark, store, monkeypatch, literal_ids):
+@pytest.mark.parametrize("literal_keys", [0, 100])
+def test_lookup(spark, store, monkeypatch, literal_keys):
     from indexloom.sources import store as module
 
-    monkeypatch.setattr(module, "MAX_LITERAL_IDS", literal_ids)
-    store.create("one", "m", 1, buckets=4)
+    monkeypatch.setattr(module, "MAX_LITERAL_KEYS", literal_keys)
+    store.create("one", "m", 1)
     rows = [(f"i{i}", [1.0], f"c{i}", {}) for i in range(30)]
     store.upsert_embeddings("one", spark.createDataFrame(rows, "id string, vector array<float>, content string, metadata map<string,string>"))
     ids = spark.createDataFrame([("i3",), ("i3",), ("i29",), ("nope",)], "id string")
@@ -111,9 +114,153 @@ def test_lookup(spark, store, monkeypatch, literal_ids):
 
 
 def test_collections_are_pruned(spark, store, files):
-    build.index_files(store, files, get_model("hash-64"))
-    plan = store.embeddings("files")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(collection" in plan
+    model = get_model("hash-64")
+    build.index_files(store, files, model)
+    build.index_files(store, files, model, "other")
+    own, all_ = set(store.embeddings("files").inputFiles()), set(store.embeddings().inputFiles())
+    assert own < all_ and len(all_) == 2 * len(own)
+
+
+VECTORS = "id string, vector array<float>, content string, metadata map<string,string>"
+
+
+def vector_rows(spark, ids, content="c", **more):
+    rows = spark.createDataFrame([(i, [1.0, 2.0], content, {"k": "v"}) for i in ids], VECTORS)
+    return rows.withColumns({name: F.lit(value) for name, value in more.items()})
+
+
+def contents(store, name):
+    return {r["id"]: r["content"] for r in store.embeddings(name).collect()}
+
+
+def test_an_upsert_writes_in_proportion_to_its_rows(spark, store):
+    many = spark.range(60_000).select(
+        F.concat(F.lit("i"), F.col("id")).alias("id"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("vector"),
+        F.sha2(F.col("id").cast("string"), 256).alias("content"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("metadata"),
+    )
+    store.build("one", "m", 2, many)
+    base = store.batches("embeddings", "one")[0]
+    folder = Path(store.root) / "embeddings" / f"batch={base.batch}"
+    before = {p: p.stat().st_mtime_ns for p in folder.iterdir()}
+    store.upsert_embeddings("one", vector_rows(spark, [f"i{7 * k}" for k in range(100)], "changed"))
+    delta = store.batches("embeddings", "one")[1]
+    assert (base.kind, delta.kind, delta.rows) == ("base", "delta", 100)
+    assert delta.bytes < base.bytes / 100
+    assert {p: p.stat().st_mtime_ns for p in folder.iterdir()} == before
+    got = contents(store, "one")
+    assert len(got) == 60_000 and sum(c == "changed" for c in got.values()) == 100
+    assert store.info().first()["entries"] == 60_000
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 25])
+def test_merge_on_read_and_compaction(spark, store, monkeypatch, broadcast):
+    from indexloom.sources import store as module
+
+    monkeypatch.setattr(module, "BROADCAST_ID_BYTES", broadcast)
+    draw, expected = random.Random(3), {str(i): "0" for i in range(50)}
+    store.build("one", "m", 2, vector_rows(spark, expected, "0"))
+    store.build("two", "m", 2, vector_rows(spark, ["x"], "y"))
+    for step in range(1, 6):
+        changed = [str(draw.randrange(80)) for _ in range(15)]
+        gone = [str(draw.randrange(80)) for _ in range(8)]
+        store.upsert_embeddings("one", vector_rows(spark, set(changed), str(step)), gone=spark.createDataFrame([(g,) for g in gone], "id string"))
+        expected = {i: c for i, c in expected.items() if i not in gone} | {i: str(step) for i in changed}
+        assert contents(store, "one") == expected
+    assert not store.compact("one", least_deltas=6)
+    reader = store.embeddings("one")
+    assert store.compact("one") and [b.kind for b in store.batches("embeddings", "one")] == ["base"]
+    assert contents(store, "one") == expected == {r["id"]: r["content"] for r in reader.collect()}
+    assert store.vacuum() == 6 and contents(store, "one") == expected and contents(store, "two") == {"x": "y"}
+    assert not store.compact("one") and store.info().filter("collection = 'one'").first()["entries"] == len(expected)
+
+
+def test_both_tables_change_together(spark, store, files, monkeypatch):
+    model = get_model("hash-64")
+    build.index_chunks(store, files, model)
+    chunks, entries = store.chunks("chunks").count(), store.embeddings("chunks").count()
+    whole = IndexStore._write
+
+    def failing(self, df, table, fields):
+        if table == "chunks":
+            raise OSError("disk full")
+        return whole(self, df, table, fields)
+
+    monkeypatch.setattr(IndexStore, "_write", failing)
+    with pytest.raises(OSError):
+        build.add_chunks(store, spark.createDataFrame([("b.py", "def h(): pass")], "path string, content string"), model, "chunks")
+    assert (store.chunks("chunks").count(), store.embeddings("chunks").count()) == (chunks, entries)
+    assert {r["id"] for r in store.embeddings("chunks").collect()} == {r["id"] for r in store.chunks("chunks").collect()}
+
+
+def test_global_ids_move_between_collections(spark, store):
+    store.build("one", "m", 2, vector_rows(spark, ["a", "b"], "1"))
+    store.build("two", "m", 2, vector_rows(spark, ["c"], "2"))
+    store.upsert("two", vector_rows(spark, ["a", "d"], "3"), global_ids=True)
+    assert contents(store, "one") == {"b": "1"} and contents(store, "two") == {"a": "3", "c": "2", "d": "3"}
+    store.upsert("one", vector_rows(spark, ["a"], "4"))
+    assert contents(store, "one") == {"a": "4", "b": "1"} and contents(store, "two")["a"] == "3"
+    for name in ("one", "two"):
+        before = contents(store, name)
+        store.compact(name)
+        assert contents(store, name) == before
+
+
+def test_a_failed_count_spoils_only_its_own_line(spark, store):
+    for name in ("bad", "good"):
+        store.build(name, "m", 2, vector_rows(spark, ["a", "b"]))
+        store.upsert_embeddings(name, vector_rows(spark, ["b", "c"]))
+    for b in store.batches("embeddings", "bad"):
+        for p in (Path(store.root) / "embeddings" / f"batch={b.batch}").iterdir():
+            p.unlink() if p.name.startswith(".") else p.write_bytes(b"torn")
+    listed = {r["collection"]: r for r in store.info().collect()}
+    assert listed["good"]["entries"] == 3 and listed["good"]["error"] is None
+    assert listed["bad"]["entries"] is None and listed["bad"]["error"]
+
+
+def test_filters_reach_the_stored_files(spark, store):
+    rows = vector_rows(spark, [f"i{k:04d}" for k in range(300)]).withColumn("type", F.concat(F.lit("t"), F.substring("id", 5, 1)))
+    store.build("one", "m", 2, rows)
+    typed = store.embeddings("one").filter("type = 't3'")
+    plan = typed.select("id", "vector")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(type,t3)" in plan and "Join" not in plan and "Exchange" not in plan
+    assert typed.count() == 30
+    plan = store.embeddings("one").filter(F.col("id").isin("i0001", "i0002"))._jdf.queryExecution().executedPlan().toString()
+    assert "In(id, [i0001,i0002])" in plan
+    # also where deltas are merged, the filter on ids reaches both scans
+    store.upsert_embeddings("one", vector_rows(spark, ["i0001"], "new"))
+    merged = store.lookup("embeddings", "one", spark.createDataFrame([("i0001",), ("i0002",)], "id string"))
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("id#") > 0
+    assert {r["id"]: r["content"] for r in merged.collect()} == {"i0001": "new", "i0002": "c"}
+
+
+def test_reports_on_a_stored_outline(spark, store):
+    source = "class A:\n    def f(self):\n        pass\n\n    class B:\n        def g(self):\n            pass\n"
+    files = spark.createDataFrame([("a.py", source), ("b.py", "def h():\n    pass\n")], "path string, content string")
+    model = get_model("hash-64")
+    build.index_chunks(store, files, model)
+    assert store.outline("chunks") is None
+    below = [(r["level"], r["name"]) for r in ask.chunk_descendants(store, "chunks", "a.py:class:A:0").collect()]
+    assert below == [(1, "f"), (1, "B"), (2, "g")]
+    stored = store.outline("chunks")
+    plan = hierarchy.descendants(stored, "a.py:class:A:0")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(first,1)" in plan and "LessThanOrEqual(first,4)" in plan and "Join" not in plan
+    shown = {r["relation"]: r for r in ask.show_chunk(store, "chunks", "a.py:method:g:5").collect()}
+    assert set(shown) == {"self", "ancestor"} and "def g" in shown["self"]["content"] and shown["self"]["metadata"]["name"] == "g"
+    assert [(r["level"], r["name"]) for r in ask.chunk_tree(store, "chunks").collect()] == [(0, "A"), (1, "f"), (1, "B"), (2, "g"), (0, "h")]
+    assert [r["name"] for r in ask.list_chunks(store, "chunks", "A.PY", "class").orderBy("name").collect()] == ["A", "B"]
+    # an upsert makes the outline out of date, and the next question makes it again
+    build.add_chunks(store, spark.createDataFrame([("b.py", "class C:\n    def h(self): pass\n")], "path string, content string"), model, "chunks")
+    assert store.outline("chunks") is None
+    assert [r["name"] for r in ask.chunk_descendants(store, "chunks", "b.py:class:C:0").collect()] == ["h"]
+    stats = {(r["report"], r["key"]): r["chunks"] for r in ask.chunk_stats(store, "chunks").collect()}
+    assert stats[("total", "all")] == 6 and stats[("depth", "1")] == 3 and stats[("file", "a.py")] == 4
+
+
+def test_prefiltered_search_reads_what_qualifies(spark, store, files):
+    model = get_model("hash-64")
+    build.index_chunks(store, files, model)
+    found = ask.query_chunks(store, ask.one_query(spark, "def g(): pass"), model, "chunks", threshold=-1.0, chunk_type="class", prefilter=True)
+    assert [r["id"] for r in found.collect()] == ["a.py:class:A:0"]
 
 
 def test_stream_updates_an_index(spark, store, files, tmp_path):
@@ -216,7 +363,7 @@ def test_odd_collection_names(spark, store):
     rows = [("x", [1.0], "c", {})]
     one = spark.createDataFrame(rows, "id string, vector array<float>, content string, metadata map<string,string>")
     for name in ("007", "a/b=1 +%", "Ünï"):
-        store.create(name, "m", 1, buckets=2)
+        store.create(name, "m", 1)
         store.upsert_embeddings(name, one)
     assert store.collection_names() == sorted(["007", "a/b=1 +%", "Ünï"])
     assert {r["collection"] for r in store.embeddings().collect()} == {"007", "a/b=1 +%", "Ünï"}

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.operators import filters, hierarchy, stats
-from workload.inputs import NODES_SQL, nodes, stored_nodes
+from indexloom.plans import ask
+from indexloom.session import scratch_path
+from indexloom.sources.store import IndexStore
+from workload.inputs import NODE_CONTENT_SQL, NODES_SQL, chunk_nodes, nodes, stored_nodes
 from workload.registry import query
 
 _COLUMNS = "id, type, name, path, start_line, end_line, parent_id"
@@ -131,19 +134,12 @@ def chunk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id", "type", "parent_id", "parent_type", "parent_name")
 
 
-_PAGES_SQL = """SELECT parent_id, CAST(pages AS INTEGER) AS pages, CAST(slot AS INTEGER) AS page,
-    string_agg(id, ' ' ORDER BY id) AS children, CAST(count(*) AS INTEGER) AS n_children FROM (
-        SELECT n.id, n.parent_id, c.pages, CAST(('0x' || substr(md5(n.id), 1, 8)) AS UBIGINT) % c.pages AS slot
-        FROM nodes n JOIN (SELECT parent_id, CASE WHEN count(*) > 50 THEN CAST(ceil(count(*) / 50.0) AS BIGINT) ELSE 1 END
-                           AS pages FROM nodes GROUP BY parent_id) c ON n.parent_id IS NOT DISTINCT FROM c.parent_id)
-    GROUP BY parent_id, pages, slot"""
-
-
-@query("children_lists", f"WITH {NODES_SQL} {_PAGES_SQL}")
+@query(
+    "children_lists",
+    f"""WITH {NODES_SQL} SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY id) AS position, id FROM nodes""",
+)
 def children_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of 50, so that nations, with more customers than that, have several."""
-    paged = hierarchy.children_lists(stored_nodes(spark, sf_dir, "id", "parent_id"), page_size=50)
-    return paged.withColumn("children", F.array_join("children", " "))
+    return hierarchy.children_lists(stored_nodes(spark, sf_dir, "id", "parent_id"))
 
 
 _ANCESTORS_SQL = f"""WITH RECURSIVE {NODES_SQL}, up AS (
@@ -151,44 +147,97 @@ _ANCESTORS_SQL = f"""WITH RECURSIVE {NODES_SQL}, up AS (
     UNION ALL SELECT p.*, up.distance + 1 FROM nodes p JOIN up ON p.id = up.parent_id)"""
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[IndexStore, str]:
+    """The hierarchy as a stored collection of chunks with contents and metadata."""
+    store = IndexStore(spark, scratch_path(spark, "store"))
+    store.build("nodes", "none", 1, chunks=chunk_nodes(spark, sf_dir))
+    return store, "nodes"
+
+
 @query("chunk_ancestors", _ANCESTORS_SQL + f" SELECT {_COLUMNS}, distance FROM up WHERE distance > 0")
 def chunk_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.ancestors(stored_nodes(spark, sf_dir), "o:77")
+    return ask.chunk_ancestors(*_indexed(spark, sf_dir), "o:77").select(*hierarchy.NODE, "distance")
 
 
+# sort keys of a node and all above it, which sort as lists in pre-order
 _DOWN_SQL = f"""WITH RECURSIVE {NODES_SQL}, down AS (
-    SELECT n.*, 0 AS level, n.id AS trail FROM nodes n WHERE {{start}}
-    UNION ALL SELECT c.*, down.level + 1, down.trail || '>' || c.id FROM nodes c JOIN down ON c.parent_id = down.id)"""
-
-
-def _with_trail(df: DataFrame) -> DataFrame:
-    return df.withColumn("trail", F.array_join(F.transform(F.split("sort_path", hierarchy.BELOW, -1), lambda s: F.substring_index(s, "\x01", -1)), ">")).drop("sort_path")
+    SELECT n.*, 0 AS level, [n.path, printf('%010d', n.start_line), n.id] AS trail FROM nodes n WHERE n.parent_id IS NULL
+    UNION ALL SELECT c.*, down.level + 1, list_concat(down.trail, [c.path, printf('%010d', c.start_line), c.id])
+              FROM nodes c JOIN down ON c.parent_id = down.id),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY trail) AS first FROM down)"""
 
 
 @query(
     "chunk_descendants",
-    _DOWN_SQL.format(start="n.id = 'n:7'") + f" SELECT {_COLUMNS}, level, trail FROM down WHERE level > 0",
+    _DOWN_SQL
+    + f""" SELECT {_COLUMNS}, CAST(level - 1 AS INTEGER) AS level, first - (SELECT first FROM numbered WHERE id = 'n:7') AS place
+    FROM numbered WHERE list_contains(trail, 'n:7') AND id <> 'n:7'""",
 )
 def chunk_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_trail(hierarchy.descendants(stored_nodes(spark, sf_dir), "n:7"))
+    """One range of the stored outline; the first of them comes right after the root itself."""
+    store, name = _indexed(spark, sf_dir)
+    root = ask.outlined(store, name).filter("id = 'n:7'").select("first").first()["first"]
+    below = ask.chunk_descendants(store, name, "n:7")
+    return below.select(*hierarchy.NODE, "level", (F.col("first") - root).alias("place"))
 
 
 @query(
     "chunk_tree",
-    _DOWN_SQL.format(start="n.parent_id IS NULL")
-    + f""" SELECT {_COLUMNS}, level, trail, type || ':' || name || ' (lines ' || CAST(start_line AS VARCHAR) || '-'
-        || CAST(end_line AS VARCHAR) || ')' AS label FROM down""",
+    _DOWN_SQL
+    + f""" SELECT {_COLUMNS}, level, first, type || ':' || name || ' (lines ' || CAST(start_line AS VARCHAR) || '-'
+        || CAST(end_line AS VARCHAR) || ')' AS label FROM numbered""",
 )
 def chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_trail(hierarchy.tree(stored_nodes(spark, sf_dir)))
+    """The whole forest in pre-order."""
+    shape = hierarchy.outline(stored_nodes(spark, sf_dir))
+    return hierarchy.tree(shape).select(*hierarchy.NODE, "level", "first", "label")
+
+
+@query(
+    "chunk_outline_orphans",
+    f"""WITH RECURSIVE {_CUT_SQL}, down AS (
+    SELECT n.*, 0 AS depth, n.parent_id IS NOT NULL AS orphaned, [n.path, printf('%010d', n.start_line), n.id] AS trail
+    FROM cut n WHERE n.parent_id IS NULL OR n.parent_id NOT IN (SELECT id FROM cut)
+    UNION ALL SELECT c.*, down.depth + 1, down.orphaned, list_concat(down.trail, [c.path, printf('%010d', c.start_line), c.id])
+              FROM cut c JOIN down ON c.parent_id = down.id)
+    SELECT id, depth, orphaned, row_number() OVER (ORDER BY trail) AS first,
+           row_number() OVER (PARTITION BY CASE WHEN depth = 0 THEN NULL ELSE parent_id END ORDER BY path, start_line, id) AS position
+    FROM down""",
+)
+def chunk_outline_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans stand among the roots and are told apart, with all below them."""
+    shape = hierarchy.outline(_cut(spark, sf_dir))
+    return shape.select("id", "depth", "orphaned", "first", "position")
 
 
 @query(
     "chunk_show",
     _ANCESTORS_SQL
-    + f""" SELECT 'self' AS relation, 0 AS distance, {_COLUMNS} FROM nodes WHERE id = 'o:77'
+    + f""", shown AS (SELECT 'self' AS relation, 0 AS distance, {_COLUMNS} FROM nodes WHERE id = 'o:77'
     UNION ALL SELECT 'ancestor', distance, {_COLUMNS} FROM up WHERE distance > 0
-    UNION ALL SELECT 'child', 1, {_COLUMNS} FROM nodes WHERE parent_id = 'o:77'""",
+    UNION ALL SELECT 'child', 1, {_COLUMNS} FROM nodes WHERE parent_id = 'o:77')
+    SELECT *, {NODE_CONTENT_SQL} AS content, CAST(end_line - start_line + 1 AS VARCHAR) AS lines FROM shown""",
 )
 def chunk_show(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.show(stored_nodes(spark, sf_dir), "o:77")
+    shown = ask.show_chunk(*_indexed(spark, sf_dir), "o:77")
+    return shown.select("relation", "distance", *hierarchy.NODE, "content", F.col("metadata")["lines"].alias("lines"))
+
+
+@query(
+    "chunk_stats",
+    _DEPTHS_SQL
+    + """ SELECT 'total' AS report, 'all' AS key, count(*) AS chunks FROM nodes
+    UNION ALL SELECT 'type', type, count(*) FROM nodes GROUP BY type
+    UNION ALL SELECT * FROM (SELECT 'file', path, count(*) AS n FROM nodes GROUP BY path ORDER BY n DESC, path LIMIT 10)
+    UNION ALL SELECT 'hierarchy', CASE WHEN parent_id IS NULL THEN 'top_level' ELSE 'nested' END, count(*) FROM nodes GROUP BY 2
+    UNION ALL SELECT 'depth', CAST(depth AS VARCHAR), count(*) FROM d GROUP BY depth""",
+)
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports on a stored collection, as it stands after an upsert changed a part of it twice."""
+    store, name = IndexStore(spark, scratch_path(spark, "store")), "nodes"
+    rows = chunk_nodes(spark, sf_dir)
+    wrong = rows.withColumn("type", F.lit("draft")).withColumn("parent_id", F.lit(None).cast("string"))
+    store.build(name, "none", 1, chunks=rows.filter("type <> 'customer'").unionByName(wrong.filter("type = 'draft' AND id LIKE 'c:%'")))
+    store.upsert_chunks(name, wrong.filter("id LIKE 'c:1%' OR id LIKE 'n:%'"))
+    store.upsert_chunks(name, rows.filter("type IN ('customer', 'nation')"))
+    return ask.chunk_stats(store, name)

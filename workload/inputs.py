@@ -198,6 +198,22 @@ def stored_nodes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return written(rows.select(*columns) if columns else rows, "nodes")
 
 
+NODE_CONTENT_SQL = "type || ' ' || name || ' in ' || path"
+
+
+def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy with all columns of chunks."""
+    content = F.concat_ws(" ", "type", "name", F.lit("in"), "path")
+    lines = (F.col("end_line") - F.col("start_line") + 1).cast("string")
+    return stored_nodes(spark, sf_dir).select(
+        "*",
+        F.lit(1).alias("start_col"),
+        F.lit(1).alias("end_col"),
+        content.alias("content"),
+        F.create_map(F.lit("lines"), lines).alias("metadata"),
+    )
+
+
 # --- entries: the vectors with the text of the document of that number, one collection per label
 
 ENTRIES_SQL = """entries AS (

@@ -87,13 +87,13 @@ def search_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "search_similar_grid",
+    "search_similar_streamed",
     ALL_SQL
     + """, kept AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
                     FROM scored WHERE score >= 0.1)
     SELECT query_id, id, round(score, 6) AS score, rank FROM kept WHERE rank <= 5""",
 )
-def search_similar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_similar_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search in the form that query sets beyond the size bound take."""
     found = search_batch(_corpus(spark, sf_dir), _queries(spark, sf_dir), limit=5, threshold=0.1, max_query_bytes=0)
     return _rounded(found)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from indexloom.errors import CollectionExists
 from indexloom.operators.embed import get_model
 from indexloom.operators.filters import by_collection
+from indexloom.operators.search import search
 from indexloom.operators.upsert import upsert
 from indexloom.plans.ask import query_chunks
 from indexloom.plans.build import add_chunks, index_chunks, index_files
@@ -22,8 +23,7 @@ _ITEM_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extend
 
 @query(
     "chunk_upsert",
-    """WITH existing AS (SELECT 'o:' || CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS type, o_orderpriority AS name
-                  FROM orders WHERE o_orderstatus <> 'P'),
+    """WITH existing AS (SELECT 'o:' || CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS type, o_orderpriority AS name FROM orders),
     fresh AS (SELECT id, type, name FROM (
         SELECT 'o:' || CAST(l_orderkey AS VARCHAR) AS id, l_returnflag AS type, CAST(l_partkey AS VARCHAR) AS name,
                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC,
@@ -31,9 +31,9 @@ _ITEM_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extend
     SELECT * FROM fresh UNION ALL SELECT * FROM existing WHERE id NOT IN (SELECT id FROM fresh)""",
 )
 def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as stored chunks, line items as newer versions of them, many per id."""
+    """All orders as stored chunks, all line items as newer versions of them, many per id."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    existing = orders.filter(F.col("o_orderstatus") != "P").select(
+    existing = orders.select(
         F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"),
         F.col("o_orderstatus").alias("type"),
         F.col("o_orderpriority").alias("name"),
@@ -50,22 +50,81 @@ def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "embed_upsert",
     """WITH existing AS (SELECT source AS collection, doc_id AS id, text AS content FROM documents),
-    fresh AS (SELECT d.source AS collection, c.conv_id AS id, max_by(c.text, c.turn) AS content
-              FROM conversations c JOIN documents d ON d.doc_id = c.conv_id GROUP BY 1, 2)
+    fresh AS (SELECT coalesce(d.source, 'talks') AS collection, c.conv_id AS id, max_by(c.text, c.turn) AS content
+              FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id GROUP BY 1, 2)
     SELECT collection, id, md5(content) AS content FROM fresh
     UNION ALL SELECT e.collection, e.id, md5(e.content) FROM existing e ANTI JOIN fresh f USING (collection, id)""",
 )
 def embed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as stored entries, conversation turns as newer contents; the last turn wins."""
+    """Documents as stored entries, all conversation turns as newer contents, the last turn counting; conversations of
+    numbers that no document has are new entries of a collection of their own."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("collection"), F.col("doc_id").alias("id"), F.col("text").alias("content")
     )
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("content"))
-    new = turns.join(docs.select("collection", "id"), "id")
+    placed = turns.join(docs.select("collection", "id"), "id", "left")
+    new = placed.withColumn("collection", F.coalesce("collection", F.lit("talks")))
     merged = upsert(docs, new, ["collection", "id"], ["turn"])
     return merged.select("collection", "id", F.md5("content").alias("content"))
 
 
+@query(
+    "store_upsert",
+    """WITH orders_ AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS content FROM orders),
+    items AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, max_by(l_returnflag || ' ' || CAST(l_partkey AS VARCHAR),
+                     {'a': l_shipdate, 'b': l_partkey, 'c': l_suppkey, 'd': l_linenumber, 'e': l_extendedprice}) AS content
+              FROM lineitem GROUP BY 1),
+    events_ AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS id, event_type AS content FROM events),
+    before AS (SELECT * FROM items UNION ALL SELECT * FROM orders_ ANTI JOIN items USING (id) UNION ALL SELECT * FROM events_)
+    SELECT 'merged' AS state, id, content FROM before WHERE id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)
+    UNION ALL SELECT 'compacted', id, content FROM before WHERE id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""",
+)
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored collection of orders, then all line items and all events upserted and the ids of customers removed, read
+    before and after compaction. Most line items replace, events insert."""
+    store, name = IndexStore(spark, scratch_path(spark, "store")), "orders"
+    vector, none = F.array(F.lit(1.0).cast("float")), F.lit(None).cast("map<string,string>")
+
+    def rows(df: DataFrame, id_, content, *more: str) -> DataFrame:
+        return df.select(id_.cast("string").alias("id"), vector.alias("vector"), content.alias("content"), none.alias("metadata"), *more)
+
+    shown = F.concat_ws(" ", "l_returnflag", F.col("l_partkey").cast("string"))
+    store.build(name, "none", 1, rows(table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_orderpriority")))
+    store.upsert_embeddings(name, rows(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), shown, *_ITEM_ORDER), order=_ITEM_ORDER)
+    events = rows(table(spark, sf_dir, "events"), F.concat(F.lit("e"), F.col("event_id").cast("string")), F.col("event_type"))
+    gone = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    store.upsert_embeddings(name, events, gone=gone)
+    merged = store.embeddings(name).select(F.lit("merged").alias("state"), "id", "content")
+    store.compact(name)
+    return merged.unionByName(store.embeddings(name).select(F.lit("compacted").alias("state"), "id", "content"))
+
+
+@query(
+    "store_search_typed",
+    """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE vec_id = 0),
+    s AS (SELECT e.vec_id AS id, d.lang AS type, d.source AS parent_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.vector), 12) AS score
+          FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id JOIN q ON true WHERE d.lang = 'fr')
+    SELECT CAST(id AS VARCHAR) AS id, type, parent_id, round(score, 6) AS score FROM s WHERE score >= 0.1 ORDER BY s.score DESC, CAST(id AS VARCHAR) LIMIT 20""",
+)
+def store_search_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of a stored index that is restricted to one type before it ranks: the scan skips the others."""
+    store, name = IndexStore(spark, scratch_path(spark, "store")), "vectors"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("type"), F.col("source").alias("parent_id"))
+    vectors = table(spark, sf_dir, "embeddings").join(docs, "vec_id")
+    no = F.lit(None)
+    store.build(
+        name, "given", 64, vectors.select(
+            F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), no.cast("string").alias("content"),
+            no.cast("map<string,string>").alias("metadata"), "type", "parent_id",
+        ),
+    )
+    query_vector = table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+    own = store.embeddings(name).filter(F.col("type") == "fr")
+    hits = search(own, query_vector, limit=20, threshold=0.1)
+    named = hits.join(own.select("id", "type", "parent_id"), "id")
+    return named.select("id", "type", "parent_id", F.round("score", 6).alias("score"))
+
+
 @query("collection_scan", f"WITH {ENTRIES_SQL} SELECT collection, id FROM entries WHERE collection = 'c3'")
 def collection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_collection(entries(spark, sf_dir), "c3").select("collection", "id")

@@ -8,6 +8,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ LONG_PIECE = 48
 
 # How the vocabulary parts text into words.
 _CLITICS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-_WORDS = regex.compile("|".join(_CLITICS) + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPLIT = "|".join(_CLITICS) + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORDS = regex.compile(_SPLIT)
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -40,16 +42,74 @@ def _words(piece: str) -> list[str]:
 _PLAIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]+").fullmatch
 
 
+def _class_of(kinds: str) -> str:
+    """The plain characters of these Unicode categories, or those of none of them that are no white space, as a set."""
+    plain = [chr(c) for c in range(0x250) if _PLAIN(chr(c))]
+    if kinds:
+        chosen = [c for c in plain if unicodedata.category(c)[0] in kinds]
+    else:
+        chosen = [c for c in plain if unicodedata.category(c)[0] not in "LN" and c not in " " + _AS_SPACE]
+    return "[" + "".join(map(re.escape, chosen)) + "]"
+
+
+# The same words, for texts of plain characters only, in lower case.
+_PLAIN_WORDS = re.compile("|".join([*_CLITICS, _class_of("L") + "+", _class_of("N"), _class_of("") + "+"])).findall
+
+
 def _is_plain(piece: str) -> bool:
     """Whether lower case and parting into words can be told without the library: plain letters, no special string."""
     return _PLAIN(piece) is not None and "<|" not in piece
 
 
+class Memory:
+    """A bounded memory of two generations. What is asked for moves to the young one; when that is full it becomes the old
+    one, and what nobody asked for since the last change is forgotten."""
+
+    def __init__(self, entries: int):
+        self.most = entries // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys that are to be learned; all others are in the young generation from now on."""
+        # a set less the keys of a dictionary would go through all of those
+        new = set(filterfalse(self.young.__contains__, keys))
+        if len(self.young) + len(new) > self.most:
+            self.young, self.old = {}, self.young
+            new = keys
+        again = set(filter(self.old.__contains__, new))
+        self.young.update((k, self.old[k]) for k in again)
+        return new - again
+
+
+def _id_bytes(encoding) -> bytes:
+    return np.asarray(encoding.ids, dtype="<u4").tobytes()
+
+
+def _has_known_rules(path: str) -> bool:
+    """Whether a vocabulary lower-cases and parts texts the way this module does without the library."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def kinds(part: dict | None, name: str) -> list[str]:
+        return [p["type"] for p in part.get(name, [part])] if part else []
+
+    split = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+    return (
+        kinds(spec["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and kinds(spec["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"]
+        and split[0]["pattern"].get("Regex") == _SPLIT
+        and spec["model"]["type"] == "BPE"
+        and spec["model"].get("end_of_word_suffix") == WordMerges.END
+    )
+
+
 class Encoder:
     """One vocabulary in one worker process, with what it has learned of pieces between spaces.
 
     No token of a white-space-dropping vocabulary spans two pieces, so a text's tokens are those of its pieces in order.
-    The memories are emptied when they are full, which costs time and changes nothing.
+    Memories have two generations: what was not met since the last change is forgotten, which costs time and changes nothing.
+    A vocabulary with other rules than these has its ids from the library, and no prefix tables.
     """
 
     def __init__(self, path: str):
@@ -58,9 +118,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         self.path = path
         self.together: BatchMerges | None = None
-        self.words: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {"": b""}
+        self.known = _has_known_rules(path)
+        self.words = Memory(CACHE_ENTRIES)
+        self.ids = Memory(CACHE_ENTRIES)
         self.tables: dict[str, bytes] = {"": b"\0\0"}
         self.counts: dict[str, int] = {"": 0}
         self.merges: WordMerges | None = None
@@ -86,38 +147,43 @@ class Encoder:
         if missing:
             self.counts.update(zip(missing, self._batch(missing)[1], strict=True))
 
+    def learn_words(self, words: set[str]) -> None:
+        """Ids of plain words."""
+        missing = list(self.words.missing(words))
+        short = [w for w in missing if len(w) <= LONG_PIECE]
+        self.words.young.update(zip(short, self._batch(short)[0], strict=True))
+        long = [w for w in missing if len(w) > LONG_PIECE]
+        self.words.young.update(zip(long, map(_id_bytes, self._encode(long)), strict=True))
+
     def learn_ids(self, pieces: set[str]) -> None:
-        missing = pieces - self.ids.keys()
-        if len(missing) + len(self.ids) > CACHE_ENTRIES:
-            self.ids = {"": b""}
-            missing = pieces - {""}
-        if not missing:
-            return
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
+        """Ids of pieces of texts that are not plain throughout."""
         plain, odd = {}, []
-        for piece in missing:
-            if len(piece) <= LONG_PIECE and _is_plain(piece):
+        for piece in self.ids.missing(pieces):
+            if len(piece) <= LONG_PIECE and piece and _is_plain(piece):
                 plain[piece] = _words(piece)
             else:
                 odd.append(piece)
-        new = list({w for ws in plain.values() for w in ws} - self.words.keys())
-        words = self.words
-        words.update(zip(new, self._batch(new)[0], strict=True))
-        self.ids.update((p, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for p, ws in plain.items())
-        for piece, e in zip(odd, self._encode(odd), strict=True):
-            self.ids[piece] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self.learn_words({w for ws in plain.values() for w in ws})
+        words, ids = self.words.young, self.ids.young
+        ids.update((p, b"".join([words[w] for w in ws])) for p, ws in plain.items())
+        ids.update(zip(odd, map(_id_bytes, self._encode(odd)), strict=True))
 
     def batch_ids(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as unsigned little-endian 32-bit numbers."""
-        split = [self.pieces(t) for t in texts]
-        self.learn_ids(set().union(*split))
-        own = self.ids.__getitem__
-        return (b"".join(map(own, ps)) for ps in split)
+        if not self.known:
+            return map(_id_bytes, self._encode(texts))
+        plain = ["<|" not in t and _PLAIN(t) is not None for t in texts]
+        split = [_PLAIN_WORDS(t.lower()) if own else self.pieces(t) for t, own in zip(texts, plain, strict=True)]
+        self.learn_ids(set().union(*[p for p, own in zip(split, plain, strict=True) if not own]))
+        self.learn_words(set().union(*[p for p, own in zip(split, plain, strict=True) if own]))
+        words, ids = self.words.young.__getitem__, self.ids.young.__getitem__
+        return (b"".join(map(words if own else ids, p)) for p, own in zip(split, plain, strict=True))
 
     def learn_tables(self, pieces: set[str]) -> None:
         """Counts at every prefix of these pieces, the empty one and the piece itself included."""
-        missing = pieces - self.tables.keys()
+        if not self.known:
+            raise ValueError(f"{self.path} parts texts by rules that prefix tables are not made for")
+        missing = set(filterfalse(self.tables.__contains__, pieces))
         if len(missing) + len(self.tables) > CACHE_ENTRIES:
             self.tables = {"": b"\0\0"}
             missing = pieces - {""}
@@ -132,7 +198,7 @@ class Encoder:
             else:
                 odd.append(piece)
         # words share their first letters, so most prefixes are known already
-        new = {w for ws in plain.values() for w in ws} - self.counts.keys()
+        new = set(filterfalse(self.counts.__contains__, {w for ws in plain.values() for w in ws}))
         self._counts_of({w[:i] for w in new for i in range(1, len(w) + 1)} | {c for x in _CLITICS for c in x[1:]})
         for piece, ws in plain.items():
             self.tables[piece] = self._plain_table(ws)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -160,7 +161,8 @@ def votes(m: Column) -> dict[str, Column]:
         "shouts": bad(m["n_shouts"] / n > 0.1),
         "capitals": bad(m["n_upper"] / chars > 0.25),
         "repeats": bad(w["n_repeat_words"] / n > 0.2),
-        "variety": bad((w["d"]["n_distinct"] / n < 0.2) & (n < 3000)),
+        # different words grow like a power of all words in prose of any length, and stop growing in junk
+        "variety": bad(w["d"]["n_distinct"].cast("double") * w["d"]["n_distinct"] < 6 * n),
         "lines": bad((m["l"]["n_dup_lines"] / lines > 0.3) & (m["l"]["n_dup_lines"] > 1)),
         "word_length": bad((chars / n < 2.5) | (chars / n > 15)),
         "stop_words": good(w["d"]["n_stop"] >= 3),
@@ -169,7 +171,7 @@ def votes(m: Column) -> dict[str, Column]:
     }
 
 
-GOOD_RULES = ("__v_stop_words", "__v_sentences", "__v_length")
+GOOD_RULES = ("stop_words", "sentences", "length")
 
 
 def _first_guess() -> tuple[float, dict[int, tuple[float, float]]]:
@@ -177,17 +179,17 @@ def _first_guess() -> tuple[float, dict[int, tuple[float, float]]]:
     return 0.85, {1: (0.5, 0.3), -1: (0.01, 0.25)}
 
 
-def _log_odds(table: dict[str, tuple[int, tuple[float, float]]], prior: float) -> Column:
+def _log_odds(table: dict[str, tuple[int, tuple[float, float]]], prior: float, vote_of: Callable[[str], Column]) -> Column:
     odds = F.lit(math.log(prior / (1 - prior)))
     for name, (vote, (good, bad)) in table.items():
         weight = [math.log(good / bad), math.log((1 - good) / (1 - bad))]
-        odds = odds + F.when(F.col(name) == vote, weight[0]).otherwise(weight[1])
+        odds = odds + F.when(vote_of(name) == vote, weight[0]).otherwise(weight[1])
     return odds
 
 
-def posterior(table: dict[str, tuple[int, tuple[float, float]]], prior: float) -> Column:
-    """Probability that a text is good, given its votes."""
-    return 1 / (1 + F.exp(-_log_odds(table, prior)))
+def posterior(table: dict[str, tuple[int, tuple[float, float]]], prior: float, vote_of: Callable[[str], Column] = F.col) -> Column:
+    """Probability that a text is good, given its votes; `vote_of` gives the vote of a rule."""
+    return 1 / (1 + F.exp(-_log_odds(table, prior, vote_of)))
 
 
 def label_model(voted: DataFrame, sides: dict[str, int], how: Rules = Rules()):
@@ -230,16 +232,19 @@ def judged(docs: DataFrame, keep: list[str], at: str, how: Rules = Rules()) -> D
 
     Two fixed rules reject a text outright: fewer than `few_words` words, or more than `repeat_percent` percent of them
     in repeated windows. All others are judged by the posterior probability of the label model, fitted on every row.
-    Null texts count as empty and are rejected; equal texts get equal verdicts; an empty table stays empty.
+    Null texts count as empty and are rejected; equal texts get equal verdicts; an empty table stays empty; texts of any
+    length are measured whole. Columns of `docs` may have any names: those of helpers are chosen beside them.
     """
-    m = F.col("__m")
-    measured = docs.select(*[F.col(f"`{c}`") for c in keep], measures(F.col(f"`{how.text_col}`")).alias("__m"))
-    rules = {f"__v_{k}": v.cast("byte") for k, v in votes(m).items()}
-    voted = written(measured.withColumns(rules), "quality-measures")
-    table, prior = label_model(voted, {n: 1 if n in GOOD_RULES else -1 for n in rules}, how)
+    name, votes_at = fresh(docs, "__measures"), fresh(docs, "__votes")
+    m = F.col(name)
+    measured = docs.select(*[F.col(f"`{c}`") for c in keep], measures(F.col(f"`{how.text_col}`")).alias(name))
+    rules = {k: v.cast("byte") for k, v in votes(m).items()}
+    cast = F.struct(*[v.alias(k) for k, v in rules.items()])
+    voted = written(measured.withColumn(votes_at, cast), "quality-measures")
+    table, prior = label_model(voted.select(f"{votes_at}.*"), {n: 1 if n in GOOD_RULES else -1 for n in rules}, how)
     n_words = m["w"]["n_words"]
     failed = (n_words < how.few_words) | (100 * m["w"]["n_repeat_words"] > how.repeat_percent * n_words)
-    chance = posterior(table, prior)
+    chance = posterior(table, prior, lambda rule: F.col(votes_at)[rule])
     result = F.struct(
         n_words.alias("n_words"),
         m["w"]["word_chars"].alias("word_chars"),

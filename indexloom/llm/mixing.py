@@ -69,6 +69,39 @@ def _chance(ratio: Column) -> tuple[Column, Column]:
     return whole.cast("long"), ratio - whole
 
 
+def _odds(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """To each source's targets, the factor `__factor` of its inclusion chances and `__certain`, the words of documents
+    that are sure of one copy more.
+
+    The words that whole copies leave open are sampled with chances in proportion to the root of a document's size, so
+    that long documents, which tell more, come oftener. Where the chance would exceed one the copy is certain, and the
+    others share what is left, until no more are certain. All of it works on counts per source and size.
+    """
+    counts = sized.filter("__size > 0").groupBy(F.col("__source").alias("__of"), "__size").agg(F.count("*").alias("__n"))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    open_words = F.col("target") - _chance(ratio)[0] * F.col("source_size")
+    found = written(targets.select("*", open_words.alias("__open"), F.lit(0.0).alias("__factor"), F.lit(0).cast("long").alias("__certain")), "mix-odds")
+    own = F.col("__source").eqNullSafe(F.col("__of"))
+    counts, before = written(counts, "mix-counts"), None
+    while True:
+        root = F.sqrt(F.col("__size").cast("double"))
+        sure = F.col("__factor") * root >= 1
+        words = F.col("__n") * F.col("__size")
+        sums = counts.join(found, own).groupBy(F.col("__source").alias("__at")).agg(
+            F.coalesce(F.sum(F.when(sure, words)), F.lit(0)).alias("__full"), F.sum(F.when(~sure, words * root)).alias("__rest"), F.count(F.when(sure, 1)).alias("__k")
+        )
+        joined = found.join(sums, F.col("__source").eqNullSafe(F.col("__at")), "left")
+        left = F.greatest(F.col("__open") - F.coalesce("__full", F.lit(0)), F.lit(0.0))
+        factor = F.when(F.col("__rest") > 0, left / F.col("__rest")).otherwise(F.col("__factor"))
+        # a factor only rises, so what is certain stays so
+        moved = joined.select(*targets.columns, "__open", F.greatest(factor, "__factor").alias("__factor"), F.coalesce("__full", F.lit(0)).alias("__certain"), "__k")
+        moved = written(moved, "mix-odds")
+        certain = moved.agg(F.sum("__k")).first()[0]
+        if certain == before:
+            return moved.drop("__open", "__k")
+        before, found = certain, moved.drop("__k")
+
+
 def _order(chance: Column) -> Column:
     """Where a document stands: its random odds over its inclusion odds, brought into 0 to 1.
 
@@ -82,8 +115,10 @@ def _placed(sized: DataFrame, plan: DataFrame, how: Mix) -> DataFrame:
     """Documents beside their source's plan. The plan is a stored table, so the planner knows its size."""
     joined = sized.join(plan.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole, chance = _chance(ratio)
-    joined = joined.withColumn("__whole", whole).withColumn("__chance", chance)
+    whole, residual = _chance(ratio)
+    chance = F.when(residual > 0, F.col("__factor") * F.sqrt(F.col("__size").cast("double"))).otherwise(0.0)
+    joined = joined.withColumn("__whole", whole + (chance >= 1).cast("long"))
+    joined = joined.withColumn("__chance", F.when(chance < 1, chance).otherwise(0.0))
     buckets = F.ceil(F.col("__rows") / BUCKET_ROWS)
     order = F.when(F.col("__chance") > 0, _order(F.col("__chance")))
     joined = joined.withColumn("__order", order)
@@ -95,17 +130,20 @@ def mix_plan(docs: DataFrame, how: Mix = Mix(), sized: DataFrame | None = None)
 
     Sources in code-point order (null last) weigh `weights`, repeating, and share as many words as all documents have.
     A target stops at `cap` times its source's size and the excess is shared again by weight. A document of a source
-    whose target is r times its size gets floor(r) copies for certain; for the rest documents are ranked by Pareto's
-    ratio and taken until the words are reached. The size of the sample is fixed in words: where the next document would
+    whose target is r times its size gets floor(r) copies for certain; for the rest documents have unequal chances, in
+    proportion to the root of their sizes, or a certain copy more where that exceeds one. They are ranked by Pareto's ratio
+    of random odds to inclusion odds and taken until the words are reached. The size of the sample is fixed in words: where the next document would
     go beyond it, later ones of its bucket that fit fill the rest. The ranking is cut in two levels: counts of words by bucket of the ranking, and the
     documents of the one bucket in which the sample ends, so no task holds a source.
 
     Null texts have no words, null sources are one source, equal rows share their draw, an empty table gives no plan.
+    Very long texts are counted whole; columns of other names are carried along, whatever their names.
     """
     sized = sized if sized is not None else written(docs.select(*_draws(docs, how)), "mix-sizes")
-    plan = written(_targets(sized, how), "mix-targets")
+    plan = _odds(sized, written(_targets(sized, how), "mix-targets"))
     placed = _placed(sized, plan, how)
-    need = F.col("target") - F.col("__whole") * F.col("source_size")
+    whole = _chance(F.col("target") / F.col("source_size"))[0]
+    need = F.col("target") - whole * F.col("source_size") - F.col("__certain")
     by_bucket = (
         placed.filter("__order IS NOT NULL AND __size > 0")
         .groupBy("__source", "__bucket")

@@ -36,13 +36,12 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Learning:
-    """Bounds of what is learned from: `sample` labelled rows (the first by hash), `candidates` features looked at and
-    `lexicon` features kept. contexts: after how many different words a feature must stand; lift: how much likelier it is
+    """Bounds of what is learned from: `sample` labelled rows (the first by hash), and of what is kept: the `lexicon`
+    features of most evidence. contexts: after how many different words a feature must stand; lift: how much likelier it is
     in toxic texts; doubt: the
     largest chance that a feature without meaning is as one-sided; groups: voters into which the mined lexicon is dealt; threshold: of the prediction."""
 
     sample: int = 30_000
-    candidates: int = 20_000
     lexicon: int = 4_000
     contexts: int = 3
     lift: float = 12.0
@@ -185,12 +184,12 @@ def _by_chance(t: int, c: int, share: float) -> float:
 def mine(sample: DataFrame, how: Learning) -> list[str]:
     """Words and word families that mark the toxic texts of the sample.
 
-    A feature counts by the different words it stands after, so that a passage in many copies counts once.
+    A feature counts by the different words it stands after, so that a passage in many copies counts once. Every feature of
+    the sample that stands after enough of them is tested; only the number of those that pass is bounded, by evidence.
     """
     pairs = sample.filter("toxic = 1").select("text").mapInArrow(_pairs, "feature string, context long").distinct()
     often = pairs.groupBy("feature").agg(F.count("*").alias("n")).filter(F.col("n") >= how.contexts)
-    rows = often.orderBy(F.desc("n"), "feature").limit(how.candidates).collect()
-    wanted = {r["feature"] for r in rows}
+    wanted = {r["feature"] for r in often.select("feature").collect()}  # of `sample` texts at most, whatever the corpus
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
@@ -255,7 +254,8 @@ def learn(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> Mod
 def score(docs: DataFrame, labels: DataFrame, how: Learning = Learning(), model: Model | None = None) -> DataFrame:
     """One row per document: id, whether it is held out, score and prediction. A score depends on the text alone.
 
-    Null texts count as empty. Rows are mapped one by one: no shuffle.
+    Null and empty texts have the score of a text without a hit; very long texts are read whole. Rows are mapped one by
+    one without a shuffle, so repeated rows get equal scores and an empty table none. Columns of other names are not looked at.
     """
     model = model or learn(docs, labels, how)
     source = docs.select(F.col(f"`{how.id_col}`").alias("id"), F.coalesce(F.col(f"`{how.text_col}`"), F.lit("")).alias("text"))

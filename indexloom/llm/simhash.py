@@ -1,7 +1,6 @@
 """Near-duplicates by SimHash fingerprints, linked with BK-trees.
 
-`Near` links short fingerprints within a few bits and loses no link. `Similar` links texts from an exact similarity of
-their shingle sets on: shards keyed by min-hashes and long fingerprints find the pairs whose sets are compared.
+Fingerprints within a few bits are linked, and no link is lost.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 from functools import reduce
 from itertools import combinations
 
@@ -40,41 +38,6 @@ class Near:
     text_col: str = "text"
 
 
-@dataclass(frozen=True)
-class Similar:
-    """similarity: Jaccard similarity of shingle sets from which texts are linked; it is counted on the sets themselves.
-
-    bits: length of a fingerprint; bands, rows: a text is put into a shard per band, keyed by `rows` min-hashes. Two texts
-    at similarity s share no shard with probability (1 - s ** rows) ** bands, 0.00007 at 0.8. slack: standard deviations
-    that the radius leaves for the chance in a fingerprint, so that no pair is left uncompared for its fingerprints. few:
-    sets of fewer shingles, whose fingerprints are coarse, are compared whatever their fingerprints. block: texts of a shard
-    that one task holds at once. pairs: pairs of two groups that a shard has compared in the first round.
-    """
-
-    similarity: float = 0.8
-    shingle: int = 5
-    seed: int = 42
-    bits: int = 512
-    bands: int = 24
-    rows: int = 5
-    slack: float = 5.0
-    few: int = 100
-    block: int = 4096
-    pairs: int = 16
-    id_col: str = "doc_id"
-    text_col: str = "text"
-
-    @property
-    def radius(self) -> int:
-        """Bits in which compared fingerprints differ at most: the angle of two equally large sets at the similarity."""
-        differ = math.acos(min(1.0, 2 * self.similarity / (1 + self.similarity))) / math.pi
-        return int(self.bits * differ + self.slack * math.sqrt(self.bits * differ * (1 - differ)))
-
-    @property
-    def ratio(self) -> Fraction:
-        return Fraction(str(self.similarity))
-
-
 def shingles_of(text: str, shingle: int) -> list[bytes]:
     """Lower-cased (A-Z) word shingles, repeats included; all words where they are fewer; none without words."""
     # lower() of bytes changes A-Z alone, and split() of bytes parts at exactly the six ASCII spaces
@@ -95,64 +58,6 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def hash_set(text: str, how: Similar) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles."""
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, how.seed) for s in set(shingles_of(text, how.shingle))], dtype=np.uint64))
-
-
-class Sketcher:
-    """Digests of shingle sets, long fingerprints and shard keys of texts. Every further bit and min-hash is a remixed hash of a shingle."""
-
-    BLOCK = 4096  # shingles worked on at once
-
-    def __init__(self, how: Similar):
-        self.how = how
-        draw = np.random.default_rng(how.seed).integers(1 << 63, size=(2, how.bands * how.rows + how.bits // BITS + how.rows))
-        n = how.bits // BITS
-        flips, odd = draw.astype(np.uint64)[0], draw.astype(np.uint64)[1] | np.uint64(1)
-        self.word_flips, self.word_odd = flips[:n], odd[:n]
-        self.min_flips, self.min_odd = flips[n : n + how.bands * how.rows], odd[n : n + how.bands * how.rows]
-        self.fold = odd[-how.rows :]
-        self.band = np.arange(1, how.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    @staticmethod
-    def _mixed(hashes: np.ndarray, flips: np.ndarray, odd: np.ndarray) -> np.ndarray:
-        out = (hashes[:, None] ^ flips) * odd
-        return out ^ (out >> np.uint64(32))
-
-    def __call__(self, text: str) -> tuple[bytes, int, bytes, np.ndarray]:
-        how = self.how
-        hashes = hash_set(text, how)
-        votes = np.zeros(how.bits, dtype=np.int64)
-        least = np.full(how.bands * how.rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for start in range(0, len(hashes), self.BLOCK):
-            part = hashes[start : start + self.BLOCK]
-            words = self._mixed(part, self.word_flips, self.word_odd).astype("<u8", copy=False)
-            votes += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-            least = np.minimum(least, self._mixed(part, self.min_flips, self.min_odd).min(axis=0))
-        keys = (least.reshape(how.bands, how.rows) * self.fold).sum(axis=1, dtype=np.uint64) ^ self.band
-        fp = np.packbits(2 * votes > len(hashes), bitorder="little").tobytes()
-        return xxhash.xxh128_digest(hashes.tobytes()), len(hashes), fp, keys.view(np.int64)
-
-
-def sketches(docs: DataFrame, how: Similar) -> DataFrame:
-    """Of each document `id`, `h` (a hash of its text), `sig` (a digest of its shingle set), `size` (of the set), its long
-    fingerprint `fp` and its shard `keys`. Null texts have no words."""
-    schema = T.StructType().add("id", docs.schema[how.id_col].dataType).add("h", T.LongType()).add("sig", T.BinaryType())
-    schema = schema.add("size", T.LongType()).add("fp", T.BinaryType()).add("keys", T.ArrayType(T.LongType()))
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketcher(how)
-        for batch in batches:
-            sigs, sizes, fps, keys = zip(*[sketch(t.as_py() or "") for t in batch.column(2)], strict=True) if len(batch) else [()] * 4
-            made = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "h", "sig", "size", "fp", "keys"])
-
-    identifier, text = F.col(f"`{how.id_col}`"), F.col(f"`{how.text_col}`")
-    return docs.select(identifier.alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(sketched, schema)
-
-
 def with_fingerprints(docs: DataFrame, keep: list[str], name: str, how: Near = Near()) -> DataFrame:
     """The columns `keep` and the fingerprint of each row's text as a signed 64-bit number. Null texts have no words."""
     at = [docs.columns.index(c) for c in keep]
@@ -325,171 +230,6 @@ def links(distinct: DataFrame, how: Near = Near()) -> DataFrame:
     return shards.mapInArrow(joined, "a long, b long").distinct()
 
 
-#: As many rows of three numbers are broadcast at most.
-SMALL = 300_000
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, how: Similar) -> DataFrame:
-    """`sig` and `set` (hashes of the shingles) of the texts with the `h` in `wanted`, once for each `sig`."""
-    text = F.col(f"`{how.text_col}`")
-    small = wanted.limit(SMALL + 1).count() <= SMALL
-    found = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(F.broadcast(wanted) if small else wanted, "h")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [hash_set(t.as_py() or "", how).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sig", "set"])
-
-    sets = found.select("sig", "text").mapInArrow(hashed, "sig binary, set array<long>")
-    return written(sets.groupBy("sig").agg(F.first("set").alias("set")), "shingle-sets")
-
-
-def agreeing(pairs: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity, counted on the whole sets."""
-    p, q = how.ratio.numerator, how.ratio.denominator
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a")
-    both = both.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b")
-    # i / (m + n - i) >= p / q in whole numbers
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.filter(shared * (p + q) >= (F.size("sa") + F.size("sb")).cast("long") * p).select("a", "b")
-
-
-class Comparer:
-    """Pairs of one block of a shard that are to be compared: of different groups, with sizes and fingerprints that allow
-    the similarity. Of two groups it gives `most` pairs at most and tells by `cut` that there are more."""
-
-    CHUNK = 256
-
-    def __init__(self, how: Similar, most: int):
-        self.how, self.most, self.cut = how, most, False
-        self.seen: dict[int, int] = {}
-        self.codes: dict[bytes, int] = {}
-        self.members: tuple | None = None
-
-    def _table(self, rows: list[tuple]) -> tuple:
-        sigs = [r[0] for r in rows]
-        fps = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
-        groups = np.array([self.codes.setdefault(r[3], len(self.codes)) for r in rows], dtype=np.int64)
-        return sigs, fps, np.array([r[2] for r in rows], dtype=np.int64), groups
-
-    def among(self, rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        """Takes the block's own rows (sig, fp, size, group)."""
-        self.members = self._table(rows)
-        for start in range(0, len(rows), self.CHUNK):
-            yield from self._pairs(*[x[start : start + self.CHUNK] for x in self.members], start)
-
-    def against(self, rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        """Compares rows of other blocks with the block's own."""
-        for start in range(0, len(rows), self.CHUNK):
-            if self.members:
-                yield from self._pairs(*self._table(rows[start : start + self.CHUNK]), None)
-
-    def _pairs(self, sigs, fps, sizes, groups, start) -> Iterator[tuple[bytes, bytes]]:
-        own_sigs, own_fps, own_sizes, own_groups = self.members
-        p, q = self.how.ratio.numerator, self.how.ratio.denominator
-        least, greatest = np.minimum(sizes[:, None], own_sizes), np.maximum(sizes[:, None], own_sizes)
-        fit = (groups[:, None] != own_groups) & (p * greatest <= q * least)
-        if start is not None:
-            fit &= np.arange(start, start + len(sigs))[:, None] < np.arange(len(own_sigs))
-        if not fit.any():
-            return
-        far = np.zeros(fit.shape, dtype=np.int32)
-        for w in range(fps.shape[1]):
-            far += np.bitwise_count(fps[:, w, None] ^ own_fps[:, w])
-        i, j = np.nonzero(fit & ((far <= self.how.radius) | (least < self.how.few)))
-        if not len(i):
-            return
-        code = np.minimum(groups[i], own_groups[j]) << 32 | np.maximum(groups[i], own_groups[j])
-        order = np.argsort(code, kind="stable")
-        i, j, code = i[order], j[order], code[order]
-        kinds, first, n = np.unique(code, return_index=True, return_counts=True)
-        before = np.array([self.seen.get(k, 0) for k in kinds.tolist()], dtype=np.int64)
-        keep = np.arange(len(code)) - np.repeat(first - before, n) < self.most
-        self.cut |= not keep.all()
-        self.seen.update(zip(kinds.tolist(), (before + n).tolist(), strict=True))
-        for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-            yield min(sigs[x], own_sigs[y]), max(sigs[x], own_sigs[y])
-
-
-def candidates(rows: DataFrame, how: Similar, most: int) -> DataFrame:
-    """Pairs (a, b) to be compared, from `key`, `sig`, `fp`, `size` and `label` (the group) of the texts of shards; a row of
-    nulls for each block that left pairs out.
-
-    A shard of one group has none. A large shard is dealt into blocks: every text is in one of them, and what is not of the
-    shard's largest group passes by all others too, so texts of different groups meet and no task holds more than a block.
-    """
-    per = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    stats = per.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("groups"), F.max_by("label", F.struct("c", "label")).alias("main"))
-    stats = stats.filter("groups > 1").select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks"), "main")
-    dealt = rows.join(stats, "key").withColumn("home", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks")).cast("int"))
-    everywhere = (F.col("blocks") > 1) & (F.col("label") != F.col("main"))
-    at = F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    dealt = dealt.withColumn("block", F.explode(at)).withColumn("guest", F.col("block") != F.col("home"))
-    dealt = dealt.select("key", "block", "guest", "sig", "fp", "size", "label")
-    blocks = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "guest", "sig")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-        def closed(of, guest, rows, last):
-            found: list[tuple] = []
-            for pair in of.against(rows) if guest else of.among(rows):
-                found.append(pair)
-                if len(found) == 10_000:
-                    yield batch_of(found)
-                    found = []
-            if last and of.cut:
-                found.append((None, None))
-            if found:
-                yield batch_of(found)
-
-        now, of, pending = None, None, []
-        for batch in batches:
-            for key, block, guest, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (key, block, guest) != now:
-                    same = now is not None and (key, block) == now[:2]
-                    if now is not None:
-                        yield from closed(of, now[2], pending, not same)
-                    of, now, pending = of if same else Comparer(how, most), (key, block, guest), []
-                elif guest and len(pending) >= Comparer.CHUNK:
-                    yield from closed(of, True, pending, False)
-                    pending = []
-                pending.append(tuple(row))
-        if now is not None:
-            yield from closed(of, now[2], pending, True)
-
-    return blocks.mapInArrow(compared, "a binary, b binary").distinct()
-
-
-def similar_roots(nodes: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
-    """`sig` and `root` of the texts that share a shard with another, root being one for texts that are linked.
-
-    First all texts that are joined by shards are compared with one of them, which settles large groups of near copies.
-    Then, round by round, shards give pairs of texts of different groups; each is compared, and those that agree join their
-    groups. Rounds take ever more pairs of two groups, until none was left out: then all pairs of different groups differ.
-    """
-    keyed = nodes.select("sig", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("hub")).filter("n > 1").drop("n"), "shards")
-    star = written(components(keyed.join(shared, "key").select(F.col("sig").alias("a"), F.col("hub").alias("b"))), "stars")
-    members = written(star.select("node").union(star.select("root")).distinct().withColumnRenamed("node", "sig"), "members")
-    sets = shingle_sets(docs, nodes.join(members, "sig").select("h", "sig"), how)
-    joined = agreeing(star.select(F.col("node").alias("a"), F.col("root").alias("b")), sets, how)
-    labels = written(members.join(joined, F.col("sig") == F.col("a"), "left").select("sig", F.coalesce("b", "sig").alias("label")), "labels")
-    rows = nodes.join(members, "sig").select("sig", "fp", "size", F.explode("keys").alias("key")).join(shared.select("key"), "key")
-    most = how.pairs
-    while True:
-        found = written(candidates(rows.join(labels, "sig"), how, most), "candidates")
-        agreed = agreeing(found.filter("a IS NOT NULL"), sets, how)
-        of = [labels.select(F.col("sig").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b")]
-        merged = components(agreed.join(of[0], "a").join(of[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        moved = labels.join(merged, F.col("label") == F.col("node"), "left")
-        labels = written(moved.select("sig", F.coalesce("root", "label").alias("label")), "labels")
-        if found.filter("a IS NULL").isEmpty():
-            return labels.select("sig", F.col("label").alias("root"))
-        most *= 16
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the links, root being the smallest node of the component.
 
@@ -518,13 +258,6 @@ def class_table(hashed: DataFrame, how: Near = Near()) -> DataFrame:
     return _class_table(least, "fp", components(links(least.select("fp"), how)).withColumnRenamed("node", "fp"))
 
 
-def similar_table(hashed: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
-    """`sig`, `root` and `component_id` for each shingle set of a stored table of sketches of `docs`."""
-    same = [F.first(c).alias(c) for c in ("size", "fp", "keys")]
-    least = written(hashed.groupBy("sig").agg(F.min("id").alias("least"), F.min("h").alias("h"), *same), "classes")
-    return _class_table(least.select("sig", "least"), "sig", similar_roots(least, docs, how))
-
-
 def _class_table(least: DataFrame, name: str, roots: DataFrame) -> DataFrame:
     placed = least.join(roots, name, "left").withColumn("root", F.coalesce("root", name))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -547,7 +280,7 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, how: Near | Similar = Near()) -> DataFrame:
+def deduplicated(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """One document of each component, with the columns of the input: the one with the smallest id.
 
     Ids need not be unique: of several rows with that id one is kept, by a hash of their texts. Components of null ids
@@ -555,12 +288,8 @@ def deduplicated(docs: DataFrame, how: Near | Similar = Near()) -> DataFrame:
     """
     row, mark, of, chosen = (fresh(docs, f"__{c}") for c in ("row", "mark", "of", "chosen"))
     identifier, digest = F.col(f"`{how.id_col}`"), F.xxhash64(f"`{how.text_col}`")
-    if isinstance(how, Similar):
-        hashed = written(sketches(docs, how), "sketches")
-        slim = hashed.select("id", "h", "sig").join(similar_table(hashed, docs, how), "sig")
-    else:
-        hashed = written(fingerprints(docs.withColumn(mark, digest), how, mark), "fingerprints")
-        slim = hashed.select("id", "fp", F.col(mark).alias("h")).join(class_table(hashed, how), "fp")
+    hashed = written(fingerprints(docs.withColumn(mark, digest), how, mark), "fingerprints")
+    slim = hashed.select("id", "fp", F.col(mark).alias("h")).join(class_table(hashed, how), "fp")
     # which row stays is settled on ids and hashes; texts are shuffled once, by a mark that only repeated rows share
     own = slim.filter(F.col("component_id").eqNullSafe(F.col("id")))
     kept = own.groupBy("root").agg(F.min(F.struct("h", "id")).alias("k")).select("k.*")

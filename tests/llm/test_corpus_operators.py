@@ -58,6 +58,28 @@ def test_mix(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_inclusion_rates_follow_the_chances(spark):
+    sizes = (4, 36, 144, 900)
+    draw = random.Random(2)
+    rows = [(i, " ".join(["w"] * draw.choice(sizes)), "a") for i in range(16_000)] + [(-1, " ".join(["w"] * 1_200_000), "b")]
+    out = [r for r in mixing.mix_sizes(table(spark, rows)).collect() if r.source == "a"]
+    total, target = sum(r["size"] for r in out), out[0].target
+    assert 0 < target < total  # one source holds too little, so the other is sampled
+    open_, factor = set(sizes), 0.0
+    words = {s: sum(r["size"] for r in out if r["size"] == s) for s in sizes}
+    while True:  # chances in proportion to the root of the size, one at most
+        factor = (target - sum(words[s] for s in sizes if s not in open_)) / sum(words[s] * s**0.5 for s in open_)
+        sure = {s for s in open_ if factor * s**0.5 >= 1}
+        if not sure:
+            break
+        open_ -= sure
+    for s in sizes:
+        own = [r.copies for r in out if r["size"] == s]
+        chance = min(1.0, factor * s**0.5)
+        assert abs(sum(own) / len(own) - chance) < 0.04
+    assert abs(sum(r.taken for r in out) - target) <= max(sizes)
+
+
 def test_sharding(spark, tmp_path):
     rows = some_docs(100)
     out = sharding.external_shuffle(table(spark, rows), sharding.text_bytes(F.col("text")), 7, bucket_bytes=2000)
@@ -227,92 +249,6 @@ def test_queries_match_their_sql(spark):
         assert spark_rows(QUERIES[name](spark, SF_DIR)) == sql_rows(connect(SF_DIR), sql)
 
 
-def _shingle_set(text, n=5):
-    words = text.lower().split()
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or {tuple(words)}
-
-
-def test_similar_texts_are_linked_as_brute_force_says(spark):
-    draw = random.Random(11)
-    vocabulary = [f"w{i}" for i in range(400)]
-    boilerplate = " ".join(draw.choices(vocabulary, k=60))
-    texts = []
-    for i in range(60):
-        words = draw.choices(vocabulary, k=draw.randint(120, 300))
-        texts.append(" ".join(words))
-        if i % 3 == 0:  # near copies at a similarity of 0.9 or so
-            words[draw.randrange(len(words))] = "edited"
-            texts.append(" ".join(words))
-        elif i % 3 == 1:  # a passage that many documents share
-            texts[-1] += " " + boilerplate
-    texts += [texts[0]] * 5 + [texts[3].upper(), None, "", "two words", "Two Words"]
-    rows = list(enumerate(texts))
-    how = simhash.Similar()
-    sets = [_shingle_set(t or "") for t in texts]
-    root = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            assert j >= how.similarity or j < 0.6  # nothing on the edge
-            if j >= how.similarity:
-                old, kept = root[a], root[b]
-                root = [min(old, kept) if r in (old, kept) else r for r in root]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    kept = sorted(r["doc_id"] for r in simhash.deduplicated(docs, how).collect())
-    assert kept == sorted(set(root))
-    awkward = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "x " * 200_000)], docs.schema)
-    assert simhash.deduplicated(awkward.withColumn("__fp", F.lit(1)).withColumn("__keys", F.lit(2)), how).count() == 2
-    assert simhash.deduplicated(docs.limit(0), how).count() == 0
-
-
-def _altered(draw, words, share):
-    return [f"x{draw.getrandbits(40)}" if draw.random() < share else w for w in words]
-
-
-def _brute_force_kept(texts, similarity):
-    sets = [_shingle_set(t) for t in texts]
-    root, edge = list(range(len(texts))), 0
-    for a in range(len(texts)):
-        for b in range(a):
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            edge += 0.6 <= j < similarity
-            if j >= similarity and root[a] != root[b]:
-                old, kept = max(root[a], root[b]), min(root[a], root[b])
-                root = [kept if r == old else r for r in root]
-    return sorted(set(root)), edge
-
-
-def test_pairs_on_the_edge_are_decided_by_their_shingles(spark):
-    draw, texts = random.Random(14), []
-    for i in range(150):
-        words = [f"w{draw.getrandbits(30)}" for _ in range(draw.randint(60, 400))]
-        texts.append(" ".join(words))
-        n = round(len(words) * draw.uniform(0.15, 0.4) / 2)  # a new end leaves a similarity of 0.6 to 0.86
-        texts.append(" ".join(words[n:] + [f"y{draw.getrandbits(30)}" for _ in range(n)]) if i % 2 else " ".join(words[: len(words) - n]))
-    expected, edge = _brute_force_kept(texts, 0.8)
-    assert edge >= 30 and len(expected) < len(texts) - 30
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    assert sorted(r.doc_id for r in simhash.deduplicated(docs, simhash.Similar()).collect()) == expected
-
-
-def test_groups_of_near_copies_in_blocks(spark, monkeypatch):
-    draw, texts = random.Random(15), []
-    for share in (0.005, 0.015, 0.03):  # near copies of each other, chained, and mostly apart
-        words = [f"w{draw.getrandbits(30)}" for _ in range(300)]
-        texts += [" ".join(_altered(draw, words, share)) for _ in range(60)]
-    expected, edge = _brute_force_kept(texts, 0.8)
-    assert edge >= 500
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    monkeypatch.setattr(simhash, "SMALL", 5)  # texts are joined, not broadcast
-    for how in (simhash.Similar(block=8, pairs=1), simhash.Similar(pairs=2)):
-        assert sorted(r.doc_id for r in simhash.deduplicated(docs, how).collect()) == expected
-    of, how = simhash.Sketcher(simhash.Similar()), simhash.Similar(block=8)
-    rows = [(1, *[of(t)[k] for k in (0, 2, 1)], str(i % 50).encode()) for i, t in enumerate(texts)]
-    frame = spark.createDataFrame(rows, "key long, sig binary, fp binary, size long, label binary")
-    whole = {tuple(r) for r in simhash.candidates(frame, simhash.Similar(block=10**6), 10**6).collect()}
-    assert whole and {tuple(r) for r in simhash.candidates(frame, how, 10**6).collect()} == whole
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from tests.conftest import SF_DIR
@@ -327,3 +263,51 @@ def test_pipeline_stages(spark):
         pieces = corpus_pipeline.STAGES[-1][1](spark, current, SF_DIR).collect()
         assert sum(p.length for p in pieces if p.start == 0) <= sum(p.doc_tokens for p in pieces if p.start == 0)
         assert bool(pieces) == (table_ is awkward)
+
+
+def test_deduplicated_keeps_one_of_each_component(spark):
+    draw = random.Random(9)
+    rows = some_docs(120)
+    rows += [(1000 + i, " ".join(draw.choices([f"v{k}" for k in range(300)], k=80)), "a") for i in range(40)]
+    rows += [(2000 + i, rows[draw.randrange(len(rows))][1], "b") for i in range(60)]
+    for i in range(40):  # near copies: one word of a longer text changed
+        base = draw.choice([r[1] for r in rows if r[1] and len(r[1].split()) > 20]).split()
+        base[draw.randrange(len(base))] = "altered"
+        rows.append((3000 + i, " ".join(base), "c"))
+    rows = [r for r in rows if r[0] is not None]
+    prints, root = [plain_fingerprint(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r[0])
+    kept = simhash.deduplicated(table(spark, rows))
+    assert kept.columns == table(spark, []).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_quality_with_the_names_of_helpers(spark):
+    rows = some_docs(80)
+    plain = table(spark, rows)
+    names = ["__m", "__measures", "__votes", "__v_repeats", "__judged", "_votes", "kept", "posterior", "w", "d", "variety"]
+    clashing = plain.withColumns({n: F.lit(f"own {n}") for n in names})
+    kept = quality.filtered(clashing)
+    assert kept.columns == clashing.columns
+    assert all(r[n] == f"own {n}" for r in kept.collect() for n in names)
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(repr((r.doc_id, r.text)) for r in quality.filtered(plain).collect())
+    assert quality.verdicts(clashing).count() == len(rows)
+
+
+def test_poor_variety_is_seen_at_any_length(spark):
+    draw = random.Random(8)
+    few, many = [f"x{i}" for i in range(12)], [f"y{i}" for i in range(40_000)]
+    rows = [(k, " ".join(draw.choices(few if k % 2 else many, k=n)), "a") for k, n in enumerate((60, 60, 800, 800, 2999, 2999, 3001, 3001, 30_000, 30_000))]
+    m = quality.measures(F.col("text"))
+    out = table(spark, rows).select("doc_id", m.alias("m")).select("doc_id", quality.votes(F.col("m"))["variety"].alias("v"))
+    assert {r.doc_id: r.v for r in out.collect()} == {k: -1 if k % 2 else 0 for k in range(10)}

@@ -39,20 +39,19 @@ def _doubled(inner: DataFrame, sums: dict[str, Column], down: dict[str, Column]
     """`id`, `orphaned` (of its root) and, for each of `sums`, its sum over a node and all its ancestors; for each of
     `down` the sum over a node and all inner nodes below it.
 
-    A round replaces each pointer by the pointer of the node it points to, and adds what that node has gathered. Sums go
+    `inner` is a table. A round replaces each pointer by the pointer of the node it points to, and adds what that node has gathered. Sums go
     down as well: a node takes over what the nodes 2 ** k below it have gathered from the 2 ** k levels from them on.
     """
     down = down or {}
-    state = written(inner.select("id", "up", "orphaned", *[c.alias(n) for n, c in {**sums, **down}.items()]), "pointers-0")
-    reach, total = 1, None
+    state = inner.select("id", "up", "orphaned", *[c.alias(n) for n, c in {**sums, **down}.items()])
+    reach = 1
     while True:
-        pending = state.filter(F.col("up").isNotNull())
-        if pending.isEmpty():
+        n = state.agg(F.count("*").alias("all"), F.count("up").alias("open")).first()
+        if not n["open"]:
             return state.drop("up")
-        if total is None:
-            total = state.count()
-        if reach > total:
-            raise HierarchyCycle(f"{pending.count()} nodes with children are not below any root")
+        if reach > n["all"]:
+            raise HierarchyCycle(f"{n['open']} nodes with children are not below any root")
+        pending = state.filter(F.col("up").isNotNull())
         above = state.select(
             F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("orphaned").alias("_orphaned"), *[F.col(n).alias(f"_{n}") for n in sums]
         )
@@ -101,7 +100,7 @@ def outline(nodes: DataFrame) -> DataFrame:
     """
     inner = _inner(nodes)
     kids = inner.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("of")).agg(F.count("*").alias("n_inner"))
-    counted = inner.join(kids, F.col("id") == F.col("of"), "left")
+    counted = written(inner.join(kids, F.col("id") == F.col("of"), "left"), "inner-children")
     leaves = F.col("n_children") - F.coalesce("n_inner", F.lit(0))
     one = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
     shape = _doubled(counted, {"depth": one}, {"size": leaves + 1})

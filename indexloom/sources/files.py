@@ -7,6 +7,7 @@ descended into. Storage must be one that all executors reach.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from indexloom.functions.globs import basename_matches
 from indexloom.functions.text import decode_utf8_lossy, normalise_newlines, relative_path
 from indexloom.operators.scan import MAX_KB, PRUNED_DIRECTORIES, select_files
 from indexloom.session import written
+from indexloom.sources.tree import OPEN_BYTES, PARTITION_BYTES
 
 READ_BATCH_BYTES = 16 * 1024 * 1024
 _ENTRY = "path string, length long, is_dir boolean"
@@ -101,10 +103,11 @@ def read_files(manifest: DataFrame, root: str) -> DataFrame:
     keeps its row, with a NULL content and the error.
     """
     cores = manifest.sparkSession.sparkContext.defaultParallelism
-    # a directory may hold most of the files: deal them out anew
+    # a directory may hold most of the files: deal them out anew, in as many parts as their bytes ask for
+    cost = manifest.agg(F.sum(F.coalesce("length", F.lit(0)) + OPEN_BYTES)).first()[0] or 0
     raw = (
         manifest.select("path", "length")
-        .repartition(4 * cores)
+        .repartition(max(math.ceil(cost / PARTITION_BYTES), min(cores, math.ceil(cost / READ_BATCH_BYTES)), 1))
         .mapInPandas(_read_batches(root), "path string, length long, raw binary, error string")
     )
     return raw.select(

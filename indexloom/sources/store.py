@@ -18,6 +18,7 @@ import math
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -384,7 +385,7 @@ class IndexStore:
             else:
                 try:
                     entries = self._merged("embeddings", held, name).select("id").count()
-                except PySparkException as failure:
+                except (PySparkException, Py4JError) as failure:
                     entries, error = None, str(failure).split("\n")[0]
             rows.append((self.root, name, entry["model"], entries, n_bytes, error))
         made = self.spark.createDataFrame(rows, "root string, collection string, model string, entries long, bytes long, error string")

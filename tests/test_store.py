@@ -3,6 +3,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
 from indexloom.errors import CollectionExists, CollectionNotFound, IndexNotFound, ModelMismatch
@@ -13,6 +14,7 @@ from indexloom.plans import ask, build
 from indexloom.schemas import FILES
 from indexloom.sources.files import read_files, scan_files, walk
 from indexloom.sources.store import IndexStore, write_json
+from indexloom.sources.tree import OPEN_BYTES, TreeReader, planned, register
 from indexloom.streaming.ingest import file_stream, ingest_chunks
 
 SOURCES = [
@@ -220,12 +222,14 @@ def test_a_failed_count_spoils_only_its_own_line(spark, store):
 def test_filters_reach_the_stored_files(spark, store):
     rows = vector_rows(spark, [f"i{k:04d}" for k in range(300)]).withColumn("type", F.concat(F.lit("t"), F.substring("id", 5, 1)))
     store.build("one", "m", 2, rows)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     typed = store.embeddings("one").filter("type = 't3'")
     plan = typed.select("id", "vector")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(type,t3)" in plan and "Join" not in plan and "Exchange" not in plan
     assert typed.count() == 30
     plan = store.embeddings("one").filter(F.col("id").isin("i0001", "i0002"))._jdf.queryExecution().executedPlan().toString()
     assert "In(id, [i0001,i0002])" in plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     # also where deltas are merged, the filter on ids reaches both scans
     store.upsert_embeddings("one", vector_rows(spark, ["i0001"], "new"))
     merged = store.lookup("embeddings", "one", spark.createDataFrame([("i0001",), ("i0002",)], "id string"))
@@ -242,7 +246,9 @@ def test_reports_on_a_stored_outline(spark, store):
     below = [(r["level"], r["name"]) for r in ask.chunk_descendants(store, "chunks", "a.py:class:A:0").collect()]
     assert below == [(1, "f"), (1, "B"), (2, "g")]
     stored = store.outline("chunks")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     plan = hierarchy.descendants(stored, "a.py:class:A:0")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThan(first,1)" in plan and "LessThanOrEqual(first,4)" in plan and "Join" not in plan
     shown = {r["relation"]: r for r in ask.show_chunk(store, "chunks", "a.py:method:g:5").collect()}
     assert set(shown) == {"self", "ancestor"} and "def g" in shown["self"]["content"] and shown["self"]["metadata"]["name"] == "g"
@@ -353,6 +359,40 @@ def test_scan_and_read(spark, tmp_path):
     assert status == {"a.py": "ok", "gone.py": "error"}
 
 
+def test_tree_source(spark, tmp_path):
+    for name, size in {"a.py": 10, "pkg/b.py": 200, "pkg/sub/c.py": 30, "node_modules/d.py": 5, "other/e.py": 70, "_f": 0, "é.py": 3}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name[-4:].encode() * size)
+    (tmp_path / "pkg" / "up").symlink_to(tmp_path)
+    register(spark)
+    tree = spark.read.format("file_tree").load(str(tmp_path))
+    assert {r["path"]: r["length"] for r in tree.collect()} == {
+        "a.py": 40, "pkg/b.py": 800, "pkg/sub/c.py": 120, "other/e.py": 280, "_f": 0, "é.py": 15,
+    }
+    assert all(len(r["raw"]) == r["length"] and r["error"] is None for r in tree.collect())
+    found = tree.filter("path LIKE 'pkg/%' AND length > 100")
+    assert sorted(r["path"] for r in found.collect()) == ["pkg/b.py", "pkg/sub/c.py"]
+    assert sorted(r["path"] for r in tree.filter("path IN ('a.py', 'pkg/b.py', 'x')").collect()) == ["a.py", "pkg/b.py"]
+    assert sorted(r["path"] for r in tree.filter("path > 'o' AND length IS NOT NULL").collect()) == ["other/e.py", "pkg/b.py", "pkg/sub/c.py", "é.py"]
+    unpruned = spark.read.format("file_tree").option("pruned", "false").option("content", "false").load(str(tmp_path))
+    assert unpruned.count() == 7 and unpruned.filter("raw IS NOT NULL").count() == 0
+    assert spark.read.format("file_tree").load(str(tmp_path / "node_modules")).filter("length > 1000").count() == 0
+
+
+def test_tree_partitions_and_pruning(tmp_path):
+    for name in ("a/x", "a/b/y", "c/z"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" * 1000)
+    reader = TreeReader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([D.StringStartsWith(("path",), "a/b"), D.GreaterThan(("path",), "a"), D.LessThan(("length",), 5000)]))
+    assert left == [D.GreaterThan(("path",), "a")]
+    assert reader.listing() == [("a/b/y", 1000)] and not reader._entered("c/") and reader._entered("a/")
+    files = [(f"f{i}", 10**7 if i % 50 == 0 else 100) for i in range(200)]
+    parts = planned(files, 8 * 10**6)
+    assert [f for p in parts for f in p.files] == files
+    assert all(sum(n + OPEN_BYTES for _, n in p.files[:-1]) < 8 * 10**6 for p in parts) and len(parts) > 4
+
+
 def test_json_sink(spark, tmp_path):
     out = str(tmp_path / "json")
     write_json(spark.createDataFrame([("a", 0.5, None)], "id string, score double, content string"), out)

@@ -9,7 +9,10 @@ from indexloom.functions.text import relative_path
 from indexloom.operators.scan import select_files
 from indexloom.operators.stats import corpus_size, entries_per_collection, status_counts
 from indexloom.plans.build import file_status, not_blank, not_empty
-from workload.inputs import FILES_SQL, files, table
+from indexloom.session import written
+from indexloom.sources.files import read_files, scan_files
+from indexloom.sources.tree import register
+from workload.inputs import FILES_SQL, file_folder, files, table
 from workload.registry import query
 
 _PRUNED_SQL = "(path LIKE '%/node_modules/%' OR path LIKE '%/build/%' OR path LIKE '%/.web_cache/%')"
@@ -52,6 +55,31 @@ def scan_manifest_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_files(everything, listed=listed, include="*.tsx", max_kb=None).select("path")
 
 
+@query(
+    "tree_walk",
+    f"""WITH {FILES_SQL} SELECT path, length, md5(content) AS content FROM files
+    WHERE (NOT {_PRUNED_SQL} OR path LIKE '%.tsx') AND length <= 8192""",
+)
+def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written folder walked, chosen from by name and size, and read."""
+    root = file_folder(spark, sf_dir)
+    chosen = written(scan_files(spark, root, include="*.tsx", max_kb=8), "chosen")
+    return read_files(chosen, root).select("path", "length", F.md5("content").alias("content"))
+
+
+@query(
+    "tree_source",
+    f"""WITH {FILES_SQL} SELECT path, length, md5(content) AS content FROM files
+    WHERE NOT {_PRUNED_SQL} AND path LIKE 'src/src1%' AND length > 300 AND path NOT LIKE '%7.py'""",
+)
+def tree_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kind of folder as a data source, which takes over the filters on path and length."""
+    register(spark)
+    tree = spark.read.format("file_tree").load(file_folder(spark, sf_dir))
+    found = tree.filter(F.col("path").startswith("src/src1") & (F.col("length") > 300) & ~F.col("path").endswith("7.py"))
+    return found.select("path", "length", F.md5("raw").alias("content"))
+
+
 @query("scan_size_filter", f"WITH {FILES_SQL} SELECT path, length FROM files WHERE length <= 4096 AND NOT {_PRUNED_SQL}")
 def scan_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_files(files(spark, sf_dir), max_kb=4).select("path", "length")

@@ -5,10 +5,12 @@ Every derivation works row by row on whole tables: no grouping, no sampling.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexloom.session import spread, written
+from indexloom.session import scratch_path, spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as files of a folder that executors share."""
+    root = scratch_path(spark, "tree")
+    rows = files(spark, sf_dir).select("path", F.encode("content", "utf-8").alias("raw"))
+
+    def put(batches):
+        system, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(raw or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    spread(rows).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    return root
+
+
 # --- modules: every document rendered as a Python source, sentence by sentence
 
 MODULES_SQL = r"""modules AS (

@@ -10,12 +10,13 @@ from indexloom.operators.embed import get_model
 from indexloom.operators.filters import by_collection
 from indexloom.operators.search import search
 from indexloom.operators.upsert import upsert
-from indexloom.plans.ask import query_chunks
+from indexloom.plans.ask import query_chunks, query_files
 from indexloom.plans.build import add_chunks, index_chunks, index_files
 from indexloom.session import scratch_path
+from indexloom.sources.files import read_files, scan_files
 from indexloom.sources.store import IndexStore
 from workload.extract_queries import CHUNK_ID_SQL, DEFS_SQL
-from workload.inputs import ENTRIES_SQL, entries, hashed_sql, modules, table
+from workload.inputs import ENTRIES_SQL, FILES_SQL, entries, file_folder, hashed_sql, modules, table
 from workload.registry import query
 
 _ITEM_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
@@ -224,3 +225,48 @@ def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = query_chunks(store, questions, model, "chunks", chunk_type="method")
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "type", "parent_id")
+
+
+@query(
+    "folder_to_answers",
+    f"""WITH {FILES_SQL}, kept AS (SELECT path, content FROM files WHERE length <= 16384 AND content <> ''
+        AND NOT (path LIKE '%/node_modules/%' OR path LIKE '%/build/%' OR path LIKE '%/.web_cache/%')),
+    {hashed_sql("kept", "path", "content", "h")}, {hashed_sql("benchmark", "item_id", "text", "q")},
+    scored AS (SELECT q.key AS query_id, h.key AS id, round(list_cosine_similarity(h.vector, q.vector), 12) AS score
+               FROM h JOIN q ON true
+               WHERE list_dot_product(h.vector, h.vector) > 0 AND list_dot_product(q.vector, q.vector) > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score >= 0.2)
+    SELECT query_id, rank, id, round(score, 6) AS score, md5(k.content) AS content, '.' || k.path AS shown_path
+    FROM ranked JOIN kept k ON k.path = ranked.id WHERE rank <= 5""",
+)
+def folder_to_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files walked, read, embedded and stored, and every benchmark text asked of the index."""
+    root = file_folder(spark, sf_dir)
+    files = read_files(scan_files(spark, root, max_kb=16), root)
+    store, model = IndexStore(spark, scratch_path(spark, "store")), get_model("hash-64")
+    index_files(store, files, model)
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = query_files(store, questions, model, "files", limit=5)
+    path = F.concat(F.lit("."), F.col("metadata")["path"])
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"), F.md5("content").alias("content"), path.alias("shown_path"))
+
+
+@query(
+    "store_global_ids",
+    """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content FROM documents),
+    t AS (SELECT CAST(conv_id AS VARCHAR) AS id, max_by(text, turn) AS content FROM conversations GROUP BY 1)
+    SELECT 'docs' AS collection, id, md5(content) AS content FROM d WHERE id NOT IN (SELECT id FROM t)
+    UNION ALL SELECT 'talks', id, md5(content) FROM t""",
+)
+def store_global_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two collections whose ids are global: storing an id in the second one takes it out of the first."""
+    store = IndexStore(spark, scratch_path(spark, "store"))
+
+    def rows(df: DataFrame, key: str, *more: str) -> DataFrame:
+        vector, none = F.array(F.lit(1.0).cast("float")), F.lit(None).cast("map<string,string>")
+        return df.select(F.col(key).cast("string").alias("id"), vector.alias("vector"), F.col("text").alias("content"), none.alias("metadata"), *more)
+
+    store.build("docs", "none", 1, rows(table(spark, sf_dir, "documents"), "doc_id"))
+    store.create("talks", "none", 1)
+    store.upsert("talks", rows(table(spark, sf_dir, "conversations"), "conv_id", "turn"), order=["turn"], global_ids=True)
+    return store.embeddings().select("collection", "id", F.md5("content").alias("content"))

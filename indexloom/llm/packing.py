@@ -62,11 +62,15 @@ def cut_windows(places: np.ndarray, costs: np.ndarray, window: int) -> list[int]
     all_places = np.concatenate([[0], places])
     at = all_places.tolist()
     best, came = [0] * len(at), [0] * len(at)
-    exact: dict[int, list[int]] = {}
+    ends, starts = [], []
     for power in (1 << k for k in range(window.bit_length()) if 1 << k <= window):
         start = np.searchsorted(all_places, all_places - power)
-        for j in np.flatnonzero(all_places[start] == all_places - power).tolist():
-            exact.setdefault(j, []).append(int(start[j]))
+        found = np.flatnonzero(all_places[start] == all_places - power)
+        ends.append(found)
+        starts.append(start[found])
+    at_end = np.concatenate(ends)
+    exact = np.concatenate(starts)[np.argsort(at_end, kind="stable")].tolist()
+    upto = np.cumsum(np.bincount(at_end, minlength=len(at))).tolist()  # of `exact`, those that end at each place or before
     queue = deque([(0, 0)])  # (cost + place, index), least first, newer ones after
     extra = [0, *costs.tolist()]
     for j in range(1, len(at)):
@@ -75,7 +79,7 @@ def cut_windows(places: np.ndarray, costs: np.ndarray, window: int) -> list[int]
             queue.popleft()
         low, i = queue[0]
         cost = low + window - place
-        for k in exact.get(j, ()):
+        for k in exact[upto[j - 1] : upto[j]]:
             if best[k] < cost:
                 cost, i = best[k], k
         best[j] = cost + extra[j]
@@ -182,8 +186,8 @@ def pack(docs: DataFrame, how: Packing) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, ["id", *PIECE.names[1:]])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
                 for k, ids in enumerate(own.batch_ids(part.column(1).to_pylist())):
                     held.append(part.column(0).slice(k, 1))
                     block.append((len(block), ids + closing))

@@ -45,15 +45,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/indexloom/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Cuts the lineage of an iterative job with a table that outlives its executors; being Parquet, it
-    is read back by column and its size is known to the planner.
+    is read back by column and its size is known to the planner. `zstd` is worth its time for tables of ids and paths.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -151,6 +151,23 @@ def test_placed_sums(spark):
             total += r[2]
 
 
+def test_rows_are_placed_with_one_shuffle(spark):
+    rows = spark.createDataFrame([("hot", i, 1) for i in range(400)], "g string, i int, w int").repartition(3)
+    out = placed(rows, "g", [F.col("i")], "position", "w", "before")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    assert all((r["position"], r["before"]) == (r["i"] + 1, r["i"]) for r in out.collect())
+
+
+def test_outline_of_parents_with_many_blocks_of_children(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "BLOCK", 8)
+    draw = random.Random(8)
+    edges = [("r", None)] + [(f"k{i}", draw.choice(["r", "r", "gone", None])) for i in range(120)]
+    edges += [(f"m{i}", f"k{draw.randrange(120)}") for i in range(90)]
+    shape = hierarchy.outline(forest(spark, edges)).collect()
+    assert {r["id"]: (r["first"], r["last"], r["depth"], r["position"], r["orphaned"]) for r in shape} == brute_outline(edges)
+
+
 def test_filters(spark):
     df = forest(spark, [("a", None), ("b", "a")]).withColumn("path", F.when(F.col("id") == "a", r"x\Y.py").otherwise("xy_.py"))
     assert [r["id"] for r in filters.path_like(df, "\\y").collect()] == ["a"]

@@ -188,11 +188,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    items = spread(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus"
-        )
-    )
+    items = table(spark, sf_dir, "lineitem")
     parts = [
         node(regions, ref("r", "r_regionkey"), "region", F.col("r_name"), F.lit("geo/regions.py"), "r_regionkey", 2,
              F.lit(None).cast("string")),
@@ -215,17 +211,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_nodes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The hierarchy as a stored table, which is what operators that read it several times are given."""
     rows = nodes(spark, sf_dir)
-    return written(rows.select(*columns) if columns else rows, "nodes")
+    return written(rows.select(*columns) if columns else rows, "nodes", "zstd")
 
 
 NODE_CONTENT_SQL = "type || ' ' || name || ' in ' || path"
 
 
 def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hierarchy with all columns of chunks."""
+    """The hierarchy with all columns of chunks, row by row from the given tables."""
     content = F.concat_ws(" ", "type", "name", F.lit("in"), "path")
     lines = (F.col("end_line") - F.col("start_line") + 1).cast("string")
-    return stored_nodes(spark, sf_dir).select(
+    return nodes(spark, sf_dir).select(
         "*",
         F.lit(1).alias("start_col"),
         F.lit(1).alias("end_col"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from indexloom.errors import HierarchyCycle
 from indexloom.functions import text
 from indexloom.functions.labels import language_label
 from indexloom.functions.metadata import lines_in_chunk
@@ -23,6 +24,8 @@ from indexloom.plans.build import build_outline
 from indexloom.session import written
 from indexloom.sources.store import IndexStore
 
+LINE_STEPS = 32  # levels that are climbed key by key before an outline is made
+
 
 def embed_queries(queries: DataFrame, model: Model) -> DataFrame:
     """`(query_id, text)` to `(query_id, vector)`, computed once."""
@@ -164,19 +167,62 @@ def chunk_descendants(store: IndexStore, collection: str, chunk_id: str) -> Data
     return hierarchy.descendants(outlined(store, collection), chunk_id)
 
 
+def _line(chunks: DataFrame, chunk_id: str) -> list[str] | None:
+    """Ids from a chunk up to its root, each looked up by the Bloom filters of the stored files; none for an unknown id, and
+    None where the way up is longer than LINE_STEPS."""
+    line, at = [], chunk_id
+    while at is not None:
+        if at in line:
+            raise HierarchyCycle(f"{at!r} is above itself")
+        if len(line) == LINE_STEPS:
+            return None
+        found = chunks.filter(F.col("id") == at).select("parent_id").collect()  # one row: ids are unique
+        if not found:
+            break
+        line.append(at)
+        at = found[0]["parent_id"]
+    return line
+
+
+def _relatives(store: IndexStore, collection: str, chunk_id: str) -> DataFrame:
+    """One chunk, its ancestors and its children with `relation` and `distance`.
+
+    A stored outline has them in ranges. Without one they are found by their keys, as numbering all chunks is more work than
+    a question about one; only for a chunk very far down is the outline made.
+    """
+    shape, chunks = store.outline(collection), store.chunks(collection)
+    line = _line(chunks, chunk_id) if shape is None else None
+    if line is None:
+        shape = outlined(store, collection) if shape is None else shape
+        return hierarchy.show(shape, chunk_id).select(*chunks.columns, "relation", "distance")
+    if not line:
+        return chunks.filter(F.lit(False)).withColumn("relation", F.lit("self")).withColumn("distance", F.lit(0))
+    child = F.coalesce(F.col("parent_id") == chunk_id, F.lit(False))
+    near = chunks.filter(child | F.col("id").isin(line))
+    up = (F.array_position(F.array(*[F.lit(i) for i in line]), F.col("id")) - 1).cast("int")
+    relation = F.when(child, "child").when(F.col("id") == chunk_id, "self").otherwise("ancestor")
+    return near.withColumn("relation", relation).withColumn("distance", F.when(child, 1).otherwise(up))
+
+
 def chunk_ancestors(store: IndexStore, collection: str, chunk_id: str) -> DataFrame:
-    return hierarchy.ancestors(outlined(store, collection), chunk_id)
+    """Ancestors of one chunk with `distance`, nearest first."""
+    found = _relatives(store, collection, chunk_id).filter("relation = 'ancestor'")
+    return found.drop("relation").orderBy("distance")
 
 
 def show_chunk(store: IndexStore, collection: str, chunk_id: str) -> DataFrame:
     """One chunk, its ancestors and its children, with content and metadata."""
-    return hierarchy.show(outlined(store, collection), chunk_id)
+    return _relatives(store, collection, chunk_id)
 
 
 def chunk_stats(store: IndexStore, collection: str) -> DataFrame:
     """`(report, key, chunks)`: the counts of a collection in all, per type, of its ten largest files, top-level and
     nested, and per depth."""
-    chunks, shape = store.chunks(collection), outlined(store, collection)
+    chunks, shape = store.chunks(collection), store.outline(collection)
+    if shape is None:  # depths alone need only the chunks that have children
+        depths = hierarchy.depth_histogram(chunks.select("id", "parent_id")).withColumnRenamed("nodes", "chunks")
+    else:
+        depths = shape.groupBy("depth").agg(F.count("*").alias("chunks"))
 
     def part(name: str, df: DataFrame, key: Column) -> DataFrame:
         return df.select(F.lit(name).alias("report"), key.cast("string").alias("key"), F.col("chunks").cast("long"))
@@ -187,6 +233,6 @@ def chunk_stats(store: IndexStore, collection: str) -> DataFrame:
         part("type", stats.chunks_per_type(chunks), F.col("type")),
         part("file", stats.top_files(chunks), F.col("path")),
         part("hierarchy", chunks.groupBy(level.alias("level")).agg(F.count("*").alias("chunks")), F.col("level")),
-        part("depth", shape.groupBy("depth").agg(F.count("*").alias("chunks")), F.col("depth")),
+        part("depth", depths, F.col("depth")),
     ]
     return reduce(DataFrame.unionByName, parts)

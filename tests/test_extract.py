@@ -14,6 +14,8 @@ from indexloom.operators.extract import (
     python_chunks,
     register_language,
 )
+from tests.conftest import SF_DIR
+from workload.inputs import item_modules
 
 
 def chunks(spark, *sources):
@@ -211,3 +213,10 @@ def test_one_very_long_line_takes_linear_time():
     names = [(class_name(line), function_name(line)) for line in lines]
     assert time.perf_counter() - start < 2
     assert names == [(None, None)] * 5 + [("A", None)]
+
+
+def test_line_items_are_dealt_out_before_they_are_sources(spark):
+    found = extract_chunks(item_modules(spark, SF_DIR))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "order line" in plan[: plan.index("Exchange")]

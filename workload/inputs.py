@@ -137,7 +137,11 @@ def item_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("    class Supplier"), supp, F.lit(":\n        def ship"), F.col("l_linenumber").cast("string"),
         F.lit("(self):\n            pass\n\n\ndef top"), supp, F.lit("():\n    return 1\n"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    # dealt out while rows are a few numbers, not the sources made of them
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"
+    )
+    return spread(items).select(
         F.concat(F.lit("items/"), item_name(), F.lit(".py")).alias("path"), content.alias("content")
     )
 

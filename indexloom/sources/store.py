@@ -31,6 +31,7 @@ from indexloom.operators.upsert import latest
 
 MAX_LITERAL_KEYS = 1000  # keys a lookup turns into literals
 FILE_BYTES = 128 * 1024 * 1024  # of a batch in one file
+ROW_BYTES = 100  # of a row beside its id, text and vector, as it is sorted
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 BROADCAST_ID_BYTES = 32 * 1024 * 1024  # of changed ids that readers broadcast; more are joined
 
@@ -209,29 +210,37 @@ class IndexStore:
 
     # writing
 
-    def _write(self, df: DataFrame, table: str, fields: list[T.StructField]) -> tuple[str, list[dict]]:
-        """A batch in a folder of its own, and what the log is to say of it, for each of its collections."""
+    def _write(self, df: DataFrame, table: str, fields: list[T.StructField], like: list[Batch] | None = None) -> tuple[str, list[dict]]:
+        """A batch in a folder of its own, and what the log is to say of it, for each of its collections.
+
+        The rows are counted first, to cut them into files that a task can sort. Those that are dear to make are made once:
+        they are cut like the batches `like`, which they come from, and counted when they are stored.
+        """
         names = [*self._columns[table].names, *[f.name for f in fields]]
-        text = F.coalesce(F.octet_length("content"), F.lit(0)) if "content" in df.columns else F.lit(0)
-        vector = 4 * F.coalesce(F.size("vector"), F.lit(0)) if "vector" in df.columns else F.lit(0)
-        about = df.groupBy("collection").agg(
-            F.count("*").alias("rows"),
-            F.sum(F.octet_length("id")).alias("id_bytes"),
-            F.sum(F.octet_length("id") + text + vector).alias("size"),
-        )
-        found = about.collect()  # one row for each collection that the batch touches
-        batch, rows = uuid.uuid4().hex, sum(r["rows"] for r in found)
+        counts = [F.count("*").alias("rows"), F.sum(F.octet_length("id")).alias("id_bytes")]
+        batch, keys = uuid.uuid4().hex, SORT_KEYS[table]
+        if like is None:
+            text = F.coalesce(F.octet_length("content"), F.lit(0)) if "content" in df.columns else F.lit(0)
+            vector = 4 * F.coalesce(F.size("vector"), F.lit(0)) if "vector" in df.columns else F.lit(0)
+            size = F.sum(F.octet_length("id") + text + vector + ROW_BYTES).alias("size")
+            found = df.groupBy("collection").agg(*counts, size).collect()  # one row for each collection that the batch touches
+            rows, held = sum(r["rows"] for r in found), sum(r["size"] for r in found)
+        else:
+            rows = sum(b.rows for b in like)
+            held = max(2 * ROW_BYTES * rows, 3 * sum(b.bytes for b in like))
         if not rows:
             return batch, []
-        files = max(1, math.ceil(sum(r["size"] for r in found) / FILE_BYTES))
-        keys = SORT_KEYS[table]
-        dealt = df.select(*names)
-        dealt = (dealt.repartitionByRange(files, *keys) if files > 1 else dealt.coalesce(1)).sortWithinPartitions(*keys)
-        writer = dealt.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES)
+        files = max(1, math.ceil(held / FILE_BYTES))
+        # one file as well is sorted by a task of its own, so that what makes the rows keeps its many tasks
+        dealt = df.select(*names).repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+        writer = dealt.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
         for key in BLOOM_KEYS[table]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
             writer = writer.option(f"parquet.bloom.filter.expected.ndv#{key}", math.ceil(rows / files))
         writer.parquet(self._folder(table, batch))
+        if like is not None:
+            found = self.spark.read.schema(self._columns[table]).parquet(self._folder(table, batch)).groupBy("collection").agg(*counts).collect()
+            rows = sum(r["rows"] for r in found)
         listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self._folder(table, batch))
         written_bytes = listed.agg(F.sum("length")).first()[0]
         return batch, [
@@ -353,7 +362,7 @@ class IndexStore:
     def put_outline(self, collection: str, rows: DataFrame) -> None:
         """Replace the outline of a collection; it belongs to the chunks as they are now."""
         old = self.batches("outline", collection)
-        made = self._write(self._aligned("outline", rows, collection), "outline", [])[1]
+        made = self._write(self._aligned("outline", rows, collection), "outline", [], self.batches("chunks", collection))[1]
         entries = [{"action": "add", "kind": "outline", **e} for e in made]
         self._commit(entries + [{"action": "remove", "table": "outline", "collection": collection, "batch": b.batch} for b in old])
 

@@ -262,6 +262,37 @@ def test_reports_on_a_stored_outline(spark, store):
     assert stats[("total", "all")] == 6 and stats[("depth", "1")] == 3 and stats[("file", "a.py")] == 4
 
 
+def test_questions_about_one_chunk_number_no_others(spark, store, monkeypatch):
+    source = "class A:\n    class B:\n        def g(self):\n            pass\n"
+    build.index_chunks(store, spark.createDataFrame([("a.py", source)], "path string, content string"), get_model("hash-64"))
+    leaf, middle = "a.py:method:g:2", "a.py:class:B:1"
+    above = [(r["id"], r["distance"]) for r in ask.chunk_ancestors(store, "chunks", leaf).collect()]
+    assert above == [(middle, 1), ("a.py:class:A:0", 2)]
+    shown = {(r["relation"], r["id"], r["distance"]) for r in ask.show_chunk(store, "chunks", middle).collect()}
+    assert shown == {("self", middle, 0), ("ancestor", "a.py:class:A:0", 1), ("child", leaf, 1)}
+    assert ask.show_chunk(store, "chunks", "nope").collect() == ask.chunk_ancestors(store, "chunks", "nope").collect() == []
+    stats = {(r["report"], r["key"]): r["chunks"] for r in ask.chunk_stats(store, "chunks").collect()}
+    assert stats[("depth", "0")] == stats[("depth", "1")] == stats[("depth", "2")] == 1
+    assert store.outline("chunks") is None
+    # too far down to climb: the outline gives the same
+    monkeypatch.setattr(ask, "LINE_STEPS", 1)
+    assert {(r["relation"], r["id"], r["distance"]) for r in ask.show_chunk(store, "chunks", middle).collect()} == shown
+    assert store.outline("chunks") is not None
+
+
+def test_what_makes_the_rows_of_a_small_batch_keeps_its_tasks(spark, store):
+    rows = vector_rows(spark, [f"i{k:03d}" for k in range(100)]).repartition(4).withColumn("content", F.spark_partition_id().cast("string"))
+    store.build("one", "m", 2, rows)
+    assert len({r["content"] for r in store.embeddings("one").collect()}) > 1
+    assert len(store.embeddings("one").inputFiles()) == 1
+
+
+def test_files_are_cut_by_what_their_rows_take_to_sort(spark, store, monkeypatch):
+    monkeypatch.setattr("indexloom.sources.store.FILE_BYTES", 5000)
+    store.build("one", "m", 2, vector_rows(spark, [f"i{k:03d}" for k in range(200)]))
+    assert len(store.embeddings("one").inputFiles()) >= 4 and store.embeddings("one").count() == 200
+
+
 def test_prefiltered_search_reads_what_qualifies(spark, store, files):
     model = get_model("hash-64")
     build.index_chunks(store, files, model)

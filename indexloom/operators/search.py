@@ -1,7 +1,7 @@
 """Exact top-k similarity search.
 
-Scores are cosine similarities of double-precision vectors, rounded to 12 decimals before they are
-ranked so that the order in which a product is summed cannot change a ranking; ties go to the smaller id.
+Scores are cosine similarities of double-precision vectors, summed from the first component to the last and rounded to 12
+decimals before they are ranked, so that equal vectors tie wherever they are stored; ties go to the smaller id.
 
 The corpus is scanned once and is never shuffled or broadcast. Each Arrow batch of vectors becomes one
 matrix product with the query matrix, and a task keeps only its running k best per query. Merging those
@@ -31,6 +31,7 @@ SCORE_DECIMALS = 12
 MAX_QUERY_BYTES = 32 * 1024 * 1024  # of vectors a task holds as its query matrix
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024  # of query vectors in one file of the streamed form
 CORPUS_BUFFER_BYTES = 128 * 1024 * 1024  # of corpus vectors that a task holds while queries pass by
+STREAM_ROWS = 8192  # query vectors compared at a time
 MERGE_WAYS = 16  # parts in which the hits of one query are cut down before they meet
 
 
@@ -45,15 +46,27 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column as a (rows, dim) double matrix of unit vectors; rows of no length become NaN."""
+    """A list column as a (rows, dim) double matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column.value_lengths().unique()) > 1 or column.null_count:
         raise ValueError("vectors that are compared must all have the same length")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("f8")
-    m = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of `a` and `b`, each summed from its first component to its last."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """To SCORE_DECIMALS, halves away from zero."""
+    scale = 10.0**SCORE_DECIMALS
+    return np.copysign(np.floor(np.abs(scores) * scale + 0.5), scores) / scale
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float | None) -> np.ndarray:
@@ -73,27 +86,41 @@ class _TopK:
 
     `floor` is the score an entry must reach to matter: the threshold, then the k-th best so far. Only
     entries at the floor (less a rounding margin) are looked at one by one, so after the first batches
-    nearly all work is the matrix product.
+    nearly all work is the matrix product. That only picks them: how it sums depends on where a row stands, so those it
+    picks are scored one sum after the other, and equal vectors have equal scores wherever they are.
     """
 
     def __init__(self, queries: np.ndarray, k: int, threshold: float | None):
-        self.queries, self.k, self.threshold = queries, k, threshold
+        self.raw, self.squares, self.k, self.threshold = queries, _dots(queries, queries), k, threshold
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.queries = queries / np.sqrt(self.squares)[:, None]
         self.floor = np.full(len(queries), -np.inf if threshold is None else threshold)
         self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, squares: np.ndarray | None = None) -> None:
+        """`squares`: the products of the vectors with themselves, where they are known."""
         if not len(ids):
             return
         if vectors.shape[1] != self.queries.shape[1]:
             raise ValueError(f"vectors have {vectors.shape[1]} dimensions, queries {self.queries.shape[1]}")
+        squares = _dots(vectors, vectors) if squares is None else squares
+        lengths = np.sqrt(squares)
         step = max(1, 4_000_000 // len(ids))  # queries per product, to keep the score matrix small
         for lo in range(0, len(self.queries), step):
             scores = self.queries[lo : lo + step] @ vectors.T
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores /= lengths
             q, i = np.nonzero(scores >= self.floor[lo : lo + step, None] - 10.0**-SCORE_DECIMALS)
             starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else []
             for s, e in zip(starts, np.r_[starts[1:], len(q)] if len(q) else []):
-                row, cols = q[s], i[s:e]
-                self._merge(lo + int(row), ids[cols], np.round(scores[row, cols], SCORE_DECIMALS))
+                row, cols = lo + int(q[s]), i[s:e]
+                near = scores[row - lo, cols]
+                if len(cols) > self.k:  # those that cannot be among the best need no exact score
+                    kth = np.partition(near, len(near) - self.k)[len(near) - self.k]
+                    cols = cols[near >= kth - 2 * 10.0**-SCORE_DECIMALS]
+                found = vectors[cols]
+                exact = _dots(found, np.broadcast_to(self.raw[row], found.shape)) / np.sqrt(squares[cols] * self.squares[row])
+                self._merge(row, ids[cols], _rounded(np.clip(exact, -1.0, 1.0)))
 
     def _merge(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
         if query in self.best:
@@ -135,8 +162,6 @@ def _scan_hits(corpus: DataFrame, queries: DataFrame, rows: list, k: int, thresh
     types = [to_arrow_type(schema[name].dataType) for name in ("query_id", "id")]
     query_ids = [r["query_id"] for r in rows]
     matrix = np.array([r["vector"] for r in rows], dtype="f8")
-    with np.errstate(invalid="ignore", divide="ignore"):
-        matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     shared = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,29 +191,35 @@ def _streamed_hits(corpus: DataFrame, queries: DataFrame, dim: int, k: int, thre
     buffer_rows = max(1, CORPUS_BUFFER_BYTES // (8 * dim))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def compared() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in held])
-            vectors = np.concatenate([_matrix(b.column("vector")) for b in held])
+        def compared(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+            squares = _dots(vectors, vectors)
             for file in files:
                 system, at = pafs.FileSystem.from_uri(file)
-                block = pq.read_table(at, filesystem=system, columns=["query_id", "vector"])
-                if block.num_rows:
-                    best = _TopK(_matrix(block.column("vector")), k, threshold)
-                    best.add(ids, vectors)
-                    yield pa.RecordBatch.from_pydict(best.found(block.column("query_id").to_pylist(), *types))
-
+                with pq.ParquetFile(at, filesystem=system) as stored:
+                    for block in stored.iter_batches(STREAM_ROWS, columns=["query_id", "vector"]):
+                        best = _TopK(_matrix(block.column("vector")), k, threshold)
+                        best.add(ids, vectors, squares)
+                        yield pa.RecordBatch.from_pydict(best.found(block.column("query_id").to_pylist(), *types))
+
+        # the buffer is the only large thing that a task holds: rows become doubles a batch at a time, in their place
+        ids, vectors, n = [], None, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= buffer_rows:
-                yield from compared()
-                held, n = [], 0
-        if held:
-            yield from compared()
+            done = 0
+            while done < batch.num_rows:
+                part = batch.slice(done, buffer_rows - n)
+                matrix = _matrix(part.column("vector"))
+                if vectors is None:
+                    vectors = np.empty((buffer_rows, matrix.shape[1]))
+                elif matrix.shape[1] != vectors.shape[1]:
+                    raise ValueError("vectors that are compared must all have the same length")
+                vectors[n : n + len(matrix)] = matrix
+                ids.append(part.column("id").to_numpy(zero_copy_only=False))
+                n, done = n + len(matrix), done + len(matrix)
+                if n == buffer_rows:
+                    yield from compared(np.concatenate(ids), vectors)
+                    ids, n = [], 0
+        if n:
+            yield from compared(np.concatenate(ids), vectors[:n])
 
     return spread(corpus.select("id", "vector")).mapInArrow(score, schema)
 

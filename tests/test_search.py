@@ -152,3 +152,27 @@ def test_vectors_are_not_shuffled(spark, vectors, tmp_path):
     assert below.count("Scan parquet") == 1 and "Exchange" not in below.replace("RoundRobin", "")[below.index("Scan") :]
     # hits of one query are merged in two steps
     assert plan.count("hashpartitioning(query_id") == 2 and "hashpartitioning(query_id" in plan and "_part" in plan
+
+
+def test_scores_do_not_depend_on_where_a_vector_stands():
+    from indexloom.operators.search import _TopK
+
+    draw = np.random.default_rng(3)
+    vectors, queries = draw.standard_normal((30_000, 64)).astype("f4").astype("f8"), draw.standard_normal((4, 64))
+    best = _TopK(queries, 30_000, None)
+    for lo in range(0, 30_000, 7_001):
+        best.add(np.arange(30_000)[lo : lo + 7_001], vectors[lo : lo + 7_001])
+
+    def summed(a, b):
+        total = np.zeros(len(a))
+        for j in range(64):
+            total += a[:, j] * b[j]
+        return total
+
+    squares = sum(vectors[:, j] * vectors[:, j] for j in range(64))
+    for q, query in enumerate(queries):
+        own = summed(query[None, :], query)[0]
+        expected = summed(vectors, query) / np.sqrt(squares * own)
+        ids, scores = best.best[q]
+        assert len(ids) == 30_000
+        assert np.array_equal(scores, np.copysign(np.floor(np.abs(expected) * 1e12 + 0.5), expected)[ids] / 1e12)

@@ -17,8 +17,8 @@ def file_metadata(path: Column, tokens: Column) -> Column:
     )
 
 
-def chunk_metadata(tokens: Column) -> Column:
-    """Metadata of an embedded chunk, from the chunk's own columns. A NULL parent is left out."""
+def chunk_metadata(tokens: Column, made: Column | None = None) -> Column:
+    """Metadata of an embedded chunk, from the chunk's own columns and the time it was made, or now. A NULL parent is left out."""
     full = F.create_map(
         F.lit("tokens"), tokens.cast("string"),
         F.lit("type"), F.col("type"),
@@ -27,7 +27,7 @@ def chunk_metadata(tokens: Column) -> Column:
         F.lit("start_line"), F.col("start_line").cast("string"),
         F.lit("end_line"), F.col("end_line").cast("string"),
         F.lit("parent_id"), F.col("parent_id"),
-        F.lit("timestamp"), F.current_timestamp().cast("string"),
+        F.lit("timestamp"), F.current_timestamp().cast("string") if made is None else made,
     )
     return F.map_filter(full, lambda _, v: v.isNotNull())
 

@@ -7,22 +7,22 @@ keys stay separate rows and no text is shuffled.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indexloom.session import spread
 
-BLANKS = re.compile("[ \t\n\r\f\x0b]+")
+KNOWN_TOKENS = 50_000  # whose slots a task remembers
+BATCH_CHARS = 1 << 22  # of texts that are encoded at a time, but for a single longer one
 Encoder = Callable[[list[str]], np.ndarray]
+VECTOR = T.ArrayType(T.FloatType(), False)
 
 
 @dataclass(frozen=True)
@@ -47,38 +47,53 @@ def get_model(name: str) -> Model:
     return _MODELS[name]
 
 
-def _with_vectors(rows: DataFrame, text: str, open_model: Callable[[], Encoder], batch_size: int) -> DataFrame:
-    """The rows with a non-null text and the vectors of their texts, `batch_size` texts at a time."""
-    rows = rows.drop("vector").filter(F.col(text).isNotNull())
-    at = rows.columns.index(text)
-    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType(), False))])
+def _stretches(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of at most `most` texts, and of BATCH_CHARS bytes where they are more than one."""
+    ends, lo = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while lo < len(texts):
+        held = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + most, int(np.searchsorted(ends, held + BATCH_CHARS, "right"))))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_vectors(rows: DataFrame, text: Column, open_model: Callable[[], Callable[[pa.Array], np.ndarray]], batch_size: int) -> DataFrame:
+    """The rows with a non-null text and the vectors of their texts, `batch_size` texts at a time.
+
+    Only the texts go to Python and only the vectors come back; the rest of a row stays where it is.
+    """
+
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = open_model()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, batch_size):
-                part = batch.slice(lo, batch_size)
-                vectors = np.asarray(encode(part.column(at).to_pylist()), dtype="f4")
-                ends = np.arange(len(vectors) + 1, dtype="i4") * vectors.shape[1]
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)
+        for texts in batches:
+            found = [np.asarray(encode(part), dtype="f4") for part in _stretches(texts, batch_size)]
+            flat = pa.array(np.concatenate([x.ravel() for x in found]) if found else np.zeros(0, "f4"))
+            ends = np.cumsum([0, *(x.shape[1] for x in found for _ in range(len(x)))], dtype="i4")
+            yield pa.ListArray.from_arrays(pa.array(ends), flat)
 
-    return spread(rows).mapInArrow(run, schema)
+    # not deterministic as far as the planner knows: it must not run the model again for a filter on what comes of a vector
+    embed = F.arrow_udf(vectors, VECTOR).asNondeterministic()
+    return spread(rows.drop("vector").filter(text.isNotNull())).withColumn("vector", embed(text))
 
 
-def _hashing(dim: int) -> Encoder:
-    @lru_cache(maxsize=200_000)
+def _hashing(dim: int) -> Callable[[pa.Array], np.ndarray]:
+    known: dict[str, tuple[int, int]] = {}
+
     def slot(token: str) -> tuple[int, int]:
-        digest = hashlib.md5(token.encode()).hexdigest()
-        return int(digest[:8], 16) % dim, -1 if digest[-1] >= "8" else 1
-
-    def encode(texts: list[str]) -> np.ndarray:
-        counts = np.zeros((len(texts), dim))
-        for row, text in zip(counts, texts, strict=True):
-            for token, n in Counter(BLANKS.split(text)).items():
-                if token:
-                    at, sign = slot(token)
-                    row[at] += sign * n
+        if token not in known:
+            digest = hashlib.md5(token.encode()).hexdigest()
+            if len(known) >= KNOWN_TOKENS:
+                known.clear()
+            known[token] = int(digest[:8], 16) % dim, (-1 if digest[-1] >= "8" else 1) if token else 0
+        return known[token]
+
+    def encode(texts: pa.Array) -> np.ndarray:
+        words = pc.ascii_split_whitespace(texts)  # at blanks, tabs, \n, \r, \f and \v; ends in an empty token after a last one
+        tokens = words.flatten().dictionary_encode()
+        slots = np.array([slot(t) for t in tokens.dictionary.to_pylist()], dtype="i8").reshape(-1, 2)
+        rows = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))
+        at, sign = slots[tokens.indices.to_numpy(zero_copy_only=False)].T
+        counts = np.bincount(rows * dim + at, weights=sign.astype("f8"), minlength=len(texts) * dim).astype("f8", copy=False).reshape(-1, dim)
         norms = np.sqrt((counts**2).sum(axis=1, keepdims=True))
         return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
 
@@ -90,8 +105,7 @@ def hashed_vectors(rows: DataFrame, text: str, dim: int = 64) -> DataFrame:
 
     A text without tokens gets the zero vector. Texts are lower-cased by Spark, for the same result as its SQL.
     """
-    lowered = rows.withColumn("__lowered", F.lower(text))
-    return _with_vectors(lowered, "__lowered", lambda: _hashing(dim), 1024).drop("__lowered")
+    return _with_vectors(rows, F.lower(text), lambda: _hashing(dim), 1024)
 
 
 def hashing_model(dim: int = 64) -> Model:
@@ -100,7 +114,12 @@ def hashing_model(dim: int = 64) -> Model:
 
 def batched_model(name: str, dim: int, open_model: Callable[[], Encoder], batch_size: int = 64) -> Model:
     """A model called from Python: `open_model` runs once per task and returns texts -> (n, dim) array."""
-    return Model(name, dim, lambda rows, text: _with_vectors(rows, text, open_model, batch_size))
+
+    def opened() -> Callable[[pa.Array], np.ndarray]:
+        encode = open_model()
+        return lambda texts: encode(texts.to_pylist())
+
+    return Model(name, dim, lambda rows, text: _with_vectors(rows, F.col(text), opened, batch_size))
 
 
 register_model(hashing_model(64))

@@ -71,15 +71,15 @@ def index_files(
         "content",
         file_metadata(F.col("path"), count_tokens(F.col("content"))).alias("metadata"),
     )
-    embedded = written(embed_entries(rows, model), "files-embedded").withColumn("path", F.col("id"))
-    store.build(collection, model.name, model.dim, embedded, force=force)
+    entries = written(rows, "files-kept").withColumn("path", F.col("id"))
+    store.build(collection, model.name, model.dim, entries, force=force, finish={"embeddings": lambda rows: embed_entries(rows, model)})
     return file_status(files).select("path", "status")
 
 
 def chunk_rows(files: DataFrame, count_tokens: Callable[[Column], Column] = word_token_count) -> DataFrame:
-    """Chunks of all supported files, blank ones left out, with metadata."""
+    """Chunks of all supported files, blank ones left out, with what else their metadata is made of."""
     chunks = not_blank(extract_chunks(files))
-    return chunks.withColumn("metadata", chunk_metadata(count_tokens(F.col("content"))))
+    return chunks.withColumns({"tokens": count_tokens(F.col("content")), "made": F.current_timestamp().cast("string")})
 
 
 def index_chunks(
@@ -97,9 +97,9 @@ def index_chunks(
     at least one of its chunks was stored, else `error`.
     """
     store.require_free(collection, force)
-    supported, embedded = _embedded_chunks(files, model, count_tokens, order)
-    store.build(collection, model.name, model.dim, _entries(embedded), embedded.drop("vector"), force)
-    return _chunk_status(supported, embedded)
+    supported, chunks = _chunks(files, count_tokens, order)
+    store.build(collection, model.name, model.dim, chunks.drop("decorators"), chunks, force, _finish(model))
+    return _chunk_status(supported, chunks)
 
 
 def add_chunks(
@@ -115,30 +115,32 @@ def add_chunks(
     Of a repeated path the last version by the columns `order` counts. Chunks are inserted or replaced, and those
     that a path had before and has no more are removed.
     """
-    supported, embedded = _embedded_chunks(files, model, count_tokens, order)
+    supported, chunks = _chunks(files, count_tokens, order)
     # chunks are sorted by path, so few paths read few files
     known = store.lookup("chunks", collection, supported, "path").select("id")
-    gone = written(known.join(embedded.select("id"), "id", "left_anti"), "chunks-gone")
-    store.upsert(collection, _entries(embedded), embedded.drop("vector"), gone=gone)
-    return _chunk_status(supported, embedded)
+    gone = written(known.join(chunks.select("id"), "id", "left_anti"), "chunks-gone")
+    store.upsert(collection, chunks.drop("decorators"), chunks, gone=gone, finish=_finish(model))
+    return _chunk_status(supported, chunks)
 
 
-def _embedded_chunks(
-    files: DataFrame, model: Model, count_tokens: Callable[[Column], Column], order: list[str] | None
-) -> tuple[DataFrame, DataFrame]:
-    """Paths in a supported language and all their chunks with vectors, both as tables."""
+def _chunks(files: DataFrame, count_tokens: Callable[[Column], Column], order: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Paths in a supported language and all their chunks, both as tables."""
     supported = detect_language(files).filter(F.col("language").isNotNull())
     last = written(last_versions(supported.select("path", "content", *(order or [])), order), "files-last")
-    return last, written(embed_entries(chunk_rows(last, count_tokens), model), "chunks-embedded")
+    return last, written(chunk_rows(last, count_tokens), "chunks-cut")
 
 
-def _entries(embedded: DataFrame) -> DataFrame:
-    """Vectors of chunks, with what a search can be restricted by."""
-    return embedded.select("id", "vector", "content", "metadata", "type", "path", "parent_id")
+def _finish(model: Model) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """What chunks get as they are stored. Vectors and metadata are many times a chunk's other columns, so they are made last."""
 
+    def described(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("metadata", chunk_metadata(F.col("tokens"), F.col("made")))
 
-def _chunk_status(supported: DataFrame, embedded: DataFrame) -> DataFrame:
-    stored = embedded.groupBy("path").agg(F.count("*").alias("chunks"))
+    return {"embeddings": lambda rows: described(embed_entries(rows, model)), "chunks": described}
+
+
+def _chunk_status(supported: DataFrame, chunks: DataFrame) -> DataFrame:
+    stored = chunks.groupBy("path").agg(F.count("*").alias("chunks"))
     return supported.select("path").join(stored, "path", "left").select(
         "path",
         F.when(F.col("chunks") > 0, "ok").otherwise("error").alias("status"),

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
@@ -28,9 +30,11 @@ from indexloom import schemas
 from indexloom.errors import CollectionExists, CollectionNotFound, IndexNotFound, ModelMismatch
 from indexloom.functions.text import human_size
 from indexloom.operators.upsert import latest
+from indexloom.session import written
 
 MAX_LITERAL_KEYS = 1000  # keys a lookup turns into literals
 FILE_BYTES = 128 * 1024 * 1024  # of a batch in one file
+FINISH_BYTES = 1024 * 1024  # of rows that are worth a task of their own where they are finished as they are stored
 ROW_BYTES = 100  # of a row beside its id, text and vector, as it is sorted
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 BROADCAST_ID_BYTES = 32 * 1024 * 1024  # of changed ids that readers broadcast; more are joined
@@ -54,6 +58,7 @@ _LOG = T.StructType(
         T.StructField("updated", T.TimestampType()),
     ]
 )
+Finish = dict[str, Callable[[DataFrame], DataFrame]]  # by table
 _VERSION, _GONE = T.StructField("version", T.LongType()), T.StructField("gone", T.BooleanType())
 
 
@@ -71,6 +76,17 @@ class Batch:
     version: int
 
 
+@dataclass(frozen=True)
+class _Rows:
+    """What a batch is made of: rows, what adds the columns they lack (vectors of `dim` numbers among them), and ids that are
+    removed, which are little more than their ids and have files of their own."""
+
+    df: DataFrame
+    finish: Callable[[DataFrame], DataFrame] | None = None
+    dim: int = 0
+    gone: tuple[DataFrame, ...] = ()
+
+
 class IndexStore:
     """Reader and writer of one index. One writer at a time; readers need not wait for it."""
 
@@ -178,9 +194,11 @@ class IndexStore:
         base, deltas = own("base", []), [b for b in batches if b.kind == "delta"]
         if not deltas:
             return base
-        rest = [F.col(c) for c in [*schema.names[2:], "gone"]]  # all but the keys
-        last = own("delta", [_VERSION, _GONE]).groupBy("collection", "id").agg(F.max_by(F.struct(*rest), "version").alias("row"))
-        last = last.select("collection", "id", "row.*")
+        last = own("delta", [_VERSION, _GONE])
+        if max(Counter(b.collection for b in deltas).values()) > 1:  # a delta has an id once
+            rest = [F.col(c) for c in [*schema.names[2:], "gone"]]  # all but the keys
+            last = last.groupBy("collection", "id").agg(F.max_by(F.struct(*rest), "version").alias("row"))
+            last = last.select("collection", "id", "row.*")
         changed = last.select("collection", "id")
         if sum(b.id_bytes for b in deltas) <= BROADCAST_ID_BYTES:
             changed = F.broadcast(changed)
@@ -210,18 +228,30 @@ class IndexStore:
 
     # writing
 
-    def _write(self, df: DataFrame, table: str, fields: list[T.StructField], like: list[Batch] | None = None) -> tuple[str, list[dict]]:
-        """A batch in a folder of its own, and what the log is to say of it, for each of its collections.
+    def _write(self, new: DataFrame | _Rows, table: str, fields: list[T.StructField], like: list[Batch] | None = None) -> tuple[str, list[dict]]:
+        """A batch in a folder of its own, and what the log is to say of it, for each of its collections."""
+        new, batch = new if isinstance(new, _Rows) else _Rows(new), uuid.uuid4().hex
+        made = self._write_part(new, table, fields, batch, like, 0)
+        for ids in new.gone:
+            made += self._write_part(_Rows(ids), table, fields, batch, None, sum(e["bytes"] for e in made))
+        return batch, _by_collection(made)
+
+    def _write_part(
+        self, new: _Rows, table: str, fields: list[T.StructField], batch: str, like: list[Batch] | None, before: int
+    ) -> list[dict]:
+        """Rows in files of a batch that holds `before` bytes already.
 
         The rows are counted first, to cut them into files that a task can sort. Those that are dear to make are made once:
-        they are cut like the batches `like`, which they come from, and counted when they are stored.
+        they are cut like the batches `like`, which they come from, and counted when they are stored. Columns that the rows lack
+        are added when they are cut and sorted, so that vectors are made once and go from there into the file.
         """
+        df, finish = new.df, new.finish
         names = [*self._columns[table].names, *[f.name for f in fields]]
         counts = [F.count("*").alias("rows"), F.sum(F.octet_length("id")).alias("id_bytes")]
-        batch, keys = uuid.uuid4().hex, SORT_KEYS[table]
+        keys = SORT_KEYS[table]
         if like is None:
             text = F.coalesce(F.octet_length("content"), F.lit(0)) if "content" in df.columns else F.lit(0)
-            vector = 4 * F.coalesce(F.size("vector"), F.lit(0)) if "vector" in df.columns else F.lit(0)
+            vector = 4 * F.coalesce(F.size("vector"), F.lit(0)) if "vector" in df.columns else F.lit(4 * new.dim)
             size = F.sum(F.octet_length("id") + text + vector + ROW_BYTES).alias("size")
             found = df.groupBy("collection").agg(*counts, size).collect()  # one row for each collection that the batch touches
             rows, held = sum(r["rows"] for r in found), sum(r["size"] for r in found)
@@ -229,11 +259,14 @@ class IndexStore:
             rows = sum(b.rows for b in like)
             held = max(2 * ROW_BYTES * rows, 3 * sum(b.bytes for b in like))
         if not rows:
-            return batch, []
+            return []
         files = max(1, math.ceil(held / FILE_BYTES))
+        if finish is not None:
+            files = max(files, min(2 * self.spark.sparkContext.defaultParallelism, math.ceil(held / FINISH_BYTES)))
         # one file as well is sorted by a task of its own, so that what makes the rows keeps its many tasks
-        dealt = df.select(*names).repartitionByRange(files, *keys).sortWithinPartitions(*keys)
-        writer = dealt.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
+        dealt = (df if finish else df.select(*names)).repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+        dealt = finish(dealt).select(*names) if finish else dealt
+        writer = dealt.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
         for key in BLOOM_KEYS[table]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
             writer = writer.option(f"parquet.bloom.filter.expected.ndv#{key}", math.ceil(rows / files))
@@ -242,8 +275,8 @@ class IndexStore:
             found = self.spark.read.schema(self._columns[table]).parquet(self._folder(table, batch)).groupBy("collection").agg(*counts).collect()
             rows = sum(r["rows"] for r in found)
         listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self._folder(table, batch))
-        written_bytes = listed.agg(F.sum("length")).first()[0]
-        return batch, [
+        written_bytes = listed.agg(F.sum("length")).first()[0] - before
+        return [
             {"table": table, "collection": r["collection"], "batch": batch, "rows": r["rows"], "id_bytes": r["id_bytes"], "bytes": written_bytes * r["rows"] // rows}
             for r in found
         ]
@@ -270,14 +303,19 @@ class IndexStore:
         embeddings: DataFrame | None = None,
         chunks: DataFrame | None = None,
         force: bool = False,
+        finish: Finish | None = None,
     ) -> None:
-        """Register a collection together with the rows it begins with: readers see both or neither."""
+        """Register a collection together with the rows it begins with: readers see both or neither.
+
+        `finish` has, for a table, what adds the columns that its rows still lack, as vectors. It takes the rows as they are
+        cut into files and sorted, may read any of their columns, and adds and drops no row.
+        """
         self.require_free(collection, force)
         entries = [{"action": "reset"}] if force else []
         entries.append({"action": "create", "collection": collection, "model": model, "dim": dim})
         for table, new in (("embeddings", embeddings), ("chunks", chunks)):
             if new is not None:
-                made = self._write(self._aligned(table, new, collection), table, [])[1]
+                made = self._write(_Rows(self._aligned(table, new, collection), (finish or {}).get(table), dim), table, [])[1]
                 entries += [{"action": "add", "kind": "base", **e} for e in made]
         self._commit(entries)
 
@@ -289,37 +327,38 @@ class IndexStore:
         order: list[str] | None = None,
         gone: DataFrame | None = None,
         global_ids: bool = False,
+        finish: Finish | None = None,
     ) -> None:
         """Insert or replace by id, and remove the ids of `gone`, in one commit for both tables.
 
         `embeddings`: id, vector, content, metadata, and perhaps type, path and parent_id; `chunks`: the chunk columns
         without collection and updated. `order` names columns that tell which repetition of an id is last; without it
         ids are unique. An id in `gone` that comes again stays. With `global_ids` an id lives in one collection: storing
-        it here removes it from all others. The tables are read more than once, so give tables rather than computations.
+        it here removes it from all others. `finish` as in `build`. The tables are read more than once, so give tables rather
+        than computations.
         """
-        self._entry(collection)
+        dim = self._entry(collection)["dim"]
         version, entries = self._version() + 1, []
         for table, new in (("embeddings", embeddings), ("chunks", chunks)):
             if new is None:
                 continue
             rows = self._aligned(table, latest(new, ["id"], order) if order else new, collection)
             live = self.batches(table)
-            first = not any(b.collection == collection for b in live)
+            first, removed = not any(b.collection == collection for b in live), []
             if first and not global_ids:
                 kind, fields = "base", []
             else:
                 kind, fields = "delta", [_VERSION, _GONE]
-                rows = rows.withColumn("gone", F.lit(False))
-                removed = []
+                rows = rows.withColumn("gone", F.lit(False)).withColumn("version", F.lit(version).cast("long"))
                 if gone is not None:
                     removed.append(gone.select(F.lit(collection).alias("collection"), "id").join(new.select("id"), "id", "left_anti"))
                 if global_ids:
                     known = self._merged(table, live, None).select("collection", "id").filter(F.col("collection") != collection)
                     removed.append(known.join(new.select("id"), "id", "left_semi"))
-                for ids in removed:
-                    rows = rows.unionByName(self._tombstones(table, ids.select("collection", "id").distinct()), allowMissingColumns=True)
-                rows = rows.withColumn("version", F.lit(version).cast("long"))
-            entries += [{"action": "add", "kind": kind, **e} for e in self._write(rows, table, fields)[1]]
+            ids = [written(df.select("collection", "id").distinct(), "ids-removed") for df in removed]
+            dead = tuple(self._tombstones(table, df).withColumn("version", F.lit(version).cast("long")) for df in ids)
+            made = self._write(_Rows(rows, (finish or {}).get(table), dim, dead), table, fields)[1]
+            entries += [{"action": "add", "kind": kind, **e} for e in made]
         if entries:
             self._commit(entries)
 
@@ -401,6 +440,16 @@ class IndexStore:
         return made.withColumn("size", human_size(F.col("bytes")))
 
 
+def _by_collection(made: list[dict]) -> list[dict]:
+    """What the log is to say of a batch that was written in several parts: one entry for each collection."""
+    found: dict[str, dict] = {}
+    for part in made:
+        own = found.setdefault(part["collection"], {**part, "rows": 0, "id_bytes": 0, "bytes": 0})
+        for number in ("rows", "id_bytes", "bytes"):
+            own[number] += part[number]
+    return list(found.values())
+
+
 def write_json(results: DataFrame, path: str) -> None:
     """Results as JSON lines; NULL fields are left out."""
     results.write.mode("errorifexists").json(path)

@@ -12,6 +12,7 @@ from indexloom.operators.embed import batched_model, get_model, hashing_model
 from indexloom.operators.upsert import latest, upsert
 from indexloom.plans import ask, build
 from indexloom.schemas import FILES
+from indexloom.session import written
 from indexloom.sources.files import read_files, scan_files, walk
 from indexloom.sources.store import IndexStore, write_json
 from indexloom.sources.tree import OPEN_BYTES, TreeReader, planned, register
@@ -338,6 +339,33 @@ def test_an_edited_file_loses_its_former_chunks(spark, store, files):
     assert store.chunks("odd/name=1 +%").count() == 0 == store.embeddings("odd/name=1 +%").count()
 
 
+def test_vectors_and_metadata_are_made_where_they_are_stored(spark, store, files, monkeypatch):
+    kept = []
+    monkeypatch.setattr(build, "written", lambda df, label: kept.append(df.columns) or written(df, label))
+    build.index_chunks(store, files, get_model("hash-64"))
+    build.index_files(store, files, get_model("hash-64"), "whole")
+    assert kept and not any("vector" in columns for columns in kept)
+    edited = spark.createDataFrame([("a.py", "\nclass A:\n  def f(x): return 1\n\n")], "path string, content string")
+    build.add_chunks(store, edited, get_model("hash-64"), "chunks")
+    assert "max_by" not in store.embeddings("chunks")._jdf.queryExecution().toString()  # one delta has an id once
+    chunks = {r["id"]: r for r in store.chunks("chunks").collect()}
+    entries = {r["id"]: r for r in store.embeddings("chunks").collect()}
+    assert set(chunks) == set(entries) == {"a.py:class:A:1", "a.py:method:f:2", "b.py:function:g:0"}
+    for id_, row in entries.items():
+        assert len(row["vector"]) == 64 and row["metadata"] == chunks[id_]["metadata"] and row["metadata"]["path"] == row["path"]
+        assert row["metadata"].get("parent_id") == row["parent_id"] and row["metadata"]["start_line"] == str(chunks[id_]["start_line"])
+    stored = sum(os.path.getsize(p) for p in Path(store.root, "chunks").rglob("*.parquet"))
+    assert abs(stored - sum(b.bytes for b in store.batches("chunks"))) < 10
+
+
+def test_a_column_of_the_order_is_held_once(spark):
+    rows = [("a", "x", 1, None), ("a", "y", 1, "e"), ("a", "z", 0, "e"), ("b", None, None, None), (None, "w", 2, None)]
+    found = build.last_versions(spark.createDataFrame(rows, "path string, content string, version int, error string"), ["version"])
+    assert "max_by" not in found._jdf.queryExecution().toString()
+    assert found.columns == ["path", "content", "version", "error"]
+    assert {tuple(r) for r in found.collect()} == {("a", "y", 1, "e"), ("b", None, None, None), (None, "w", 2, None)}
+
+
 def test_a_failed_build_registers_nothing(spark, store, files):
     def broken():
         raise RuntimeError("no model")

@@ -12,7 +12,7 @@ from indexloom.operators.search import search
 from indexloom.operators.upsert import upsert
 from indexloom.plans.ask import query_chunks, query_files
 from indexloom.plans.build import add_chunks, index_chunks, index_files
-from indexloom.session import scratch_path
+from indexloom.session import scratch_path, written
 from indexloom.sources.files import read_files, scan_files
 from indexloom.sources.store import IndexStore
 from workload.extract_queries import CHUNK_ID_SQL, DEFS_SQL
@@ -194,7 +194,7 @@ def collection_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source indexed, then ingested again in two versions, the later one with all its lines moved down by one."""
     store, model = IndexStore(spark, scratch_path(spark, "store")), get_model("hash-64")
-    sources = modules(spark, sf_dir).select("path", "content")
+    sources = written(modules(spark, sf_dir).select("path", "content"), "sources")  # read three times
     index_chunks(store, sources, model)
     edited = sources.select("path", F.concat(F.lit("# edited\n"), "content").alias("content"), F.lit(2).alias("version"))
     add_chunks(store, edited.unionByName(sources.withColumn("version", F.lit(1))), model, "chunks", order=["version"])

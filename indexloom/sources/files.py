@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -22,24 +23,39 @@ from indexloom.operators.scan import MAX_KB, PRUNED_DIRECTORIES, select_files
 from indexloom.session import written
 from indexloom.sources.tree import OPEN_BYTES, PARTITION_BYTES
 
-READ_BATCH_BYTES = 16 * 1024 * 1024
+READ_BATCH_BYTES = 16 * 1024 * 1024  # that a task reads in parallel with others
+HELD_BYTES = 4 * 1024 * 1024  # of contents that a task holds at a time, but for a single longer one
+LISTED_ROWS = 4096  # entries of a directory that a task holds at a time
 _ENTRY = "path string, length long, is_dir boolean"
 
 
+def _entries(directory: str) -> Iterator[tuple[str, int, bool]]:
+    """Path, length and kind of what is in a directory. A local one is read as it goes, whatever it holds; elsewhere the
+    file system gives a listing in one piece."""
+    system, base = pafs.FileSystem.from_uri(directory)
+    within = directory.rstrip("/")
+    if system.type_name != "local":
+        for info in system.get_file_info(pafs.FileSelector(base)):
+            yield f"{within}/{info.base_name}", info.size or 0, info.type == pafs.FileType.Directory
+        return
+    with os.scandir(base) as found:
+        for entry in found:
+            if entry.is_dir():
+                if not entry.is_symlink():  # linked directories are not entered: they may lead back up
+                    yield f"{within}/{entry.name}", 0, True
+                continue
+            try:
+                length = entry.stat().st_size
+            except OSError:  # a link to nothing, or gone since
+                length = 0
+            yield f"{within}/{entry.name}", length, False
+
+
 def _list_directories(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for directory in frame["path"]:
-            system, base = pafs.FileSystem.from_uri(directory)
-            found = system.get_file_info(pafs.FileSelector(base))
-            if system.type_name == "local":  # linked directories are not entered: they may lead back up
-                found = [i for i in found if i.type != pafs.FileType.Directory or not os.path.islink(i.path)]
-            yield pd.DataFrame(
-                {
-                    "path": [f"{directory.rstrip('/')}/{info.base_name}" for info in found],
-                    "length": [info.size or 0 for info in found],
-                    "is_dir": [info.type == pafs.FileType.Directory for info in found],
-                }
-            )
+            for some in batched(_entries(directory), LISTED_ROWS):
+                yield pd.DataFrame(list(some), columns=["path", "length", "is_dir"])
 
 
 def walk(spark: SparkSession, root: str, pruned: tuple[str, ...] = PRUNED_DIRECTORIES) -> DataFrame:
@@ -87,7 +103,7 @@ def _read_batches(root: str):
                 except OSError as error:
                     rows.append((path, length, None, str(error)))
                 held += length
-                if held >= READ_BATCH_BYTES:
+                if held >= HELD_BYTES:
                     yield pd.DataFrame(rows, columns=["path", "length", "raw", "error"])
                     rows, held = [], 0
             if rows:

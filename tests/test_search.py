@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from indexloom.operators import search as S
+from indexloom.operators import embed
 from indexloom.operators.embed import batched_model, get_model, hashed_vectors
 
 
@@ -176,3 +177,13 @@ def test_scores_do_not_depend_on_where_a_vector_stands():
         ids, scores = best.best[q]
         assert len(ids) == 30_000
         assert np.array_equal(scores, np.copysign(np.floor(np.abs(expected) * 1e12 + 0.5), expected)[ids] / 1e12)
+
+
+def test_texts_are_encoded_in_stretches_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(embed, "BATCH_CHARS", 10)
+    texts = pa.array(["x" * 25, "y", None, "", "z" * 9, "w", "v"]).slice(0, 7).drop_null()
+    assert [part.to_pylist() for part in embed._stretches(texts, 3)] == [["x" * 25], ["y", "", "z" * 9], ["w", "v"]]
+    texts = ["a b\tb\x1cc ", " \n", "\x85 d\x0be\x0cA"]
+    own = embed._hashing(16)(pa.array(["q", *texts]).slice(1))
+    monkeypatch.setattr(embed, "KNOWN_TOKENS", 1)
+    assert np.array_equal(own, embed._hashing(16)(pa.array(texts))) and not own[1].any()

@@ -2,6 +2,7 @@ import os
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from indexloom.operators.upsert import latest, upsert
 from indexloom.plans import ask, build
 from indexloom.schemas import FILES
 from indexloom.session import written
+from indexloom.sources import files as source_files
 from indexloom.sources.files import read_files, scan_files, walk
 from indexloom.sources.store import IndexStore, write_json
 from indexloom.sources.tree import OPEN_BYTES, TreeReader, planned, register
@@ -476,3 +478,21 @@ def test_walk_does_not_enter_linked_directories(spark, tmp_path):
     (tmp_path / "y").symlink_to(tmp_path / "x")
     (tmp_path / "x" / "up").symlink_to(tmp_path)
     assert [r["path"] for r in walk(spark, str(tmp_path)).collect()] == [f"{tmp_path}/x/a.py"]
+
+
+def test_a_directory_is_listed_and_read_in_parts(tmp_path, monkeypatch):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "lost").symlink_to(tmp_path / "nothing")
+    (tmp_path / "linked").symlink_to(tmp_path / "sub")
+    for i in range(25):
+        (tmp_path / f"{i}.txt").write_text("x" * i)
+    monkeypatch.setattr(source_files, "LISTED_ROWS", 10)
+    parts = list(source_files._list_directories(iter([pd.DataFrame({"path": [f"file://{tmp_path}"]})])))
+    assert [len(part) for part in parts] == [10, 10, 7]
+    found = {tuple(row) for part in parts for row in part.itertuples(index=False)}
+    own = {(f"file://{tmp_path}/{i}.txt", i, False) for i in range(25)}
+    assert found == own | {(f"file://{tmp_path}/sub", 0, True), (f"file://{tmp_path}/lost", 0, False)}
+    monkeypatch.setattr(source_files, "HELD_BYTES", 100)
+    listed = pd.DataFrame({"path": [f"{i}.txt" for i in range(25)], "length": range(25)})
+    read = list(source_files._read_batches(f"file://{tmp_path}")(iter([listed])))
+    assert all(sum(part["length"]) < 100 + 25 for part in read) and [len(x) for part in read for x in part["raw"]] == list(range(25))

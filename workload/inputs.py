@@ -57,10 +57,10 @@ def file_folder(spark: SparkSession, sf_dir: str) -> str:
     def put(batches):
         system, base = pafs.FileSystem.from_uri(root)
         for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, raw in zip(batch.column(0), batch.column(1), strict=True):  # a row at a time
                 system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(f"{base}/{path}") as out:
-                    out.write(raw or b"")
+                    out.write(raw.as_buffer() or b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     spread(rows).mapInArrow(put, "n long").agg(F.sum("n")).collect()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from indexloom.errors import HierarchyCycle
 from indexloom.operators import filters, hierarchy
 from indexloom.operators.ordering import placed
+from indexloom.operators.packed import dealt, in_ranges
 from indexloom.session import written
 
 
@@ -168,6 +169,40 @@ def test_outline_of_parents_with_many_blocks_of_children(spark, monkeypatch):
     assert {r["id"]: (r["first"], r["last"], r["depth"], r["position"], r["orphaned"]) for r in shape} == brute_outline(edges)
 
 
+def test_whole_rows_of_a_tree_are_shuffled_as_packed_columns(spark):
+    tree = hierarchy.tree(hierarchy.outline(forest(spark, EDGES[:4] + EDGES[6:])))
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert [r["first"] for r in tree.collect()] == list(range(1, 6)), plan
+
+
+def test_an_outline_keeps_columns_of_any_type(spark):
+    more = [
+        "map('k', name) AS kinds", "array(name, NULL) AS names", "array(1.5D) AS numbers", "timestamp_seconds(start_line) AS at",
+        "start_line = 1 AS flag", "CAST(NULL AS INT) AS none", "struct(id, end_line) AS both", "CAST(start_line AS DECIMAL(9, 2)) AS amount",
+        "date_add(DATE'2020-01-01', start_line) AS day", "encode(name, 'utf-8') AS raw", "IF(start_line = 2, NULL, name) AS part",
+    ]
+    nodes = forest(spark, EDGES).selectExpr("*", *more)
+    shape = hierarchy.outline(nodes)
+    assert [f.dataType for f in shape.schema][: len(nodes.columns)] == [f.dataType for f in nodes.schema]
+    for rows in (shape, hierarchy.tree(shape, orphans_as_roots=True)):
+        assert sorted(rows.select(*nodes.columns).collect(), key=lambda r: r["id"]) == sorted(nodes.collect(), key=lambda r: r["id"])
+
+
+def test_ranges_of_packed_rows(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([None, "", "a", "\u00e9", "z", "Z"]), draw.choice([None, -3, 0, 7]), i, [None, {"k": "v"}][i % 2]) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, n int, i long, m map<string,string>").repartition(5)
+    for parts in (1, 7):
+        out = in_ranges(df, ["g", "n", "i"], parts, 900).withColumn("p", F.spark_partition_id()).collect()
+        expected = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1] is not None, r[1] or 0, r[2]))
+        assert [(r["g"], r["n"], r["i"], r["m"]) for r in out] == expected
+        sizes = [sum(r["p"] == p for r in out) for p in range(parts)]
+        assert [r["p"] for r in out] == sorted(r["p"] for r in out) and max(sizes) < 2 * 900 / parts
+    out = dealt(df, F.col("i") % 3, 4).withColumn("p", F.spark_partition_id()).collect()
+    assert all(r["p"] == r["i"] % 3 for r in out) and sorted(r["i"] for r in out) == list(range(900))
+
+
 def test_filters(spark):
     df = forest(spark, [("a", None), ("b", "a")]).withColumn("path", F.when(F.col("id") == "a", r"x\Y.py").otherwise("xy_.py"))
     assert [r["id"] for r in filters.path_like(df, "\\y").collect()] == ["a"]

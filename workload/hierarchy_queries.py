@@ -198,8 +198,8 @@ def chunk_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
         || CAST(end_line AS VARCHAR) || ')' AS label FROM numbered""",
 )
 def chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole forest in pre-order."""
-    shape = hierarchy.outline(stored_nodes(spark, sf_dir))
+    """The whole forest in pre-order. An outline stores what it reads again itself."""
+    shape = hierarchy.outline(nodes(spark, sf_dir))
     return hierarchy.tree(shape).select(*hierarchy.NODE, "level", "first", "label")
 
 

@@ -21,17 +21,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 PACK_BYTES = 64 * 1024 * 1024  # of rows that a task cuts at once
 PART_ROWS = 500_000  # of a partition, at most, where the number of rows is known
 LEAST_ROWS = 50_000  # that are worth a partition of their own
+PART_BYTES = 32 * 1024 * 1024  # of a partition, as stored, where the planner knows its size
 SAMPLE = 100  # rows looked at for each partition to find where ranges begin
-NUMBERED = "numbered"  # in the metadata of a column of numbers from 1: how many rows the table has
+NUMBERED, PARTS = "numbered", "parts"  # in the metadata of a column of numbers from 1: the table's rows, and partitions for them
 
 Batches = Iterator[pa.RecordBatch]
 Assign = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]  # rows in the order of their partitions, and those partitions
 
 
 def parts_for(rows: DataFrame, n: int, most: int = PART_ROWS) -> int:
-    """Partitions for `n` rows: as many as shuffles have, but none of few rows and none of more than `most`."""
+    """Partitions for `n` rows: as many as shuffles have, but none of few rows, none of more than `most`, and more of them
+    where rows are long."""
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, math.ceil(n / most), min(usual, n // LEAST_ROWS))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, math.ceil(n / most), min(max(usual, size // PART_BYTES), n // LEAST_ROWS))
 
 
 def _steps(values: np.ndarray) -> np.ndarray:
@@ -121,6 +124,70 @@ def _rows(block: pa.Buffer, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_taken(f.type, int(n), parts) for f in schema], schema=schema)
 
 
+TEXTS, TEXT_MAP = T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
+
+
+def _is(kind: T.DataType, other: T.DataType) -> bool:
+    return kind.simpleString() == other.simpleString()
+
+
+def _joined(texts: Column) -> list[Column]:
+    """Texts as two: the bytes of each, -1 for null, and all in one."""
+    sizes = F.transform(texts, lambda x: F.coalesce(F.octet_length(x), F.lit(-1)).cast("string"))
+    return [F.array_join(sizes, ","), F.array_join(texts, "")]
+
+
+def _split(sizes: pa.Array, whole: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where the texts of each row begin, and the texts, of what `_joined` made."""
+    lists = pc.split_pattern(sizes, ",")
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    counts = np.where(pc.fill_null(pc.equal(sizes, ""), False).to_numpy(zero_copy_only=False), 0, counts)
+    each = pc.list_flatten(lists)
+    each = each.filter(pc.not_equal(each, "")).cast(pa.int32()).to_numpy()
+    ends = np.r_[np.zeros(1, "i4"), np.cumsum(np.maximum(each, 0), dtype="i4")]
+    at, data = _offsets(whole), whole.buffers()[2]
+    data = data.slice(int(at[0]), int(at[-1] - at[0])) if data is not None else pa.py_buffer(b"")
+    valid = pa.py_buffer(np.packbits(each >= 0, bitorder="little")) if (each < 0).any() else None
+    texts = pa.Array.from_buffers(pa.string(), len(each), [valid, pa.py_buffer(ends), data])
+    return np.r_[np.zeros(1, "i4"), np.cumsum(counts, dtype="i4")], texts
+
+
+def mapped(rows: DataFrame, run: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
+    """`rows.mapInArrow(run, schema)`, with lists and maps of texts handed over as plain texts: Spark works out the size of
+    its batches anew at each row, which takes longer for a nested column than all else that is done with it."""
+    nested = {f.name: f.dataType for f in rows.schema if _is(f.dataType, TEXTS) or _is(f.dataType, TEXT_MAP)}
+    if not nested:
+        return rows.mapInArrow(run, schema)
+    flat, arrow = [], _arrow(rows.schema)
+    for k, f in enumerate(rows.schema):
+        if f.name not in nested:
+            flat.append(F.col(f"`{f.name}`").alias(f"c{k}"))
+            continue
+        texts = [F.col(f"`{f.name}`")] if _is(f.dataType, TEXTS) else [F.map_keys(f"`{f.name}`"), F.map_values(f"`{f.name}`")]
+        flat += [c.alias(f"c{k}_{j}_{i}") for j, t in enumerate(texts) for i, c in enumerate(_joined(t))]
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = []
+        for k, f in enumerate(arrow):
+            if f.name not in nested:
+                columns.append(batch.column(f"c{k}").cast(f.type))
+                continue
+            sizes = batch.column(f"c{k}_0_0")
+            valid = pa.py_buffer(np.packbits(sizes.is_valid().to_numpy(zero_copy_only=False), bitorder="little")) if sizes.null_count else None
+            at, texts = _split(sizes, batch.column(f"c{k}_0_1"))
+            if pa.types.is_map(f.type):
+                pairs = [texts, _split(batch.column(f"c{k}_1_0"), batch.column(f"c{k}_1_1"))[1]]
+                texts = pa.StructArray.from_arrays(pairs, fields=[f.type.key_field, f.type.item_field])
+            columns.append(pa.Array.from_buffers(f.type, len(sizes), [valid, pa.py_buffer(at)], children=[texts]))
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return rows.select(*flat).mapInArrow(lambda batches: run(map(whole, batches)), schema)
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    return pa.schema([(f.name, f.type) for f in to_arrow_schema(schema)])
+
+
 def _packer(assign: Assign, drop: list[str], schema: pa.Schema) -> Callable[[Batches], Batches]:
     def packed(held: list[pa.RecordBatch], codec: pa.Codec) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
@@ -159,8 +226,8 @@ def _unpacked(batches: Batches, schema: pa.Schema) -> Batches:
 
 def _shuffled(rows: DataFrame, assign: Assign, drop: list[str], parts: int, then: Callable[[Batches], Batches] | None, schema: T.StructType | None):
     out = T.StructType([f for f in rows.schema.fields if f.name not in drop])
-    arrow = pa.schema([(f.name, f.type) for f in to_arrow_schema(out)])
-    blocks = rows.mapInArrow(_packer(assign, drop, arrow), "to int, size long, block binary").repartitionById(parts, F.col("to"))
+    arrow = _arrow(out)
+    blocks = mapped(rows, _packer(assign, drop, arrow), "to int, size long, block binary").repartitionById(parts, F.col("to"))
     if then is None:
         return blocks.mapInArrow(lambda batches: _unpacked(batches, arrow), out)
     return blocks.mapInArrow(lambda batches: then(_unpacked(batches, arrow)), schema)

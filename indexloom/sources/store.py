@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from indexloom import schemas
 from indexloom.errors import CollectionExists, CollectionNotFound, IndexNotFound, ModelMismatch
 from indexloom.functions.text import human_size
+from indexloom.operators.packed import in_ranges
 from indexloom.operators.upsert import latest
 from indexloom.session import written
 
@@ -264,8 +265,11 @@ class IndexStore:
         if finish is not None:
             files = max(files, min(2 * self.spark.sparkContext.defaultParallelism, math.ceil(held / FINISH_BYTES)))
         # one file as well is sorted by a task of its own, so that what makes the rows keeps its many tasks
-        dealt = (df if finish else df.select(*names)).repartitionByRange(files, *keys).sortWithinPartitions(*keys)
-        dealt = finish(dealt).select(*names) if finish else dealt
+        if finish is None and files > 1 and "vector" not in names:
+            dealt = in_ranges(df.select(*names), keys, files, rows)
+        else:  # few rows, or vectors, which do not get smaller as packed columns
+            dealt = (df if finish else df.select(*names)).repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+            dealt = finish(dealt).select(*names) if finish else dealt
         writer = dealt.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
         for key in BLOOM_KEYS[table]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")

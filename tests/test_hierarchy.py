@@ -178,7 +178,7 @@ def test_whole_rows_of_a_tree_are_shuffled_as_packed_columns(spark):
 
 def test_an_outline_keeps_columns_of_any_type(spark):
     more = [
-        "map('k', name) AS kinds", "array(name, NULL) AS names", "array(1.5D) AS numbers", "timestamp_seconds(start_line) AS at",
+        "IF(id = 'c', NULL, IF(id = 'd', map(), map('k', name, 'ü,', NULL))) AS kinds", "IF(id = 'a', NULL, IF(id = 'b', array(), array(name, NULL, '', 'é,'))) AS names", "array(1.5D) AS numbers", "timestamp_seconds(start_line) AS at",
         "start_line = 1 AS flag", "CAST(NULL AS INT) AS none", "struct(id, end_line) AS both", "CAST(start_line AS DECIMAL(9, 2)) AS amount",
         "date_add(DATE'2020-01-01', start_line) AS day", "encode(name, 'utf-8') AS raw", "IF(start_line = 2, NULL, name) AS part",
     ]

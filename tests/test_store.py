@@ -15,6 +15,7 @@ from indexloom.plans import ask, build
 from indexloom.schemas import FILES
 from indexloom.session import written
 from indexloom.sources import files as source_files
+from indexloom.sources import store as store_module
 from indexloom.sources.files import read_files, scan_files, walk
 from indexloom.sources.store import IndexStore, write_json
 from indexloom.sources.tree import OPEN_BYTES, TreeReader, planned, register
@@ -265,6 +266,37 @@ def test_reports_on_a_stored_outline(spark, store):
     assert stats[("total", "all")] == 6 and stats[("depth", "1")] == 3 and stats[("file", "a.py")] == 4
 
 
+def test_large_batches_of_chunks_are_shuffled_as_packed_columns(spark, store, monkeypatch):
+    rows = [(f"i{i}", f"p{i % 7}.py", i, f"i{i // 3}" if i else None, f"text {i}", {"lines": str(i)}) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, path string, start_line int, parent_id string, content string, metadata map<string,string>")
+    ones = {c: F.lit(1) for c in ("start_col", "end_line", "end_col")}
+    chunks = df.withColumns({**ones, "type": F.lit("t"), "name": F.concat(F.lit("n"), "id")}).repartition(4)
+    dealt, plain = [], type(df).repartitionByRange
+
+    def spied(self, *args):
+        dealt.append(set(self.columns))
+        return plain(self, *args)
+
+    monkeypatch.setattr(type(df), "repartitionByRange", spied)
+    monkeypatch.setattr(store_module, "FILE_BYTES", 9000)
+    store.build("nodes", "none", 1, chunks=chunks)
+    below = {r["id"]: r["metadata"]["lines"] for r in ask.chunk_descendants(store, "nodes", "i1").collect()}
+    assert not [names for names in dealt if "content" in names]
+    expected, known = {}, {"i1"}
+    for i, _, _, up, _, metadata in rows:
+        if up in known and i != "i1":
+            known.add(i)
+            expected[i] = metadata["lines"]
+    assert below == expected
+    assert sorted(store.chunks("nodes").select(*df.columns).collect()) == sorted(df.collect())
+    for table, keys in (("chunks", ["path", "start_line", "id"]), ("outline", ["first"])):
+        (batch,) = store.batches(table)
+        at = F.input_file_name().alias("file")
+        stored = spark.read.parquet(store._folder(table, batch.batch)).select(at, F.struct(*keys).alias("key"))
+        files = stored.groupBy("file").agg(F.min("key").alias("least"), F.max("key").alias("most")).orderBy("least").collect()
+        assert len(files) > 2 and all(x["most"] < y["least"] for x, y in zip(files, files[1:], strict=False))
+
+
 def test_questions_about_one_chunk_number_no_others(spark, store, monkeypatch):
     source = "class A:\n    class B:\n        def g(self):\n            pass\n"
     build.index_chunks(store, spark.createDataFrame([("a.py", source)], "path string, content string"), get_model("hash-64"))
